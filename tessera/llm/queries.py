@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from tessera.llm.decontaminate import op6_decontamination
 from tessera.llm.packing import op2_packing
+from tessera.llm.quality import op1_quality
 from tessera.llm.token_files import op9_token_files
+from tessera.llm.toxicity import op5_toxicity
 
 QUERIES = {
+    "op1_quality": op1_quality,
     "op2_packing": op2_packing,
+    "op5_toxicity": op5_toxicity,
     "op6_decontamination": op6_decontamination,
     "op9_token_files": op9_token_files,
 }
