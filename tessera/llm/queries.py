@@ -3,17 +3,24 @@
 from __future__ import annotations
 
 from tessera.llm.decontaminate import op6_decontamination
+from tessera.llm.html_text import op10_html_text
 from tessera.llm.packing import op2_packing
 from tessera.llm.quality import op1_quality
 from tessera.llm.token_files import op9_token_files
+from tessera.llm.topk_search import ORACLE as TOPK_SQL
+from tessera.llm.topk_search import op7_topk_search
 from tessera.llm.toxicity import op5_toxicity
+from tessera.llm.url_filter import op8_url_filter
 
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_packing": op2_packing,
     "op5_toxicity": op5_toxicity,
     "op6_decontamination": op6_decontamination,
+    "op7_topk_search": op7_topk_search,
+    "op8_url_filter": op8_url_filter,
     "op9_token_files": op9_token_files,
+    "op10_html_text": op10_html_text,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op7_topk_search": TOPK_SQL}
