@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from tessera.llm.decontaminate import op6_decontamination
 from tessera.llm.html_text import op10_html_text
+from tessera.llm.jaccard_join import op4_jaccard_join
+from tessera.llm.license_scan import ORACLE as LICENSE_SQL
+from tessera.llm.license_scan import op3_license_scan
 from tessera.llm.packing import op2_packing
 from tessera.llm.quality import op1_quality
 from tessera.llm.token_files import op9_token_files
@@ -15,6 +18,8 @@ from tessera.llm.url_filter import op8_url_filter
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_packing": op2_packing,
+    "op3_license_scan": op3_license_scan,
+    "op4_jaccard_join": op4_jaccard_join,
     "op5_toxicity": op5_toxicity,
     "op6_decontamination": op6_decontamination,
     "op7_topk_search": op7_topk_search,
@@ -23,4 +28,4 @@ QUERIES = {
     "op10_html_text": op10_html_text,
 }
 
-ORACLES: dict[str, str] = {"op7_topk_search": TOPK_SQL}
+ORACLES: dict[str, str] = {"op3_license_scan": LICENSE_SQL, "op7_topk_search": TOPK_SQL}
