@@ -40,6 +40,16 @@ def stored(df: DataFrame, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Estimated bytes up to which a counted table is broadcast.
+BROADCAST_BYTES = 32 << 20
+
+
+def sized(df: DataFrame, row_bytes: int) -> DataFrame:
+    """df, to be broadcast if its counted rows of about row_bytes stay within BROADCAST_BYTES; else
+    it is joined by a shuffle."""
+    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
+
+
 def held_out(doc_id) -> "F.Column":
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 

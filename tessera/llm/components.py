@@ -16,7 +16,8 @@ def components(edges: DataFrame) -> DataFrame:
     table in the shared folder, so a lost executor costs one round at most. Minima are taken
     before the shuffle, so a node with very many edges stays spread out.
     """
-    both = stored(edges.select("a", "b").filter("a <> b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")).filter("a <> b")).distinct())
+    edges = stored(edges.select("a", "b").filter("a <> b").distinct())
+    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     roots = stored(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("root")).select(F.col("a").alias("node"), "root"))
     while True:
         # The least root beside each node, offered to the node and to the node's own root.

@@ -10,7 +10,8 @@ probability below 1e-4, and joins what may be alike into candidate groups. In ea
 exactly on the whole sets, large groups block by block; a pair is never emitted, only each set's
 number of links and a spanning forest of the links, whose components are the classes.
 
-Sets that are equal count as one, with the number of their copies. A null or wordless text has no
+Sets that are equal count as one, with the number of their copies; a 64-bit hash tells them apart,
+which takes two of a billion sets for one with a probability of 3 %. A null or wordless text has no
 set: no links, a class of its own. A text of fewer words has one run of all its words. Null and
 repeated doc_ids are kept, each row with its own result. An empty table gives an empty one. Other
 columns pass through keep_one() unchanged.
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import Words, distinct_sets, mix, shingles, slices, stored, table
+from tessera.llm.common import Words, distinct_sets, mix, shingles, sized, slices, stored, table
 from tessera.llm.components import components
 
 THRESHOLD, DEPTHS, RECALL = 0.8, 3, 0.9999
@@ -49,9 +50,10 @@ def token_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return distinct_sets(*shingles(Words(texts)))
 
 
-def set_keys(values: np.ndarray, first: np.ndarray) -> list[str | None]:
+def set_keys(values: np.ndarray, first: np.ndarray) -> list[int | None]:
+    """A 64-bit hash of each set, by which sets are told apart; None for no tokens."""
     raw = values.tobytes()
-    return [hashlib.blake2b(raw[8 * a : 8 * b], digest_size=12).hexdigest() if b > a else None for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+    return [int.from_bytes(hashlib.blake2b(raw[8 * a : 8 * b], digest_size=8).digest(), "little", signed=True) if b > a else None for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
 
 
 def _sketches(threshold: float):
@@ -79,7 +81,7 @@ def _sketches(threshold: float):
                 place = np.full(len(keys), -1)
                 place[full] = np.arange(len(full))
                 yield pa.record_batch(
-                    [rows.column("doc_id"), pa.array(keys, pa.string()), pa.array([sketch[k].tobytes() if k >= 0 else None for k in place], pa.binary()), pa.array([path[k] if k >= 0 else None for k in place], pa.list_(pa.int64()))],
+                    [rows.column("doc_id"), pa.array(keys, pa.int64()), pa.array([sketch[k].tobytes() if k >= 0 else None for k in place], pa.binary()), pa.array([path[k] if k >= 0 else None for k in place], pa.list_(pa.int64()))],
                     names=["doc_id", "set_key", "sketch", "path"],
                 )
 
@@ -211,8 +213,8 @@ def _tokens(batches):
         for rows in slices(batch):
             values, first = token_sets(rows.column("text"))
             raw, keys = values.tobytes(), set_keys(values, first)
-            keep = [k for k, (x, y) in enumerate(zip(keys, rows.column("set_key").to_pylist(), strict=True)) if x and (x == y or y is None)]
-            yield pa.record_batch([pa.array([keys[k] for k in keep], pa.string()), pa.array([raw[8 * first[k] : 8 * first[k + 1]] for k in keep], pa.binary())], names=["set_key", "tokens"])
+            keep = [k for k, (x, y) in enumerate(zip(keys, rows.column("set_key").to_pylist(), strict=True)) if x is not None and (x == y or y is None)]
+            yield pa.record_batch([pa.array([keys[k] for k in keep], pa.int64()), pa.array([raw[8 * first[k] : 8 * first[k + 1]] for k in keep], pa.binary())], names=["set_key", "tokens"])
 
 
 def _buckets(sets: DataFrame) -> DataFrame:
@@ -223,7 +225,7 @@ def _buckets(sets: DataFrame) -> DataFrame:
         last = depth == DEPTHS - 1
         rows = rows.withColumn("key", F.col("steps")[depth])
         counts = rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-        rows = rows.join(counts, "key")
+        rows = stored(rows.join(counts, "key"))
         part = rows if last else rows.filter(F.col("n") <= SMALL)
         part = part.select("set_key", "key", "n")
         found = part if found is None else found.unionByName(part)
@@ -235,19 +237,20 @@ def join_sets(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame,
     """docs (doc_id, text) as (doc_id, set_key), and the sets: set_key, copies, first_id (least
     doc_id of the copies), class_key, links (documents of other sets at the threshold)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sketched = stored(docs.mapInArrow(_sketches(threshold), "doc_id long, set_key string, sketch binary, path array<long>"))
+    sketched = stored(docs.mapInArrow(_sketches(threshold), "doc_id long, set_key long, sketch binary, path array<long>"))
     known = sketched.filter("set_key IS NOT NULL")
     sets = known.groupBy("set_key").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_id"))
-    sketches = known.dropDuplicates(["set_key"]).select("set_key", "sketch", "path")
-    alike = dealt(_buckets(sketches), "key", "n").select("key", "i", "j", "block", "set_key", "sketch").mapInArrow(_may_be_alike, "a string, b string")
+    sketches = stored(known.dropDuplicates(["set_key"]).select("set_key", "sketch", "path"))
+    alike = dealt(_buckets(sketches), "key", "n").select("key", "i", "j", "block", "set_key", "sketch").mapInArrow(_may_be_alike, "a long, b long")
     candidates = components(alike)
     size = candidates.groupBy("root").agg(F.count("*").alias("n"))
     wanted = candidates.withColumnRenamed("node", "set_key").join(size, "root").join(sets, "set_key").select("set_key", "root", "n", "copies", "first_id")
     # Whole texts come from one row of each set; rows without doc_id are found by their sets.
-    named = docs.join(wanted.select(F.col("first_id").alias("doc_id"), "set_key"), "doc_id").select("set_key", "text")
-    nameless = docs.filter("doc_id IS NULL").select(F.lit(None).cast("string").alias("set_key"), "text")
-    tokens = named.unionByName(nameless).mapInArrow(_tokens, "set_key string, tokens binary").join(wanted.drop("first_id"), "set_key")
-    checked = stored(dealt(tokens, "root", "n").select("root", "i", "j", "block", "set_key", "copies", "tokens").mapInArrow(_verified(threshold), "set_key string, links long, linked string"))
+    wanted = stored(wanted)
+    named = docs.join(sized(wanted.select(F.col("first_id").alias("doc_id"), "set_key"), 16), "doc_id").select("set_key", "text")
+    nameless = docs.filter("doc_id IS NULL").select(F.lit(None).cast("long").alias("set_key"), "text")
+    tokens = named.unionByName(nameless).mapInArrow(_tokens, "set_key long, tokens binary").join(wanted.drop("first_id"), "set_key")
+    checked = stored(dealt(tokens, "root", "n").select("root", "i", "j", "block", "set_key", "copies", "tokens").mapInArrow(_verified(threshold), "set_key long, links long, linked long"))
     classes = components(checked.select(F.col("set_key").alias("a"), F.col("linked").alias("b"))).select(F.col("node").alias("set_key"), F.col("root").alias("class_key"))
     links = checked.groupBy("set_key").agg(F.sum("links").alias("links"))
     sets = sets.join(classes, "set_key", "left").join(links, "set_key", "left")
@@ -276,15 +279,15 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     kept = kept.unionByName(rows.filter("set_key IS NULL"))
     same_id = rows.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 OR doc_id IS NULL").limit(1).count()
     if not same_id:
-        return docs.join(kept.select("doc_id"), "doc_id", "left_semi").select(docs.columns)
+        return docs.join(sized(stored(kept.select("doc_id")), 8), "doc_id", "left_semi").select(docs.columns)
     # Some rows share a doc_id: tell them apart by their sets, and equal ones by row.
-    schema = T.StructType([*docs.schema.fields, T.StructField("_set", T.StringType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField("_set", T.LongType())])
 
     def with_set(batches):
         for batch in batches:
             for part in slices(batch):
                 keys = set_keys(*token_sets(part.column("text")))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(keys, pa.string())], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(keys, pa.int64())], names=schema.names)
 
     keyed = docs.mapInArrow(with_set, schema)
     kept = kept.select(F.col("doc_id").alias("_id"), F.col("set_key").alias("_key")).distinct()
