@@ -1 +1,322 @@
-QUERIES = {}
+"""The registered queries: each applies an operator to the given tables."""
+
+from __future__ import annotations
+
+from datetime import datetime
+from functools import partial
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.functions.text import bag_of_words_embedder, contains_any, dot, rank_text, tokens, word_count
+from tessera.operators import evaluation, graph, retrieval, writes
+from tessera.operators import scopes as S
+from tessera.sources import blobs, fixtures, ingest
+from tessera.spec import Floors, QuerySpec
+from tessera.streaming import traces
+
+NOW = datetime(2024, 2, 1)
+FLOORS = Floors(0.5, 0.03)
+COLLAPSED = QuerySpec("collapsed")
+
+
+class Data:
+    """The fixture frames of one call, each made when first used."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self._made: dict[str, DataFrame] = {}
+        self._spark, self._dir = spark, sf_dir
+
+    def __getattr__(self, name: str) -> DataFrame:
+        if name not in self._made:
+            make = S.closure if name == "closure" else getattr(fixtures, name)
+            self._made[name] = make(self.scopes) if name == "closure" else make(self._spark, self._dir)
+        return self._made[name]
+
+    def retrieve(self, spec: QuerySpec, **more) -> DataFrame:
+        return retrieval.retrieve(self.queries, self.scopes, self.artifacts, spec, closure=self.closure, rollups=self.rollups, edges=self.edges, **more)
+
+    def candidates(self, spec: QuerySpec) -> DataFrame:
+        return S.candidates(self.queries, self.scopes, self.artifacts, self.closure, spec, self.rollups)
+
+
+def _hits(spec: QuerySpec, spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = Data(spark, sf_dir).retrieve(spec)
+    return hits.select("query_id", "rank", "id", "scope_path", F.round("score", 6).alias("score"))
+
+
+def _set(spec: QuerySpec, filtered: bool, spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = Data(spark, sf_dir).candidates(spec)
+    return (S.current(found, spec) if filtered else found).select("query_id", "id")
+
+
+def scope_ancestors(spark, sf_dir):
+    return S.ancestors(Data(spark, sf_dir).closure)
+
+
+def scope_descendants(spark, sf_dir):
+    return S.descendants(Data(spark, sf_dir).closure)
+
+
+def scope_siblings(spark, sf_dir):
+    return S.siblings(Data(spark, sf_dir).scopes).select("scope", "sibling")
+
+
+def scope_path(spark, sf_dir):
+    d = Data(spark, sf_dir)
+    return S.paths(d.scopes, d.closure)
+
+
+def deep_closure(spark, sf_dir):
+    return S.closure(fixtures.tree_of_orders(spark, sf_dir)).groupBy("ancestor").agg(F.count("*").alias("n"), F.max("distance").alias("depth"))
+
+
+def coarse_scopes(spark, sf_dir):
+    d = Data(spark, sf_dir)
+    return S.coarse_scopes(d.queries, d.scopes, d.closure, d.rollups, QuerySpec()).select("query_id", "scope", "rank", F.round("score", 6).alias("score"))
+
+
+def sibling_overview(spark, sf_dir):
+    d = Data(spark, sf_dir)
+    return S.sibling_overview(d.queries, d.scopes, d.artifacts).select("view", "id", "scope", "kind")
+
+
+def drill_raw(spark, sf_dir):
+    return Data(spark, sf_dir).artifacts.filter("id = '0000000007'").select("id", "scope", "kind", "tier", "summary", "content")
+
+
+def bm25_topk(spark, sf_dir):
+    d = Data(spark, sf_dir)
+    found = S.current(d.candidates(COLLAPSED), COLLAPSED)
+    texts = found.select("query_id", "id", rank_text(F.col("kind"), F.col("content"), F.col("summary")).alias("text"))
+    return retrieval.ranked(retrieval.bm25(texts, d.queries), "bm25").filter("rank <= 5").select("query_id", "rank", "id", F.round("bm25", 6).alias("score"))
+
+
+def bm25_stats(spark, sf_dir):
+    d = Data(spark, sf_dir)
+    texts = d.artifacts.select(F.lit("all").alias("query_id"), "id", rank_text(F.col("kind"), F.col("content"), F.col("summary")).alias("text"))
+    _, df, sizes = retrieval.corpus_stats(texts)
+    n = sizes.agg(F.max("n").alias("n"), F.max("avg_len").alias("avg_len"))
+    return df.groupBy("df").agg(F.count("*").alias("terms")).crossJoin(F.broadcast(n)).select("df", "terms", "n", F.round("avg_len", 6).alias("avg_len"))
+
+
+def rrf_fusion(spark, sf_dir):
+    d = Data(spark, sf_dir)
+    scored = retrieval.cosine(S.current(d.candidates(COLLAPSED), COLLAPSED), d.queries).select("query_id", "id", "score", F.length("summary").cast("double").alias("size"))
+    return retrieval.ranked(retrieval.rrf(scored, "score", "size"), "fused").filter("rank <= 5").select("query_id", "rank", "id", F.round("fused", 9).alias("fused"))
+
+
+def rerank_topk(spark, sf_dir):
+    hits = Data(spark, sf_dir).retrieve(COLLAPSED.but(rerank=True, rerank_n=20), reranker=retrieval.lexical_logits)
+    return hits.select("query_id", "rank", "id", F.round("score", 6).alias("score"), F.round("rerank_score", 6).alias("rerank_score"))
+
+
+def auto_rerank_flags(spark, sf_dir):
+    d = Data(spark, sf_dir)
+    return retrieval.borderline(retrieval.cosine(S.current(d.candidates(COLLAPSED), COLLAPSED), d.queries), FLOORS, "score")
+
+
+def _verdicts(d: Data) -> tuple[DataFrame, DataFrame]:
+    hits = d.retrieve(COLLAPSED)
+    return retrieval.decide(hits, d.queries, FLOORS), hits
+
+
+def confidence_verdict(spark, sf_dir):
+    found, _ = _verdicts(Data(spark, sf_dir))
+    return found.select("query_id", "confidence", "weak_match", "ranked_by", F.round("top_score", 6).alias("top_score"), F.round("margin", 6).alias("margin"))
+
+
+def untrusted_flag(spark, sf_dir):
+    found, hits = _verdicts(Data(spark, sf_dir))
+    return retrieval.with_untrusted(found, hits, F.col("kind") == "document").select("query_id", "confidence", "untrusted")
+
+
+def _related(direction: str, depth: int, kinds: tuple[str, ...], spark, sf_dir):
+    d = Data(spark, sf_dir)
+    starts = d.artifacts.filter("kind = 'seed'").select(F.col("id").alias("start"))
+    return graph.related(starts, d.edges, d.artifacts, direction, kinds, depth)
+
+
+def supersession_history(spark, sf_dir):
+    return graph.history(Data(spark, sf_dir).artifacts)
+
+
+def fork_copy(spark, sf_dir):
+    return writes.fork(Data(spark, sf_dir).artifacts, "R/en/src1", "R/en/fork").select("id", "scope", "kind", "tier", "published", F.array_join("derived_from", ",").alias("derived_from"))
+
+
+def consolidate(spark, sf_dir):
+    d = Data(spark, sf_dir)
+    old = d.artifacts.filter("superseded_by IS NULL AND kind = 'reasoning'").groupBy("scope").agg(F.array_sort(F.collect_list("id")).alias("supersedes"))
+    requests = old.select(F.concat(F.lit("sum-"), "scope").alias("id"), "scope", F.lit("what was found").alias("summary"), "supersedes")
+    return writes.consolidate(d.scopes, requests).select("id", "scope", "tier", "published", F.size("derived_from").alias("n_sources"), F.array_join("derived_from", ",").alias("derived_from"))
+
+
+def crossversion_seeds(spark, sf_dir):
+    d = Data(spark, sf_dir)
+    text = d.artifacts.filter("kind = 'answer'").select(F.col("id").alias("scope"), F.col("content").alias("constraints"), F.lit("one lesson\n\n  two lessons ").alias("lessons"))
+    return writes.seeds(text).select("scope", "at", F.md5("summary").alias("line"), "kind", "tier")
+
+
+def push_lineage(spark, sf_dir):
+    d = Data(spark, sf_dir)
+    pairs = d.artifacts.filter("superseded_by IS NOT NULL").select(F.col("superseded_by").alias("target"), F.col("id").alias("old"))
+    requests = pairs.groupBy("target").agg(F.array_sort(F.collect_list("target")).alias("derived_from"), F.array_sort(F.collect_list("old")).alias("supersedes"))
+    requests = requests.select(F.concat(F.lit("new-"), "target").alias("id"), F.lit("R").alias("scope"), F.lit(None).cast("string").alias("kind"), F.lit(None).cast("string").alias("tier"), F.lit("s").alias("summary"), "derived_from", "supersedes")
+    rows, marks = writes.push(requests, d.artifacts)
+    return rows.select("id", "kind", "tier", F.array_join("derived_from", ",").alias("detail")).union(marks.select("id", F.lit("marked"), F.lit("-"), "superseded_by"))
+
+
+def delete_cascade(spark, sf_dir):
+    d = Data(spark, sf_dir)
+    left, edges = writes.delete(d.artifacts, d.edges, d.artifacts.filter("kind = 'seed'").select("id"))
+    return left.groupBy("kind").agg(F.count("*").alias("n")).union(edges.groupBy("kind").agg(F.count("*").alias("n")))
+
+
+def _files(spark, sf_dir) -> DataFrame:
+    docs = fixtures.read(spark, sf_dir, "documents")
+    return docs.select(F.concat(F.col("source"), F.lit("/"), fixtures.padded(F.col("doc_id")), F.lit(".md")).alias("path"), "text", F.lit("markdown").alias("language"), "doc_id")
+
+
+def chunk_window(spark, sf_dir):
+    return ingest.chunk(_files(spark, sf_dir), 1500, 0, semantic=False).select("path", "chunk", "start_line", "end_line", F.md5("text").alias("text_md5"))
+
+
+def chunk_semantic(spark, sf_dir):
+    return ingest.chunk(_files(spark, sf_dir)).select("path", "chunk", "start_line", "end_line", F.md5("text").alias("text_md5"))
+
+
+def ingest_reconcile(spark, sf_dir):
+    files = _files(spark, sf_dir)
+    sig = F.concat_ws(":", F.sha2("text", 256), "language", F.lit("1500"), F.lit("200"))
+    old = files.filter("doc_id % 10 <> 2").select("path", sig.alias("sig"))
+    new = files.filter("doc_id % 10 <> 0").select("path", F.when(F.col("doc_id") % 10 == 1, F.concat("text", F.lit("\nmore"))).otherwise(F.col("text")).alias("text"), "language")
+    return ingest.reconcile(new.select("path", sig.alias("sig"), (F.trim("text") == "").alias("blank")), old)
+
+
+def dir_rollup_text(spark, sf_dir):
+    return ingest.directory_text(_files(spark, sf_dir)).select("dir", F.md5("rollup_text").alias("rollup_md5"))
+
+
+def content_dedupe(spark, sf_dir):
+    return blobs.content_blobs(fixtures.read(spark, sf_dir, "documents"), "text")
+
+
+def sealed_roundtrip(spark, sf_dir):
+    key, docs = F.lit(b"0123456789abcdef0123456789abcdef"), fixtures.read(spark, sf_dir, "documents")
+    aad = F.col("doc_id").cast("string")
+    back = docs.select("doc_id", blobs.unseal(blobs.seal(F.col("text"), key, aad), key, aad).cast("string").alias("text"))
+    return back.select("doc_id", F.md5("text").alias("text_md5"))
+
+
+def mock_embed(spark, sf_dir):
+    rows = fixtures.read(spark, sf_dir, "benchmark").withColumn("v", bag_of_words_embedder(16)(F.col("text")))
+    return rows.select("item_id", F.posexplode("v").alias("slot", "value")).select("item_id", "slot", F.round(F.col("value").cast("double"), 5).alias("value"))
+
+
+def recent_traces(spark, sf_dir):
+    e = fixtures.read(spark, sf_dir, "events")
+    return e.select(fixtures.padded(F.col("event_id")).alias("query_id"), F.col("user_id").cast("string").alias("scope"), "event_type").orderBy(F.desc("query_id")).limit(50)
+
+
+def trace_counts(spark, sf_dir):
+    return traces.counts(fixtures.read(spark, sf_dir, "events"), "1 day")
+
+
+def config_latest(spark, sf_dir):
+    log = fixtures.read(spark, sf_dir, "events").select(F.concat_ws(".", F.lit("user"), "user_id").alias("key"), F.col("event_type").alias("value"), F.col("event_id").alias("seq"))
+    return writes.latest(log, ["key"])
+
+
+def _probes(d: Data) -> DataFrame:
+    """Labelled documents as probes: present if of good quality; the two best other vectors' scores."""
+    labels = fixtures.read(d._spark, d._dir, "labels").filter("doc_id < 200")
+    vectors = fixtures.read(d._spark, d._dir, "embeddings").select("vec_id", "embedding")
+    p = labels.join(vectors, labels["doc_id"] == vectors["vec_id"]).select(F.col("doc_id"), (F.col("quality") == 1).alias("present"), F.col("embedding").alias("q"))
+    rows = p.join(vectors, F.col("doc_id") != F.col("vec_id")).select(F.col("doc_id").cast("string").alias("query_id"), fixtures.padded(F.col("vec_id")).alias("id"), dot(F.col("q"), F.col("embedding")).alias("score"), "present")
+    return retrieval.ranked(rows).filter("rank <= 2").withColumn("rerank_score", F.lit(None).cast("double"))
+
+
+def calibrate_floor(spark, sf_dir):
+    probes = _probes(Data(spark, sf_dir))
+    tops = probes.filter("present AND rank = 1").select(F.col("score").alias("top_score"))
+    return evaluation.conformal_floor(tops, 0.9).select(F.round("floor", 6).alias("floor"), "probes")
+
+
+def abstention_report(spark, sf_dir):
+    probes = _probes(Data(spark, sf_dir))
+    asked = probes.select("query_id", "present").distinct()
+    report = evaluation.abstention(retrieval.decide(probes, asked, Floors(0.4, 0.01)).join(asked, "query_id"))
+    return report.withColumns({c: F.round(c, 6) for c in ("fnr", "fpr", "max_absent")})
+
+
+def wall_report(spark, sf_dir):
+    d = Data(spark, sf_dir)
+    hits = d.retrieve(COLLAPSED.but(top_k=20))
+    gold = d.queries.select("query_id", F.concat(F.lit("0000000"), F.substring("query_id", 2, 3)).alias("gold"))
+    return evaluation.wall_report(evaluation.gold_ranks(hits, gold), 5).select("questions", "found", F.round("recall", 6).alias("recall"), F.round("mean_rank", 6).alias("mean_rank"))
+
+
+def scenario_metrics(spark, sf_dir):
+    turns = fixtures.read(spark, sf_dir, "conversations")
+    terms = F.array(F.lit("THE"), F.lit(""), F.lit("der"))
+    return turns.groupBy("role").agg(F.count("*").alias("turns"), F.sum(word_count(F.col("text"))).alias("words"), F.sum(F.size(tokens(F.col("text")))).alias("tokens"), F.count_if(contains_any(F.col("text"), terms)).alias("mentions"))
+
+
+QUERIES = {
+    "scope_ancestors": scope_ancestors,
+    "scope_descendants": scope_descendants,
+    "scope_siblings": scope_siblings,
+    "scope_path": scope_path,
+    "deep_closure": deep_closure,
+    "visible_set": partial(_set, QuerySpec(), False),
+    "collapsed_set": partial(_set, COLLAPSED, False),
+    "coarse_scopes": coarse_scopes,
+    "hierarchical_set": partial(_set, QuerySpec("hierarchical"), False),
+    "currency_filter": partial(_set, COLLAPSED, True),
+    "kind_filter": partial(_set, COLLAPSED.but(kinds=("document", "reasoning")), True),
+    "tier_filter": partial(_set, COLLAPSED.but(tier="worktree"), True),
+    "full_history": partial(_set, COLLAPSED.but(include_superseded=True), True),
+    "sibling_overview": sibling_overview,
+    "vector_topk": partial(_hits, QuerySpec()),
+    "vector_collapsed_topk": partial(_hits, COLLAPSED),
+    "vector_minscore": partial(_hits, COLLAPSED.but(min_score=0.3)),
+    "neighbors": partial(_hits, QuerySpec(top_k=3)),
+    "drill_raw": drill_raw,
+    "bm25_topk": bm25_topk,
+    "bm25_stats": bm25_stats,
+    "rrf_fusion": rrf_fusion,
+    "hybrid_topk": partial(_hits, QuerySpec("collapsed", "hybrid")),
+    "hierarchical_hybrid_topk": partial(_hits, QuerySpec("hierarchical", "hybrid")),
+    "hierarchical_vector_topk": partial(_hits, QuerySpec("hierarchical")),
+    "recency_topk": partial(_hits, COLLAPSED.but(recency_half_life_days=10.0, now=NOW)),
+    "importance_topk": partial(_hits, COLLAPSED.but(importance_weight=0.2)),
+    "graph_boost_topk": partial(_hits, COLLAPSED.but(graph_boost=0.3)),
+    "rerank_topk": rerank_topk,
+    "auto_rerank_flags": auto_rerank_flags,
+    "confidence_verdict": confidence_verdict,
+    "untrusted_flag": untrusted_flag,
+    "related_out": partial(_related, "out", 1, ()),
+    "related_in": partial(_related, "in", 1, ("depends_on",)),
+    "related_both_depth2": partial(_related, "both", 2, ()),
+    "supersession_history": supersession_history,
+    "fork_copy": fork_copy,
+    "consolidate": consolidate,
+    "crossversion_seeds": crossversion_seeds,
+    "push_lineage": push_lineage,
+    "delete_cascade": delete_cascade,
+    "chunk_window": chunk_window,
+    "chunk_semantic": chunk_semantic,
+    "ingest_reconcile": ingest_reconcile,
+    "dir_rollup_text": dir_rollup_text,
+    "content_dedupe": content_dedupe,
+    "sealed_roundtrip": sealed_roundtrip,
+    "mock_embed": mock_embed,
+    "recent_traces": recent_traces,
+    "trace_counts": trace_counts,
+    "config_latest": config_latest,
+    "calibrate_floor": calibrate_floor,
+    "abstention_report": abstention_report,
+    "wall_report": wall_report,
+    "scenario_metrics": scenario_metrics,
+}
