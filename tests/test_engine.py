@@ -58,7 +58,7 @@ def test_related_passes_superseded(spark):
 
 def test_chunks_cover_lines_and_attach_comments():
     text = "package x\n\n// Doc.\nfunc A() {\n}\n\nfunc B() {\n}"
-    got = ingest.semantic_chunks(text, "go", 20, 0)
+    got = ingest.semantic_chunks(text, "go", 25, 0)
     assert [(a, b) for _, a, b in got] == [(1, 2), (3, 6), (7, 8)]
     lines = [f"line {k} of the text here" for k in range(50)]
     pieces = ingest.window_chunks(lines, 200, 50)
