@@ -28,7 +28,7 @@ from tessera.llm.common import Words, held_out, slices, table
 from tessera.llm.labelled import labelled_sample
 
 #: Labelled documents of each class that fitting reads.
-PER_CLASS = 1600
+PER_CLASS = 700
 DECAY, LANDMARKS, LONGEST = 0.6, 32, 24
 #: Unit scores that a worker keeps, and the score of a text without units.
 MOST_UNITS, NO_UNIT = 1_500_000, -3.0
@@ -207,9 +207,11 @@ def fit(sample: list[tuple[int, str, int]]) -> tuple[Machine, float, float] | No
     words = Words(array)
     raw = words.raw.tobytes()
     held: dict[int, set[bytes]] = defaultdict(set)
-    for d, a, b in zip(words.doc.tolist(), words.starts.tolist(), words.ends.tolist(), strict=True):
+    one: dict[bytes, bytes] = {}  # each unit once in memory
+    for d, a, b in zip(words.doc, words.starts, words.ends, strict=True):
         if b - a >= 3:
-            held[d].add(raw[a : min(b, a + LONGEST)])
+            unit = raw[a : min(b, a + LONGEST)]
+            held[int(d)].add(one.setdefault(unit, unit))
     # How many documents have a unit by chance and none of the others is what clean documents show
     # among themselves; a witness, or a beginning of witnesses, has to be in over twice as many.
     rng = np.random.default_rng(1)
