@@ -101,7 +101,7 @@ def read_directory(spark, root: str) -> DataFrame:
     """path, text of the files under root that are small, text, and not in a skipped directory."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     skipped = "|".join(x.replace(".", r"\.") for x in SKIPPED)
-    ok = (F.col("length") <= MAX_FILE) & ~F.col("path").rlike(rf"/({skipped}|\.ioc[^/]*)/")
+    ok = (F.col("length") <= MAX_FILE) & ~F.col("path").rlike(rf"/({skipped}|\.tessera[^/]*)/")
     rows = files.filter(ok).filter(F.position(F.lit(b"\0"), F.substring("content", 1, 8192)) == 0)
     return rows.select("path", F.col("content").cast("string").alias("text"))
 
