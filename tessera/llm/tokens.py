@@ -7,13 +7,16 @@ in a bounded cache of the Python worker, and gathered with numpy for all later p
 
 from __future__ import annotations
 
+import os
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
-#: Pieces that a worker keeps; beyond that the cache starts anew.
-MOST_PIECES = 1_000_000
+#: Pieces that a worker keeps; beyond that only those of several slices of texts stay.
+MOST_PIECES = 300_000
 #: Places where a cut before the space isn't safe: those texts are encoded whole.
 _SPACE = r"\s\x0b\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 _UNSAFE = rf"\x00|[{_SPACE}][ \n]|[ \n][{_SPACE}]|^[ \n]|[ \n]$"
@@ -22,6 +25,7 @@ _UNSAFE = rf"\x00|[{_SPACE}][ \n]|[ \n][{_SPACE}]|^[ \n]|[ \n]$"
 class PieceEncoder:
     def __init__(self, path: str):
         self.path = path
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has given each core a task
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.clear()
@@ -30,51 +34,73 @@ class PieceEncoder:
         self.at: dict[str, int] = {}
         self.offset = np.zeros(1024, np.int64)
         self.length = np.zeros(1024, np.int64)
+        self.slices = np.zeros(1024, np.int64)
         self.flat = np.zeros(4096, np.uint32)
-        self.used = 0
-
-    def _learn(self, pieces: list[str]) -> None:
-        for piece, got in zip(pieces, self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False), strict=True):
-            ids, k = got.ids, len(self.at)
-            while self.used + len(ids) > len(self.flat):
-                self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
-            if k == len(self.offset):
-                self.offset, self.length = (np.concatenate((x, np.zeros_like(x))) for x in (self.offset, self.length))
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.offset[k], self.length[k] = self.used, len(ids)
-            self.used += len(ids)
-            self.at[piece] = k
+        self.count = self.used = 0
+
+    def _thin(self) -> None:
+        """Keeps the pieces of more than one slice of texts, or none if those are too many."""
+        held = [x for x, k in self.at.items() if self.slices[k] > 1]
+        if 2 * len(held) > MOST_PIECES:
+            return self.clear()
+        codes = np.fromiter(map(self.at.__getitem__, held), np.int64, len(held))
+        lens, ids = self.length[codes], self.flat[self._places(codes)]
+        self.clear()
+        self.at = dict(zip(held, range(len(held)), strict=True))
+        self.offset, self.length, self.slices = (np.concatenate((x, np.zeros(1024, np.int64))) for x in (np.cumsum(lens) - lens, lens, np.ones_like(lens)))
+        self.flat = np.concatenate((ids, self.flat))
+        self.count, self.used = len(held), len(ids)
+
+    def _places(self, codes: np.ndarray) -> np.ndarray:
+        """Where the ids of the numbered pieces stand in flat."""
+        lens = self.length[codes]
+        upto = np.cumsum(lens)
+        return np.arange(int(lens.sum())) + np.repeat(self.offset[codes] - upto + lens, lens)
+
+    def _learn(self, pieces: list[str]) -> range:
+        """The numbers that the pieces get."""
+        got = [x.ids for x in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        lens = np.fromiter(map(len, got), np.int64, len(got))
+        upto, to = self.used + np.cumsum(lens), self.count + len(got)
+        used = int(upto[-1]) if len(got) else self.used
+        while used > len(self.flat):
+            self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
+        while to > len(self.offset):
+            self.offset, self.length, self.slices = (np.concatenate((x, np.zeros_like(x))) for x in (self.offset, self.length, self.slices))
+        self.flat[self.used : used] = np.fromiter(chain.from_iterable(got), np.uint32, used - self.used)
+        self.offset[self.count : to], self.length[self.count : to] = upto - lens, lens
+        numbers = range(self.count, to)
+        self.count, self.used = to, used
+        return numbers
 
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts (null: empty) on end, with end_id after each; and each text's number of ids."""
         texts = texts.fill_null("").cast(pa.large_string())
         whole = pc.match_substring_regex(texts, _UNSAFE)
-        cut = pc.replace_substring(pc.replace_substring(texts, "\n", "\0\n"), " ", "\0 ")
-        if pc.any(whole).as_py():  # a text with \0 of its own must not be split there
-            lists = pa.array([[x] if w else y for x, w, y in zip(texts.to_pylist(), whole.to_pylist(), pc.split_pattern(cut, "\0").to_pylist(), strict=True)], pa.large_list(pa.large_string()))
-        else:
-            lists = pc.split_pattern(cut, "\0")
+        cut = pc.replace_substring(pc.replace_substring(pc.if_else(whole, "", texts), "\n", "\0\n"), " ", "\0 ")
+        lists = pc.split_pattern(cut, "\0")
         counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+        begins = np.concatenate(([0], np.cumsum(counts))).astype(np.int64)
         found = lists.flatten().dictionary_encode()
-        pieces, places = found.dictionary.to_pylist(), found.indices.to_numpy(zero_copy_only=False)
+        pieces, places = found.dictionary.to_numpy(zero_copy_only=False).tolist(), found.indices.to_numpy(zero_copy_only=False)
         if len(self.at) > MOST_PIECES:
-            self.clear()
-        get = self.at.get
-        codes = [get(x) for x in pieces]
-        if None in codes:
-            new = [x for x, c in zip(pieces, codes, strict=True) if c is None]
-            fresh = iter(range(len(self.at), len(self.at) + len(new)))
-            self._learn(new)
-            codes = [next(fresh) if c is None else c for c in codes]
-        codes = np.array(codes, np.int64)[places] if len(codes) else np.zeros(0, np.int64)
+            self._thin()
+        new = [x for x in pieces if x not in self.at]
+        self.at.update(zip(new, self._learn(new), strict=True))
+        known = np.fromiter(map(self.at.__getitem__, pieces), np.int64, len(pieces))
+        self.slices[known] += 1
+        codes = known[places]
+        kept = self.count, self.used
+        texts_whole = texts.filter(whole).to_pylist()  # these aren't kept, as they may be long
+        codes[begins[:-1][whole.to_numpy(zero_copy_only=False)]] = self._learn(texts_whole)
         lens = self.length[codes]
         upto = np.concatenate(([0], np.cumsum(lens)))
-        sizes = np.diff(upto[np.concatenate(([0], np.cumsum(counts))).astype(np.int64)]) + 1
+        sizes = np.diff(upto[begins]) + 1
         out = np.full(int(sizes.sum()), end_id, np.uint32)
-        take = np.arange(upto[-1]) + np.repeat(self.offset[codes] - upto[:-1], lens)
         place = np.ones(len(out), bool)
         place[np.cumsum(sizes) - 1] = False
-        out[place] = self.flat[take]
+        out[place] = self.flat[self._places(codes)]
+        self.count, self.used = kept
         return out, sizes
 
 

@@ -17,6 +17,7 @@ so texts and units of any length are read whole. Other columns pass through unch
 from __future__ import annotations
 
 from collections import Counter, defaultdict
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -105,7 +106,25 @@ class Machine:
 
     def __init__(self, marks: list[bytes], weights: np.ndarray, bias: float):
         self.marks, self.weights, self.bias = marks, weights, bias
-        self.known: dict[int, float] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        """Drops the kept scores: hashes of units in order, and the score of each."""
+        self.keys, self.scores = np.zeros(0, np.uint64), np.zeros(0, np.float32)
+
+    def known(self, hashes: np.ndarray, units: Callable[[np.ndarray], list[bytes]]) -> np.ndarray:
+        """Scores of units by hash (in order, once each); units() gives the bytes of those not kept so far."""
+        if len(self.keys) > MOST_UNITS:
+            self.forget()
+        at = np.searchsorted(self.keys, hashes)
+        held = np.zeros(len(hashes), bool)
+        held[at < len(self.keys)] = self.keys[at[at < len(self.keys)]] == hashes[at < len(self.keys)]
+        out = np.zeros(len(hashes), np.float32)
+        out[held] = self.scores[at[held]]
+        new = np.flatnonzero(~held)
+        out[new] = self.score(units(new))
+        self.keys, self.scores = np.insert(self.keys, at[new], hashes[new]), np.insert(self.scores, at[new], out[new])
+        return out
 
     def score(self, units: list[bytes]) -> np.ndarray:
         return cosine(units, self.marks) @ self.weights + self.bias if units else np.zeros(0)
@@ -162,15 +181,9 @@ def worst_units(texts: pa.Array, machine: Machine) -> np.ndarray:
     """The highest unit score of each text."""
     words = Words(texts)
     spans, docs, extra = units_of(words)
-    raw, known = words.raw.tobytes(), machine.known
-    if len(known) > MOST_UNITS:
-        known.clear()
+    raw = words.raw.tobytes()
     hashes, at, back = np.unique(words.hash, return_index=True, return_inverse=True)
-    keys = hashes.tolist()
-    new = [k for k, h in enumerate(keys) if h not in known]
-    fresh = [raw[a : min(b, a + LONGEST)] for a, b in spans[at[new]].tolist()] if new else []
-    known.update(zip((keys[k] for k in new), machine.score(fresh).tolist(), strict=True))
-    value = np.array([known[h] for h in keys])[back] if keys else np.zeros(0)
+    value = machine.known(hashes, lambda new: [raw[a : min(b, a + LONGEST)] for a, b in spans[at[new]].tolist()])[back]
     out = np.full(len(texts), NO_UNIT)
     full = np.flatnonzero(words.count > 0)
     if len(full):
@@ -263,6 +276,7 @@ def toxicity_scores(docs: DataFrame, labelled: DataFrame, labels: DataFrame, tex
             marks, weights, bias, slope, offset = plain
             key = repr(plain)
             if key not in _MACHINES:
+                _MACHINES.clear()
                 _MACHINES[key] = Machine(marks, np.array(weights, np.float32), bias)
         for batch in batches:
             for rows in slices(batch, text):
