@@ -207,3 +207,27 @@ def test_pipeline_stages(spark):
     kept = {r["doc_id"] for r in docs.collect()}
     assert all(labels[k]["quality"] for k in kept if k in labels)
     assert corpus_pipeline.run(spark, sf).count() >= len(kept)
+
+
+def test_bounded_caches_keep_results(monkeypatch):
+    from tessera.llm import tokens
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    plain, encoder = Tokenizer.from_file(path), tokens.PieceEncoder(path)
+    monkeypatch.setattr(tokens, "MOST_PIECES", 12)
+    for n in range(6):
+        texts = [f"some words come back {n} and w{n * n}x{n} is new", None, "", " led  by\n\nspace ", "a\0b c", *(f"v{n}{k} only once" for k in range(9))]
+        ids, sizes = encoder.encode(pa.array(texts, pa.string()), 0)
+        expected = [[*plain.encode(x or "", add_special_tokens=False).ids, 0] for x in texts]
+        assert ids.tolist() == [i for x in expected for i in x] and sizes.tolist() == [len(x) for x in expected]
+        assert len(encoder.at) < 60
+
+    monkeypatch.setattr(toxicity, "MOST_UNITS", 5)
+    marks = [b"idiot", b"garden"]
+    machine = toxicity.Machine(marks, np.array([1.0, -1.0], np.float32), 0.1)
+    for n in range(4):
+        texts = [f"you idiot w{n}", "the garden grows", "", f"x{n} y{n} idiiot"]
+        fresh = toxicity.Machine(marks, machine.weights, 0.1)
+        array = pa.array(texts, pa.string())
+        assert np.allclose(toxicity.worst_units(array, machine), toxicity.worst_units(array, fresh), atol=1e-5)
+        assert toxicity.worst_units(array, machine)[2] == toxicity.NO_UNIT
