@@ -22,6 +22,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -172,6 +173,13 @@ def intersections(sets: list[np.ndarray]) -> Iterator[np.ndarray]:
         yield part
 
 
+def at_threshold(shared: np.ndarray, sizes: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether pairs of sets that share so many tokens, of so many in both together, reach the
+    threshold: in integers, as a float loses pairs of exactly that similarity."""
+    ratio = Fraction(str(threshold))
+    return shared * (ratio.denominator + ratio.numerator) >= sizes * ratio.numerator
+
+
 def _verified(threshold: float):
     """Group rows (root, i, j, block, set_key, copies, tokens) as set_key, links, linked (a set of the forest)."""
 
@@ -187,10 +195,10 @@ def _verified(threshold: float):
             copies, size = group.column("copies").to_numpy(), np.array([len(x) for x in sets])
             i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
             left, right = _pairs(group.column("block").to_numpy(), i, j)
-            shared = np.zeros((len(left), len(right)), np.float32)
+            shared = np.zeros((len(left), len(right)), np.int64)
             for part in intersections(sets):
-                shared += part[left] @ part[right].T
-            linked = shared * (1 + threshold) >= threshold * (size[left][:, None] + size[right][None, :]) - 1e-6
+                shared += (part[left] @ part[right].T).astype(np.int64)
+            linked = at_threshold(shared, size[left][:, None] + size[right][None, :], threshold)
             if i == j:
                 np.fill_diagonal(linked, False)
             links = np.zeros(len(names), np.int64)

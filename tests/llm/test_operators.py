@@ -140,6 +140,18 @@ def test_join_against_brute_force(docs, none):
     assert jaccard_join.keep_one(none).isEmpty()
 
 
+def test_join_links_pairs_of_exactly_the_threshold(spark):
+    # 12 of 15, 24 of 30 and 96 of 120 shingles; and one word more, which is below it.
+    pairs = [([f"a{n}x{k}" for k in range(n + 4)], extra) for n, extra in ((12, 3), (24, 6), (96, 24), (12, 4), (24, 7), (96, 25))]
+    rows = [(2 * k + j, " ".join(w + ([f"b{k}x{m}" for m in range(extra)] if j else []))) for k, (w, extra) in enumerate((["c" + str(k) + x for x in w], e) for k, (w, e) in enumerate(pairs)) for j in (0, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in jaccard_join.similar_documents(docs).collect()}
+    assert got == {d: (d - d % 2, 1) if d < 6 else (d, 0) for d in range(12)}
+    assert {r["doc_id"] for r in jaccard_join.keep_one(docs).collect()} == set(range(12)) - {1, 3, 5}
+    shared = np.arange(4, 1600, 4)
+    assert jaccard_join.at_threshold(shared, shared // 4 * 9, 0.8).all() and not jaccard_join.at_threshold(shared, shared // 4 * 9 + 1, 0.8).any()
+
+
 def test_licenses(docs, none):
     got = license_scan.scan(docs, license_scan.TEMPLATES).collect()
     assert [(r["doc_id"], r["license"], r["containment"]) for r in got] == [(14, "MIT", 1.0)]
