@@ -3,9 +3,10 @@
 A page becomes a row of text blocks, each with its path of tags from the root to the leaf. Per
 path, text length and punctuation are summed and divided by the number of blocks; both ratios are
 smoothed over the row of blocks (a Gaussian), fused by their product, and scaled by what tags and
-class names on the path say of boilerplate. The paths whose fused ratio passes the threshold (a
-share of its deviation over the page) are content; the container of the strongest one, with all of
-its blocks that aren't boilerplate, is the page's main text.
+class names on the path say of boilerplate and content. The blocks whose fused ratio passes the
+threshold (a share of its deviation over the page), whatever their names, are the page's main text.
+Headings, short list items and the like stay with them: blocks below the same named element, or
+article, as one that passed, if they have no class or id of their own and aren't mostly links.
 
 A null html is empty; it, and a page without content, has an empty text. Unclosed, misnested and
 cut-off markup is read as browsers read it, near enough. Null and repeated page_ids are kept.
@@ -38,6 +39,8 @@ _OUTSIDE = {"nav", "header", "footer", "aside", "form", "button", "select", "men
 _OUT_WORDS = {"ad", "ads", "nav", "menu", "aside", "share", "social", "tags", "meta", "legal", "widget", "consent", "login", "search", "related", "toolbar", "contentinfo", "complementary", "notice", "notices", "alert", "promo", "replies", "reply", "respond"}
 _OUT_STARTS = ("advert", "sidebar", "footer", "header", "comment", "cookie", "banner", "sponsor", "newsletter", "subscri", "breadcrumb", "pagination", "navbar", "navigation", "popup", "modal", "disclaimer", "disqus", "promo", "masthead", "gdpr")
 _IN_TAGS = {"article", "main"}
+#: Elements that hold blocks together even without a class or id.
+_HOMES = {"article", "main", "body", "html"}
 _IN_WORDS = {"article", "content", "main", "post", "entry", "story", "body", "text"}
 _MARKS = re.compile(r"[.,;:!?…。，、！？]")
 #: Share of the deviation that a path's fused ratio has to reach, and the smoothing kernel.
@@ -55,12 +58,14 @@ def _kind(tag: str, attributes: str) -> float:
 
 
 class _Page:
-    """Blocks of a page: path, key of each ancestor, kind, text."""
+    """Blocks of a page: key of each ancestor, path, kind, text, home (the key of the nearest named
+    element or article around it), and whether it goes with its home's other blocks."""
 
     def __init__(self, page: str):
-        self.blocks: list[tuple[tuple[int, ...], str, float, str]] = []
-        self.stack: list[tuple[str, int, str, float]] = []  # tag, number, path, kind
+        self.blocks: list[tuple[tuple[int, ...], str, float, str, int, bool]] = []
+        self.stack: list[tuple[str, int, str, float, bool]] = []  # tag, number, path, kind, with class or id
         self.text: list[str] = []
+        self.link, self.linked = False, 0  # inside of a link; characters of links in the text so far
         self.number = 0
         at = 0
         while True:
@@ -68,6 +73,8 @@ class _Page:
             piece = page[at : found.start() if found else len(page)]
             if piece:
                 self.text.append(entities.unescape(piece) if "&" in piece else piece)
+                if self.link:
+                    self.linked += len(self.text[-1].strip())
             if not found:
                 break
             at = found.end()
@@ -86,6 +93,8 @@ class _Page:
                     self.flush()
             elif tag not in _INLINE:
                 self.open(tag, found[3])
+            elif tag == "a":
+                self.link = True
         self.flush()
 
     def flush(self) -> None:
@@ -93,7 +102,10 @@ class _Page:
         self.text.clear()
         if text:
             kind = 0.0 if any(x[3] == 0 for x in self.stack) else max((x[3] for x in self.stack), default=1.0)
-            self.blocks.append((tuple(x[1] for x in self.stack), self.stack[-1][2] if self.stack else "", kind, text))
+            home = next((x[1] for x in self.stack[-2::-1] if x[0] in _HOMES or x[4] and x[0] != "section"), 0)
+            goes_along = not (self.stack and self.stack[-1][4]) and 2 * self.linked <= len(text)
+            self.blocks.append((tuple(x[1] for x in self.stack), self.stack[-1][2] if self.stack else "", kind, text, home, goes_along))
+        self.linked = 0
 
     def open(self, tag: str, attributes: str) -> None:
         self.flush()
@@ -103,7 +115,7 @@ class _Page:
             self.pop(*_CLOSES[tag])
         self.number += 1
         names = "".join(sorted({"." + w for x in _NAMES.findall(attributes) for w in x.lower().strip("\"'").split()})) if attributes.strip() else ""
-        self.stack.append((tag, self.number, f"{self.stack[-1][2] if self.stack else ''}/{tag}{names}", _kind(tag, attributes)))
+        self.stack.append((tag, self.number, f"{self.stack[-1][2] if self.stack else ''}/{tag}{names}", _kind(tag, attributes), bool(names)))
 
     def pop(self, tags: set[str], stop: set[str]) -> None:
         for k in range(len(self.stack) - 1, -1, -1):
@@ -115,6 +127,8 @@ class _Page:
 
     def close(self, tag: str) -> None:
         if tag in _INLINE:
+            if tag == "a":
+                self.link = False
             return
         self.flush()
         for k in range(len(self.stack) - 1, -1, -1):
@@ -123,10 +137,10 @@ class _Page:
                 return
 
 
-def fused_ratios(blocks: list[tuple[tuple[int, ...], str, float, str]]) -> np.ndarray:
+def fused_ratios(blocks: list[tuple[tuple[int, ...], str, float, str, int, bool]]) -> np.ndarray:
     """Each block's fused and smoothed ratio of its path's text length and punctuation."""
     sums: dict[str, list[float]] = {}
-    for _, path, _, text in blocks:
+    for _, path, _, text, *_ in blocks:
         got = sums.setdefault(path, [0.0, 0.0, 0.0])
         got[0] += len(text)
         got[1] += len(_MARKS.findall(text))
@@ -144,21 +158,9 @@ def main_text(page: str | None) -> str:
     if not blocks:
         return ""
     ratio = fused_ratios(blocks)
-    best = int(np.argmax(ratio))
-    if ratio[best] <= 0:
-        return ""
-    named = any(b[2] == 2 for b in blocks)
-    cut = 0.0 if named else THRESHOLD * float(np.std(ratio))
-    strong = [k for k, b in enumerate(blocks) if ratio[k] > cut and (b[2] == 2 or not named)]
-    total = sum(len(blocks[k][3]) for k in strong)
-    # The container: of the strongest block's ancestors, leaf left out, the innermost that holds
-    # at least nine tenths of the strong text.
-    keys, container = blocks[max(strong, key=lambda k: ratio[k])][0], 0
-    for key in keys[:-1]:
-        if sum(len(blocks[k][3]) for k in strong if key in blocks[k][0]) < 0.9 * total:
-            break
-        container = key
-    return "\n".join(b[3] for b in blocks if b[2] > 0 and (container in b[0] or not container))
+    strong = (ratio > 0) & (ratio >= THRESHOLD * float(np.std(ratio)))
+    homes = {key for b, on in zip(blocks, strong, strict=True) if on for key in (b[4], b[0][-1] if b[0] else 0)}
+    return "\n".join(b[3] for b, on in zip(blocks, strong, strict=True) if on or b[2] > 0 and b[5] and b[4] in homes)
 
 
 def extract(pages: DataFrame, html: str = "html", into: str = "text") -> DataFrame:

@@ -190,6 +190,21 @@ def test_main_text(spark):
     assert [r["text"] for r in html_text.extract(rows).orderBy("page_id").collect()][1] == ""
 
 
+def test_main_text_goes_by_ratios_and_not_by_names():
+    long = [f"Part {k} of it tells, at some length, what happened; and then, of course, what came of it in the end." for k in range(8)]
+    links = "".join(f"<li><a href=/{k}>Place {k}</a>" for k in range(8))
+    body = "<h2>A heading</h2>" + "".join(f"<p>{x}</p>" for x in long) + "<ul><li>short one<li>short two</ul><p>" + long[0] + "</p>"
+    # A teaser named as content beside an article without a name.
+    page = f"<body><nav>n</nav><div class='post-teaser'><p>Read on.</p></div><ul class=k1>{links}</ul><div class=x81f>{body}</div><footer>f</footer>"
+    whole = ["A heading", *long, "short one", "short two", long[0]]
+    got = html_text.main_text(page).split("\n")
+    assert got[-len(whole) :] == whole and not any("Place" in x for x in got)
+    # Boilerplate without a known name inside of the article.
+    page = f"<body><article>{body}<div class=q7><ul>{links}</ul></div><div class=z9>All rights kept</div></article>"
+    got = html_text.main_text(page).split("\n")
+    assert [x for x in got if not x.startswith("Place")] == whole and len(got) <= len(whole) + 1
+
+
 def test_classifiers(spark, docs, none):
     rng = np.random.default_rng(2)
     make = lambda k: " ".join(rng.choice(WORDS, 60)) + (" you clown idiot " if k % 3 == 0 else " ") + ("THE!! OF!! AND!! " * 40 if k % 4 == 0 else "")
