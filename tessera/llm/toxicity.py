@@ -4,10 +4,12 @@ A text is taken apart into units: words, and words that stand together across si
 single letters ("i.d.i.o.t", "i d i o t", "idi*ot"), joined. The kernel of two units weighs all
 subsequences of three bytes they share by how far they are spread, so a letter put in or a gap
 costs a little and not the match. Nyström landmarks turn it into short vectors, on which a linear
-support vector machine is trained. A sentence is as toxic as its worst unit, a document as its
-worst sentence. Training: sentences of labelled documents; in those of toxic documents the units
+support vector machine is trained. A document is as toxic as its
+worst unit. Training: units, not sentences, of labelled documents; in toxic documents the units
 (or beginnings of units) that several toxic documents have and clean ones don't are witnesses;
-units of clean sentences are the other class, the ones closest to the margin mined in rounds.
+units of clean documents are the other class, the ones closest to the margin mined in rounds.
+Not found: phrases of words that clean documents use, letters more than one byte apart, and
+insults that a clean-labelled sample document has (figures in the README).
 
 A null text counts as empty, which has the lowest score. Null and repeated doc_ids are kept;
 without labels of both kinds every score is 0. Units of over 24 bytes are scored in windows of 24,
