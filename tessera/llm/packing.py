@@ -155,7 +155,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, window: int = WINDOW) ->
     padding: what the piece's sequence is padded by."""
 
     def run(batches):
-        coder = encoder(tokenizer)
+        coder = encoder(tokenizer, literal=False)
         if tokenizer not in _ENDS:
             _ENDS[tokenizer] = sentence_ends(coder.tokenizer)
         packer = Packer(TaskContext.get().partitionId(), _ENDS[tokenizer], window)

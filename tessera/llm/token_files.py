@@ -254,7 +254,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 0) -> DataF
 
         for batch in batches:
             for rows in slices(batch):
-                got, lens = encoder(tokenizer).encode(rows.column("text"), end_id)
+                got, lens = encoder(tokenizer, literal=False).encode(rows.column("text"), end_id)
                 upto, numbers, at = np.cumsum(lens), rows.column("doc_id").to_pylist(), 0
                 while at < len(lens):
                     begun = upto[at] - lens[at]

@@ -2,12 +2,15 @@
 
 Both vocabularies split a text before each single space or line feed between two characters that
 aren't white space, and merge within such a piece alone. So ids of a piece are found once, kept
-in a bounded cache of the Python worker, and gathered with numpy for all later places.
+in a bounded cache of the Python worker, and gathered with numpy for all later places. Texts that
+hold an added token of the vocabulary ("<|endoftext|>") are encoded whole, and it gets its own id as
+the tokenizer's file says; a literal encoder takes it for plain characters.
 """
 
 from __future__ import annotations
 
 import os
+import re
 from itertools import chain
 
 import numpy as np
@@ -23,11 +26,13 @@ _UNSAFE = rf"\x00|[{_SPACE}][ \n]|[ \n][{_SPACE}]|^[ \n]|[ \n]$"
 
 
 class PieceEncoder:
-    def __init__(self, path: str):
+    def __init__(self, path: str, literal: bool = True):
         self.path = path
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has given each core a task
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = literal
+        added = [] if literal else [re.escape(x.content) for x in self.tokenizer.get_added_tokens_decoder().values()]
+        self.unsafe = "|".join([_UNSAFE, *added])
         self.clear()
 
     def clear(self) -> None:
@@ -76,7 +81,7 @@ class PieceEncoder:
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts (null: empty) on end, with end_id after each; and each text's number of ids."""
         texts = texts.fill_null("").cast(pa.large_string())
-        whole = pc.match_substring_regex(texts, _UNSAFE)
+        whole = pc.match_substring_regex(texts, self.unsafe)
         cut = pc.replace_substring(pc.replace_substring(pc.if_else(whole, "", texts), "\n", "\0\n"), " ", "\0 ")
         lists = pc.split_pattern(cut, "\0")
         counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
@@ -104,11 +109,11 @@ class PieceEncoder:
         return out, sizes
 
 
-_ENCODERS: dict[str, PieceEncoder] = {}
+_ENCODERS: dict[tuple[str, bool], PieceEncoder] = {}
 
 
-def encoder(path: str) -> PieceEncoder:
+def encoder(path: str, literal: bool = True) -> PieceEncoder:
     """The encoder of this Python worker."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = PieceEncoder(path)
-    return _ENCODERS[path]
+    if (path, literal) not in _ENCODERS:
+        _ENCODERS[path, literal] = PieceEncoder(path, literal)
+    return _ENCODERS[path, literal]

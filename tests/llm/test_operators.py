@@ -75,6 +75,19 @@ def test_token_files_round_trip(docs, none):
     assert token_files.read_token_files(token_files.write_token_files(none, path)).isEmpty()
 
 
+@pytest.mark.parametrize(("name", "end"), [("byte_bpe_50k.json", 0), ("word_bpe_49k.json", 2)])
+def test_added_tokens_get_their_ids(spark, name, end):
+    path = public_tokenizers.path(name)
+    texts = ["hello <|endoftext|> world", "<|endoftext|>", "a<|startoftext|>b <|endoftext|>\nc", "<|endoftext|", "x  <|endoftext|> ", "plain text here", None, "two <|endoftext|><|endoftext|> of them"]
+    plain = Tokenizer.from_file(path)
+    want = {k: plain.encode(x or "", add_special_tokens=False).ids + [end] for k, x in enumerate(texts)}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    files = token_files.read_token_files(token_files.write_token_files(docs, path, end)).collect()
+    assert {r["doc_id"]: (r["n_tokens"], r["ids_crc32"]) for r in files} == {k: (len(x), zlib.crc32(np.array(x, np.uint32).tobytes())) for k, x in want.items()}
+    assert {r["doc_id"]: r["start"] for r in files} == {k: sum(len(want[j]) for j in range(k)) for k in want}
+    assert {r["doc_id"]: r["doc_tokens"] for r in packing.pack(docs, path, end).collect()} == {k: len(x) for k, x in want.items()}
+
+
 def test_packing_covers_each_id_once(docs, none):
     path = public_tokenizers.path("word_bpe_49k.json")
     got = packing.pack(docs, path, 2, window=64).toPandas()
