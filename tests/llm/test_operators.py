@@ -58,12 +58,13 @@ def test_damaged_block_is_refused():
 @pytest.mark.parametrize(("name", "end"), [("byte_bpe_50k.json", 0), ("word_bpe_49k.json", 2)])
 def test_pieces_encode_as_whole_texts(name, end):
     path = public_tokenizers.path(name)
-    odd = ["a  b\n\nc ", " x", "", None, "don't 12 3\tx   y", "a\0b c", "<|endoftext|> hi", "Ünï　code  and", "x" * 300]
-    plain = Tokenizer.from_file(path)
-    plain.encode_special_tokens = True
-    ids, sizes = encoder(path).encode(pa.array(odd), end)
-    want = [plain.encode(x or "", add_special_tokens=False).ids + [end] for x in odd]
-    assert sizes.tolist() == [len(x) for x in want] and ids.tolist() == sum(want, [])
+    plain, letters, rng = Tokenizer.from_file(path), [*"ab c\n\t.'é 日́ 1\x00\x1c\x85,!-", "\r\n", "\u3000", " <|endoftext|>", " don't, "], np.random.default_rng(5)
+    texts = ["a  b\n\nc ", " x", "", None, "don't 12 3\tx   y", "a\0b c", "<|endoftext|> hi", "Ünï　code  and", "x" * 300, "a\u0338 = b=\u0338, c=\u0338"]
+    texts += ["".join(rng.choice(letters, n)) for n in rng.integers(0, 40, 3000)]
+    for _ in range(2):  # pieces that are new, then pieces that are known
+        ids, sizes = encoder(path).encode(pa.array(texts, pa.string()), end)
+        want = [plain.encode(x or "", add_special_tokens=False).ids + [end] for x in texts]
+        assert sizes.tolist() == [len(x) for x in want] and ids.tolist() == sum(want, [])
 
 
 def test_token_files_round_trip(docs, none):
@@ -253,14 +254,15 @@ def test_bounded_caches_keep_results(monkeypatch):
     from tessera.llm import tokens
 
     path = public_tokenizers.path("byte_bpe_50k.json")
+    monkeypatch.setattr(tokens, "SLOTS", 8)
+    monkeypatch.setattr(tokens, "MOST_IDS", 40)
     plain, encoder = Tokenizer.from_file(path), tokens.PieceEncoder(path)
-    monkeypatch.setattr(tokens, "MOST_PIECES", 12)
     for n in range(6):
         texts = [f"some words come back {n} and w{n * n}x{n} is new", None, "", " led  by\n\nspace ", "a\0b c", *(f"v{n}{k} only once" for k in range(9))]
         ids, sizes = encoder.encode(pa.array(texts, pa.string()), 0)
         expected = [[*plain.encode(x or "", add_special_tokens=False).ids, 0] for x in texts]
         assert ids.tolist() == [i for x in expected for i in x] and sizes.tolist() == [len(x) for x in expected]
-        assert len(encoder.at) < 60
+        assert len(encoder.key1) == 8 and encoder.used < 400
 
     monkeypatch.setattr(toxicity, "MOST_UNITS", 5)
     marks = [b"idiot", b"garden"]
