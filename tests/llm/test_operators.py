@@ -263,13 +263,3 @@ def test_bounded_caches_keep_results(monkeypatch):
         expected = [[*plain.encode(x or "", add_special_tokens=False).ids, 0] for x in texts]
         assert ids.tolist() == [i for x in expected for i in x] and sizes.tolist() == [len(x) for x in expected]
         assert len(encoder.key1) == 8 and encoder.used < 400
-
-    monkeypatch.setattr(toxicity, "MOST_UNITS", 5)
-    marks = [b"idiot", b"garden"]
-    machine = toxicity.Machine(marks, np.array([1.0, -1.0], np.float32), 0.1)
-    for n in range(4):
-        texts = [f"you idiot w{n}", "the garden grows", "", f"x{n} y{n} idiiot"]
-        fresh = toxicity.Machine(marks, machine.weights, 0.1)
-        array = pa.array(texts, pa.string())
-        assert np.allclose(toxicity.worst_units(array, machine), toxicity.worst_units(array, fresh), atol=1e-5)
-        assert toxicity.worst_units(array, machine)[2] == toxicity.NO_UNIT
