@@ -116,15 +116,15 @@ def cosine(units: list[bytes], marks: list[bytes]) -> np.ndarray:
 
 class Machine:
     """Landmarks and the map from kernels with them to Nyström vectors; the weights of a unit's vector
-    (bias last), and those of a document's (number of its units and bias last), with slope and offset
-    of the logistic map of its margin."""
+    (bias last), and those of a document's (number of its units and bias last), with the
+    slope of the logistic map of its margin."""
 
-    def __init__(self, marks: list[bytes], root: np.ndarray, weights: np.ndarray, bag: np.ndarray | None = None, slope: float = 1.0, offset: float = 0.0):
-        self.marks, self.root, self.weights, self.bag, self.slope, self.offset = marks, root, weights, bag, slope, offset
+    def __init__(self, marks: list[bytes], root: np.ndarray, weights: np.ndarray, bag: np.ndarray | None = None, slope: float = 1.0):
+        self.marks, self.root, self.weights, self.bag, self.slope = marks, root, weights, bag, slope
         self.forget()
 
     def plain(self):
-        return self.marks, self.root, self.weights, self.bag, self.slope, self.offset
+        return self.marks, self.root, self.weights, self.bag, self.slope
 
     def forget(self) -> None:
         """Drops the kept scores: hashes of units in order, and the score of each."""
@@ -394,21 +394,21 @@ def bags(texts: pa.Array, machine: Machine) -> np.ndarray:
 
 
 def document_scores(texts: pa.Array, machine: Machine) -> np.ndarray:
-    z = machine.slope * (bags(texts, machine) @ machine.bag) + machine.offset
+    z = machine.slope * (bags(texts, machine) @ machine.bag)
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def logistic_map(margin: np.ndarray, labels: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of a logistic regression of the label, with a prior that keeps the slope finite."""
-    w, x = np.array([1.0, 0.0]), np.stack((margin, np.ones(len(margin))), axis=1)
-    prior = np.diag([0.01, 1e-6])
+def logistic_slope(margin: np.ndarray, labels: np.ndarray, weight: np.ndarray) -> float:
+    """Slope of the logistic map of margins, so that the machine's boundary is at 0.5."""
+    w = 1.0
     for _ in range(100):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + prior, x.T @ (weight * (labels - p)) - prior @ w)
-        w += np.clip(step, -3, 3)
-        if np.abs(step).max() < 1e-7:
+        p = 1 / (1 + np.exp(-np.clip(w * margin, -30, 30)))
+        # A prior keeps the slope finite.
+        step = ((weight * (labels - p)) @ margin - 0.01 * w) / ((weight * p * (1 - p)) @ margin**2 + 0.01)
+        w = float(np.clip(w + np.clip(step, -1, 1), 0.1, 20))
+        if abs(step) < 1e-7:
             break
-    return float(w[0]), float(w[1])
+    return w
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Machine | None:
@@ -450,7 +450,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Machine | None:
     cost = np.concatenate((weight, ALONE * weight[label == 1].sum() * n / n.sum()))
     y = np.concatenate((np.where(label == 1, 1.0, -1.0), np.ones(len(toxic))))
     machine.bag = linear_machine(np.vstack((x, one)), y, cost, np.append(np.full(x.shape[1] - 1, 0.3), 1e-6))
-    machine.slope, machine.offset = logistic_map(x @ machine.bag, label, weight)
+    machine.slope = logistic_slope(x @ machine.bag, label, weight)
     return machine
 
 
