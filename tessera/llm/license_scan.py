@@ -1,13 +1,15 @@
 """Operator 3: license notices found by MinHash bands over overlapping text windows.
 
 Everything is DataFrame functions. A template of m shingles (runs of five words) is sought in
-windows of W shingles, W the power of two from 2m on, that start every W/4 shingles: so a notice
-that a text holds lies whole in some window, whose Jaccard similarity with the template is then at
-least a quarter (a fifth where a fifth of its shingles is missing). A window and a template are compared if the minima of their shingle hashes agree in one
-of 64 bands of one row: such a window is missed with probability below 0.8^64 < 1e-6. Then the share
-of the template's shingles that the window holds is counted exactly, and from MIN_CONTAINMENT on
-it is a match. A window can only agree in a band if it holds a shingle of a template, so windows
-are formed around those places alone; that leaves out no match.
+windows of 2m shingles that start every m/2 shingles (every one for m = 1): so any stretch of 1.5m
+shingles lies whole in some window. A window that holds a share c of the template's shingles has at
+most 2m + (1 - c)m shingles with it together, hence a Jaccard similarity of at least c / (3 - c),
+0.36 for MIN_CONTAINMENT. A window and a template are compared if the minima of their shingles
+agree in a band; each band is one row of a hash function of its own (xxhash64 of shingle and band),
+so a window is missed with probability (1 - c / (3 - c))^bands, and bands() takes as many as make
+that less than MISS. Then the share of the template's shingles that the window holds is counted
+exactly, and from MIN_CONTAINMENT on it is a match. A window can only agree in a band if it holds a
+shingle of a template, so windows are formed around those places alone; that leaves out no match.
 
 A null or wordless text, a text or template of fewer than five words, and an empty table have no matches. Null and repeated doc_ids are kept, each row
 with matches of its own. Texts are read whole. Columns other than doc_id and text are not read.
@@ -15,14 +17,17 @@ with matches of its own. Texts are read whole. Columns other than doc_id and tex
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import table
 
-K, BANDS, MIN_CONTAINMENT = 5, 64, 0.8
-#: Templates times bands is broadcast; more templates than this are refused.
-MOST_TEMPLATES = 2000
+K, MIN_CONTAINMENT, MISS = 5, 0.8, 1e-12
+#: Templates whose bands are broadcast at a time; more are scanned in blocks of this many.
+BLOCK = 2000
 
 #: Notices of public licenses.
 TEMPLATES = [
@@ -53,25 +58,33 @@ def _shingles(words: Column, start: Column, end: Column) -> Column:
     return F.when(end > start, F.transform(F.sequence(start, end - 1), lambda i: shingle(words, i))).otherwise(F.array().cast("array<long>"))
 
 
-def _bands(shingles: Column) -> Column:
-    """The least hash of each band, by a mask of its own."""
-    masks = F.transform(F.sequence(F.lit(1), F.lit(BANDS)), lambda b: F.xxhash64(b))
-    return F.transform(masks, lambda m: F.array_min(F.transform(shingles, lambda x: x.bitwiseXOR(m))))
+def bands(min_containment: float) -> int:
+    """Bands that miss a window of min_containment with a probability below MISS."""
+    return math.ceil(math.log(MISS) / math.log1p(-min_containment / (3 - min_containment)))
+
+
+def _minima(shingles: Column, n: int) -> Column:
+    """The least hash of each of n bands, by a hash function of its own."""
+    return F.transform(F.sequence(F.lit(1), F.lit(n)), lambda band: F.array_min(F.transform(shingles, lambda x: F.xxhash64(x, band))))
 
 
 def template_table(spark: SparkSession, templates: list[tuple[str, str]]) -> DataFrame:
-    """license, t_shingles (distinct), window."""
-    if len(templates) > MOST_TEMPLATES:
-        raise ValueError(f"more than {MOST_TEMPLATES} templates; scan them in parts")
+    """license, w, t_shingles (distinct), window."""
     df = spark.createDataFrame(templates, "license string, notice string").withColumn("w", words(F.col("notice")))
     df = df.withColumn("t_shingles", F.array_distinct(_shingles(F.col("w"), F.lit(0), F.size("w") - K + 1))).filter(F.size("t_shingles") > 0)
-    return df.withColumn("window", F.greatest(F.lit(8), F.pow(F.lit(2), F.ceil(F.log2(2.0 * F.size("t_shingles")))).cast("int"))).select("license", "w", "t_shingles", "window")
+    return df.select("license", "w", "t_shingles", (2 * F.size("t_shingles")).alias("window"))
 
 
 def scan(docs: DataFrame, templates: list[tuple[str, str]], min_containment: float = MIN_CONTAINMENT) -> DataFrame:
     """doc_id, license, containment, n_windows, first_word: one row for each template in each document."""
+    parts = [templates[k : k + BLOCK] for k in range(0, len(templates), BLOCK)] or [[]]
+    return reduce(DataFrame.unionByName, [_scan(docs, part, min_containment) for part in parts])
+
+
+def _scan(docs: DataFrame, templates: list[tuple[str, str]], min_containment: float) -> DataFrame:
     known = template_table(docs.sparkSession, templates)
-    rows = known.collect()  # at most MOST_TEMPLATES rows
+    n = bands(min_containment)
+    rows = known.collect()  # at most BLOCK rows
     kinds = sorted({r["window"] for r in rows})
     openings = [sorted({r["w"][i + j] for r in rows for i in range(len(r["w"]) - K + 1)}) for j in range(K)]
     hashes = sorted({x for r in rows for x in r["t_shingles"]})
@@ -84,7 +97,7 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]], min_containment: flo
 
     def around(size: int) -> Column:
         """Starts of the windows of this size that hold a hit."""
-        step = size // 4
+        step = max(1, size // 4)
         starts = lambda i: F.sequence(F.greatest(F.lit(0), F.floor((i - size) / step).cast("int") + 1), F.floor(i / step).cast("int"))
         return F.flatten(F.transform("hits", lambda i: F.transform(starts(i), lambda j: F.struct(F.lit(size).alias("window"), (j * step).alias("start")))))
 
@@ -94,9 +107,9 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]], min_containment: flo
     spots = F.array_distinct(F.concat(*(around(size) for size in kinds))) if kinds else F.array().cast("array<struct<window:int,start:int>>")
     df = df.select("doc_id", "_row", "w", F.inline(spots))
     sh = _shingles(F.col("w"), F.col("start"), F.least(F.col("start") + F.col("window"), F.size("w") - K + 1))
-    df = df.select("doc_id", "_row", "window", "start", F.inline(F.transform(F.array(sh), lambda x: F.struct(x.alias("_sh"), _bands(x).alias("_bands")))))
+    df = df.select("doc_id", "_row", "window", "start", F.inline(F.transform(F.array(sh), lambda x: F.struct(x.alias("_sh"), _minima(x, n).alias("_bands")))))
     keys = df.select("doc_id", "_row", "window", "start", "_sh", F.posexplode("_bands").alias("band", "least"))
-    known_keys = known.select("license", "t_shingles", "window", F.posexplode(_bands(F.col("t_shingles"))).alias("band", "least"))
+    known_keys = known.select("license", "t_shingles", "window", F.posexplode(_minima(F.col("t_shingles"), n)).alias("band", "least"))
     met = keys.join(F.broadcast(known_keys), ["window", "band", "least"])
     share = F.size(F.array_intersect("_sh", "t_shingles")) / F.size("t_shingles")
     met = met.withColumn("containment", share).filter(F.col("containment") >= min_containment)
@@ -113,11 +126,11 @@ _SPLIT = r"regexp_extract_all(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcd
 ORACLE = f"""
 WITH t AS (SELECT license, {_SPLIT.format("notice")} AS w FROM (VALUES {_VALUES}) v(license, notice)),
 ts AS (SELECT DISTINCT license, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) AS s FROM t WHERE len(w) >= 5),
-tm AS (SELECT license, count(*) AS m, greatest(8, CAST(pow(2, ceil(log2(2.0 * count(*)))) AS BIGINT)) AS win FROM ts GROUP BY license),
+tm AS (SELECT license, count(*) AS m, 2 * count(*) AS win, greatest(1, 2 * count(*) // 4) AS step FROM ts GROUP BY license),
 d AS (SELECT row_number() OVER () AS r, doc_id, {_SPLIT.format("text")} AS w FROM documents),
 ds AS (SELECT r, doc_id, unnest(range(0, len(w) - 4)) AS i, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) AS s FROM d WHERE len(w) >= 5),
-h AS (SELECT r, doc_id, license, i, s, m, win FROM ds JOIN ts USING (s) JOIN tm USING (license)),
-p AS (SELECT r, doc_id, license, s, m, win, unnest(range(greatest(0, CAST(floor((i - win) / (win / 4)) AS BIGINT) + 1), CAST(floor(i / (win / 4)) AS BIGINT) + 1)) * CAST(win / 4 AS BIGINT) AS start FROM h),
+h AS (SELECT r, doc_id, license, i, s, m, win, step FROM ds JOIN ts USING (s) JOIN tm USING (license)),
+p AS (SELECT r, doc_id, license, s, m, win, unnest(range(greatest(0, CAST(floor((i - win) / step) AS BIGINT) + 1), i // step + 1)) * step AS start FROM h),
 c AS (SELECT r, doc_id, license, start, count(DISTINCT s) / m AS containment FROM p GROUP BY r, doc_id, license, start, m)
 SELECT doc_id, license, round(max(containment), 6) AS containment, count(*) AS n_windows, min(start) AS first_word
 FROM c WHERE containment >= 0.8 GROUP BY r, doc_id, license

@@ -9,6 +9,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tessera.llm import decontaminate, html_text, jaccard_join, license_scan, packing, quality, token_files, topk_search, toxicity, url_filter
@@ -172,6 +173,30 @@ def test_licenses(docs, none):
     assert license_scan.scan(none, license_scan.TEMPLATES).isEmpty()
 
 
+def test_every_template_is_found_in_thousands_of_texts(spark):
+    n = len(license_scan.TEMPLATES)
+    filler = F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(40)), lambda j: F.concat(F.lit("w"), F.pmod(F.xxhash64("doc_id", j), F.lit(900)).cast("string"))))
+    notice = F.element_at(F.array(*(F.lit(x) for _, x in license_scan.TEMPLATES)), (F.col("doc_id") % n + 1).cast("int"))
+    docs = spark.range(3000 * n).select(F.col("id").alias("doc_id")).select("doc_id", F.concat_ws(" ", filler, notice, filler).alias("text"))
+    got = license_scan.scan(docs, license_scan.TEMPLATES).groupBy("license").agg(F.countDistinct("doc_id").alias("n"), F.min("containment").alias("c")).collect()
+    assert {(r["license"], r["n"], r["c"]) for r in got} >= {(name, 3000, 1.0) for name, _ in license_scan.TEMPLATES}
+
+
+def test_licenses_in_blocks(docs, monkeypatch):
+    monkeypatch.setattr(license_scan, "BLOCK", 3)
+    assert [(r["doc_id"], r["license"]) for r in license_scan.scan(docs, license_scan.TEMPLATES).collect()] == [(14, "MIT")]
+
+
+def test_license_scan_equals_its_sql(spark):
+    import duckdb
+
+    sf = "/root/testdata/sf0.1"
+    duckdb.sql(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    key = ["doc_id", "license", "containment", "n_windows", "first_word"]
+    got = license_scan.op3_license_scan(spark, sf).toPandas()[key].sort_values(key).values.tolist()
+    assert got and got == duckdb.sql(license_scan.ORACLE).df()[key].sort_values(key).values.tolist()
+
+
 def test_top_k_is_exact(spark):
     rng = np.random.default_rng(1)
     vectors = rng.integers(-50, 50, (230, 7)).astype(float)
