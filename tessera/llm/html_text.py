@@ -1,15 +1,18 @@
 """Operator 10: main text of web pages by tag-path ratios.
 
-A page becomes a row of text blocks, each with its path of tags from the root to the leaf. Per
+A page becomes a row of text blocks, each with its path of tags from the root to the leaf. Paths
+are nodes of a trie (parent, tag, class and id), so time and memory are linear in the page. Per
 path, text length and punctuation are summed and divided by the number of blocks; both ratios are
-smoothed over the row of blocks (a Gaussian), fused by their product, and scaled by what tags and
-class names on the path say of boilerplate and content. The blocks whose fused ratio passes the
-threshold (a share of its deviation over the page), whatever their names, are the page's main text.
-Headings, short list items and the like stay with them: blocks below the same named element, or
-article, as one that passed, if they have no class or id of their own and aren't mostly links.
+smoothed over the row of blocks (a Gaussian), fused by their product, and scaled by a bounded
+factor for what tags and class names on the path say of boilerplate and content. Content are the
+blocks whose fused ratio passes the threshold (a share of its deviation over the page), whatever
+their names. Two kinds of short blocks go with them: headings before such a block of the same named
+element or article, and blocks between two such blocks of it; not those with a class or id of their
+own, within boilerplate by name, or made of links mostly.
 
 A null html is empty; it, and a page without content, has an empty text. Unclosed, misnested and
-cut-off markup is read as browsers read it, near enough. Null and repeated page_ids are kept.
+cut-off markup is read as browsers read it, near enough; an end tag, or a start tag that ends others,
+reaches up REACH open elements at most where others stand between. Null and repeated page_ids are kept.
 Pages of any length are read whole. An empty table gives an empty one.
 """
 
@@ -17,6 +20,8 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -43,27 +48,57 @@ _IN_TAGS = {"article", "main"}
 _HOMES = {"article", "main", "body", "html"}
 _IN_WORDS = {"article", "content", "main", "post", "entry", "story", "body", "text"}
 _MARKS = re.compile(r"[.,;:!?…。，、！？]")
+_HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+#: What boilerplate, unknown and content names multiply a ratio by; and open elements that a tag looks past.
+FACTORS, REACH = (0.05, 1.0, 2.0), 64
 #: Share of the deviation that a path's fused ratio has to reach, and the smoothing kernel.
 THRESHOLD, _SMOOTH = 0.6, np.exp(-0.5 * np.arange(-2, 3) ** 2)
 
 
-def _kind(tag: str, attributes: str) -> float:
+def _kind(tag: str, attributes: str) -> int:
     """0: boilerplate; 1: nothing known; 2: named as content."""
     if tag in _OUTSIDE:
-        return 0.0
+        return 0
     words = {w for x in _NAMES.findall(attributes) for w in re.split(r"[^a-z0-9]+", x.lower())} if attributes else set()
     if tag not in ("body", "html", "article", "main") and (words & _OUT_WORDS or any(w.startswith(_OUT_STARTS) for w in words)):
-        return 0.0
-    return 2.0 if tag in _IN_TAGS or words & _IN_WORDS else 1.0
+        return 0
+    return 2 if tag in _IN_TAGS or words & _IN_WORDS else 1
+
+
+class _Element(NamedTuple):
+    """An open element: number, node of its path, whether it or one around it is named as boilerplate,
+    the highest kind so far, whether it has a class or id, and the nearest named element or article
+    around it."""
+
+    tag: str
+    number: int
+    path: int
+    outside: bool
+    kind: int
+    named: bool
+    home: int
+
+
+_ROOT = _Element("", 0, 0, False, 1, False, 0)
+
+
+class _Block(NamedTuple):
+    """A run of text: its element and node of path, kind, text, and whether it may go with others."""
+
+    element: _Element
+    kind: int
+    text: str
+    goes_along: bool
 
 
 class _Page:
-    """Blocks of a page: key of each ancestor, path, kind, text, home (the key of the nearest named
-    element or article around it), and whether it goes with its home's other blocks."""
+    """The blocks of a page in order."""
 
     def __init__(self, page: str):
-        self.blocks: list[tuple[tuple[int, ...], str, float, str, int, bool]] = []
-        self.stack: list[tuple[str, int, str, float, bool]] = []  # tag, number, path, kind, with class or id
+        self.blocks: list[_Block] = []
+        self.stack: list[_Element] = [_ROOT]
+        self.open_tags: Counter[str] = Counter()
+        self.paths: dict[tuple[int, str], int] = {}
         self.text: list[str] = []
         self.link, self.linked = False, 0  # inside of a link; characters of links in the text so far
         self.number = 0
@@ -84,8 +119,9 @@ class _Page:
             if found[1]:
                 self.close(tag)
             elif tag in _RAW:
-                end = re.compile(rf"</{re.escape(tag)}(?![a-z0-9-])[^>]*(?:>|\Z)", re.I).search(page, at) if not found[3].rstrip().endswith("/") else None
-                at = end.end() if end else at if found[3].rstrip().endswith("/") else len(page)
+                closed = found[3].rstrip().endswith("/")
+                end = None if closed else re.compile(rf"</{re.escape(tag)}(?![a-z0-9-])[^>]*(?:>|\Z)", re.I).search(page, at)
+                at = end.end() if end else at if closed else len(page)
             elif tag == "br":
                 self.text.append(" ")
             elif tag in _VOID:
@@ -101,29 +137,35 @@ class _Page:
         text = " ".join("".join(self.text).split()) if self.text else ""
         self.text.clear()
         if text:
-            kind = 0.0 if any(x[3] == 0 for x in self.stack) else max((x[3] for x in self.stack), default=1.0)
-            home = next((x[1] for x in self.stack[-2::-1] if x[0] in _HOMES or x[4] and x[0] != "section"), 0)
-            goes_along = not (self.stack and self.stack[-1][4]) and 2 * self.linked <= len(text)
-            self.blocks.append((tuple(x[1] for x in self.stack), self.stack[-1][2] if self.stack else "", kind, text, home, goes_along))
+            top = self.stack[-1]
+            self.blocks.append(_Block(top, 0 if top.outside else top.kind, text, not top.named and not top.outside and 2 * self.linked <= len(text)))
         self.linked = 0
 
     def open(self, tag: str, attributes: str) -> None:
         self.flush()
-        if any(x[0] == "p" for x in self.stack):
-            self.pop({"p"}, set())
+        self.pop({"p"}, set())
         if tag in _CLOSES:
             self.pop(*_CLOSES[tag])
         self.number += 1
         names = "".join(sorted({"." + w for x in _NAMES.findall(attributes) for w in x.lower().strip("\"'").split()})) if attributes.strip() else ""
-        self.stack.append((tag, self.number, f"{self.stack[-1][2] if self.stack else ''}/{tag}{names}", _kind(tag, attributes), bool(names)))
+        top, kind = self.stack[-1], _kind(tag, attributes)
+        home = top.number if top.tag in _HOMES or top.named and top.tag != "section" else top.home
+        path = self.paths.setdefault((top.path, tag + names), len(self.paths) + 1)
+        self.stack.append(_Element(tag, self.number, path, top.outside or kind == 0, max(top.kind, kind), bool(names), home))
+        self.open_tags[tag] += 1
+
+    def cut(self, k: int) -> None:
+        for x in self.stack[k:]:
+            self.open_tags[x.tag] -= 1
+        del self.stack[k:]
 
     def pop(self, tags: set[str], stop: set[str]) -> None:
-        for k in range(len(self.stack) - 1, -1, -1):
-            if self.stack[k][0] in stop:
-                return
-            if self.stack[k][0] in tags:
-                del self.stack[k:]
-                return
+        if any(self.open_tags[t] for t in tags):
+            for k in range(len(self.stack) - 1, max(0, len(self.stack) - 1 - REACH), -1):
+                if self.stack[k].tag in stop:
+                    return
+                if self.stack[k].tag in tags:
+                    return self.cut(k)
 
     def close(self, tag: str) -> None:
         if tag in _INLINE:
@@ -131,36 +173,39 @@ class _Page:
                 self.link = False
             return
         self.flush()
-        for k in range(len(self.stack) - 1, -1, -1):
-            if self.stack[k][0] == tag:
-                del self.stack[k:]
-                return
+        self.pop({tag}, set())
 
 
-def fused_ratios(blocks: list[tuple[tuple[int, ...], str, float, str, int, bool]]) -> np.ndarray:
+def fused_ratios(blocks: list[_Block]) -> np.ndarray:
     """Each block's fused and smoothed ratio of its path's text length and punctuation."""
-    sums: dict[str, list[float]] = {}
-    for _, path, _, text, *_ in blocks:
-        got = sums.setdefault(path, [0.0, 0.0, 0.0])
-        got[0] += len(text)
-        got[1] += len(_MARKS.findall(text))
-        got[2] += 1
-    length, marks = (np.array([sums[b[1]][k] / sums[b[1]][2] for b in blocks]) for k in (0, 1))
-    weight = np.convolve(np.ones(len(blocks)), _SMOOTH, "same") if len(blocks) >= 5 else np.ones(len(blocks))
+    path = np.unique([b.element.path for b in blocks], return_inverse=True)[1]
+    size = np.bincount(path)
+    length, marks = ((np.bincount(path, x) / size)[path] for x in ([len(b.text) for b in blocks], [len(_MARKS.findall(b.text)) for b in blocks]))
     if len(blocks) >= 5:
+        weight = np.convolve(np.ones(len(blocks)), _SMOOTH, "same")
         length, marks = (np.convolve(x, _SMOOTH, "same") / weight for x in (length, marks))
-    return length * (1 + marks) * np.array([b[2] for b in blocks])
+    return length * (1 + marks) * np.array(FACTORS)[[b.kind for b in blocks]]
 
 
 def main_text(page: str | None) -> str:
     """The page's main text: its content blocks, one a line."""
     blocks = _Page(page or "").blocks
-    if not blocks:
+    if not blocks or all(b.kind == 0 for b in blocks):
         return ""
     ratio = fused_ratios(blocks)
     strong = (ratio > 0) & (ratio >= THRESHOLD * float(np.std(ratio)))
-    homes = {key for b, on in zip(blocks, strong, strict=True) if on for key in (b[4], b[0][-1] if b[0] else 0)}
-    return "\n".join(b[3] for b, on in zip(blocks, strong, strict=True) if on or b[2] > 0 and b[5] and b[4] in homes)
+    first: dict[int, int] = {}
+    last: dict[int, int] = {}
+    for k in np.flatnonzero(strong).tolist():
+        for home in (blocks[k].element.home, blocks[k].element.number):
+            first.setdefault(home, k)
+            last[home] = k
+
+    def stays(k: int, b: _Block) -> bool:
+        home = b.element.home
+        return b.goes_along and k < last.get(home, -1) and (k > first[home] or b.element.tag in _HEADINGS)
+
+    return "\n".join(b.text for k, b in enumerate(blocks) if strong[k] or stays(k, b))
 
 
 def extract(pages: DataFrame, html: str = "html", into: str = "text") -> DataFrame:
