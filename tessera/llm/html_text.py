@@ -3,9 +3,9 @@
 A page becomes a row of text blocks, each with its path of tags from the root to the leaf. Paths
 are nodes of a trie (parent, tag, class and id), so time and memory are linear in the page. Per
 path, text length and punctuation are summed and divided by the number of blocks; both ratios are
-smoothed over the row of blocks (a Gaussian), fused by their product, and scaled by a bounded
-factor for what tags and class names on the path say of boilerplate and content. Content are the
-blocks whose fused ratio passes the threshold (a share of its deviation over the page), whatever
+smoothed over the row of blocks (a Gaussian), fused by their product, scaled by a bounded factor for
+what tags and class names on the path say of boilerplate and content, and averaged by path again. Content are the
+blocks whose fused ratio passes the threshold (a share of its deviation and mean over the page), whatever
 their names. Two kinds of short blocks go with them: headings before such a block of the same named
 element or article, and blocks between two such blocks of it; not those with a class or id of their
 own, within boilerplate by name, or made of links mostly.
@@ -51,8 +51,9 @@ _MARKS = re.compile(r"[.,;:!?…。，、！？]")
 _HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 #: What boilerplate, unknown and content names multiply a ratio by; and open elements that a tag looks past.
 FACTORS, REACH = (0.05, 1.0, 2.0), 64
-#: Share of the deviation that a path's fused ratio has to reach, and the smoothing kernel.
-THRESHOLD, _SMOOTH = 0.6, np.exp(-0.5 * np.arange(-2, 3) ** 2)
+#: Shares of the deviation and of the mean (pages of equal blocks have no deviation) that a path's
+#: fused ratio has to reach, and the smoothing kernel.
+THRESHOLD, LEAST, _SMOOTH = 0.6, 0.2, np.exp(-0.5 * np.arange(-2, 3) ** 2)
 
 
 def _kind(tag: str, attributes: str) -> int:
@@ -177,14 +178,15 @@ class _Page:
 
 
 def fused_ratios(blocks: list[_Block]) -> np.ndarray:
-    """Each block's fused and smoothed ratio of its path's text length and punctuation."""
+    """The fused and smoothed ratio of text length and punctuation of each block's path."""
     path = np.unique([b.element.path for b in blocks], return_inverse=True)[1]
     size = np.bincount(path)
     length, marks = ((np.bincount(path, x) / size)[path] for x in ([len(b.text) for b in blocks], [len(_MARKS.findall(b.text)) for b in blocks]))
     if len(blocks) >= 5:
         weight = np.convolve(np.ones(len(blocks)), _SMOOTH, "same")
         length, marks = (np.convolve(x, _SMOOTH, "same") / weight for x in (length, marks))
-    return length * (1 + marks) * np.array(FACTORS)[[b.kind for b in blocks]]
+    fused = length * (1 + marks) * np.array(FACTORS)[[b.kind for b in blocks]]
+    return (np.bincount(path, fused) / size)[path]
 
 
 def main_text(page: str | None) -> str:
@@ -193,7 +195,7 @@ def main_text(page: str | None) -> str:
     if not blocks or all(b.kind == 0 for b in blocks):
         return ""
     ratio = fused_ratios(blocks)
-    strong = (ratio > 0) & (ratio >= THRESHOLD * float(np.std(ratio)))
+    strong = (ratio > 0) & (ratio >= max(THRESHOLD * float(np.std(ratio)), LEAST * float(np.mean(ratio))))
     first: dict[int, int] = {}
     last: dict[int, int] = {}
     for k in np.flatnonzero(strong).tolist():

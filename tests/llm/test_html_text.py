@@ -19,8 +19,8 @@ def test_an_article_named_like_boilerplate_is_found():
 
 
 def test_headings_and_items_between_content_stay():
-    page = f"<article><h1>Head</h1>{BODY}<h2>Next</h2><ul><li>one<li>two</ul>{BODY}<h3>After</h3></article>"
-    assert html_text.main_text(page).split("\n") == ["Head", *LONG, "Next", "one", "two", *LONG]
+    page = f"<article><h1>Head</h1>{BODY}<h2>Next</h2><ul><li>one<li>two</ul>{BODY}<hr>By line</article>"
+    assert html_text.main_text(page).split("\n") == ["Head", *LONG, "Next", "one", "two", *LONG, "By line"]
 
 
 def test_nesting_is_linear():
