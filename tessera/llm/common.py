@@ -50,6 +50,18 @@ def sized(df: DataFrame, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
 
 
+#: Rows from which on a key is hot.
+HOT = 1000
+
+
+def join_counts(rows: DataFrame, counts: DataFrame, key: str) -> DataFrame:
+    """rows.join(counts, key), where counts (key, n) says how many rows a key has. Rows of hot keys,
+    of which there are few for the rows, meet a broadcast of these; the others are shuffled by key."""
+    hot = sized(counts.filter(F.col("n") >= HOT), 32)
+    cold = rows.join(hot.select(key), key, "left_anti").join(counts.filter(F.col("n") < HOT), key)
+    return rows.join(hot, key).unionByName(cold)
+
+
 def held_out(doc_id) -> "F.Column":
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 

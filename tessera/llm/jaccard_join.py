@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import Words, distinct_sets, mix, shingles, sized, slices, stored, table
+from tessera.llm.common import Words, distinct_sets, join_counts, mix, shingles, sized, slices, stored, table
 from tessera.llm.components import components
 
 THRESHOLD, DEPTHS, RECALL = 0.8, 3, 0.9999
@@ -233,7 +233,7 @@ def _buckets(sets: DataFrame) -> DataFrame:
         last = depth == DEPTHS - 1
         rows = rows.withColumn("key", F.col("steps")[depth])
         counts = rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-        rows = stored(rows.join(counts, "key"))
+        rows = stored(join_counts(rows, counts, "key"))
         part = rows if last else rows.filter(F.col("n") <= SMALL)
         part = part.select("set_key", "key", "n")
         found = part if found is None else found.unionByName(part)
@@ -252,7 +252,7 @@ def join_sets(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame,
     alike = dealt(_buckets(sketches), "key", "n").select("key", "i", "j", "block", "set_key", "sketch").mapInArrow(_may_be_alike, "a long, b long")
     candidates = components(alike)
     size = candidates.groupBy("root").agg(F.count("*").alias("n"))
-    wanted = candidates.withColumnRenamed("node", "set_key").join(size, "root").join(sets, "set_key").select("set_key", "root", "n", "copies", "first_id")
+    wanted = join_counts(candidates.withColumnRenamed("node", "set_key"), size, "root").join(sets, "set_key").select("set_key", "root", "n", "copies", "first_id")
     # Whole texts come from one row of each set; rows without doc_id are found by their sets.
     wanted = stored(wanted)
     named = docs.join(sized(wanted.select(F.col("first_id").alias("doc_id"), "set_key"), 16), "doc_id").select("set_key", "text")

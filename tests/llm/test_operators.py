@@ -155,6 +155,29 @@ def test_join_against_brute_force(docs, none):
     assert jaccard_join.keep_one(none).isEmpty()
 
 
+def test_join_of_hot_keys_and_classes_against_brute_force(spark, monkeypatch):
+    from tessera.llm import common
+
+    monkeypatch.setattr(common, "HOT", 3)
+    rng = np.random.default_rng(8)
+    base = [[f"s{g}x{k}" for k in range(40)] for g in range(6)]
+    texts = []
+    for k in range(160):
+        w = list(base[k % 6])
+        for at in rng.integers(0, 40, rng.integers(0, 3)):
+            w[at] = f"n{k}x{at}"
+        texts.append(" ".join(w))
+    rows = [(3 * k, t) for k, t in enumerate(texts)]
+    sets = [frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) for w in map(str.split, texts)]
+    link = [[j for j in range(160) if j != i and 9 * len(sets[i] & sets[j]) >= 4 * (len(sets[i]) + len(sets[j]))] for i in range(160)]
+    least = list(range(160))
+    for _ in range(160):
+        least = [min([least[i], *(least[j] for j in link[i])]) for i in range(160)]
+    got = {r["doc_id"]: r for r in jaccard_join.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    copy = {s: min(k for k in range(160) if sets[k] == s) for s in sets}
+    assert {d: (r["class_id"], r["copy_id"], r["n_links"]) for d, r in got.items()} == {3 * i: (3 * least[i], 3 * copy[sets[i]], len(link[i])) for i in range(160)}
+
+
 def test_join_links_pairs_of_exactly_the_threshold(spark):
     # 12 of 15, 24 of 30 and 96 of 120 shingles; and one word more, which is below it.
     pairs = [([f"a{n}x{k}" for k in range(n + 4)], extra) for n, extra in ((12, 3), (24, 6), (96, 24), (12, 4), (24, 7), (96, 25))]
