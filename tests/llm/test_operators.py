@@ -234,6 +234,42 @@ def test_top_k_is_exact(spark):
     assert topk_search.top_k(df.limit(0), df.limit(0), 5).isEmpty()
 
 
+def test_top_k_skips_lists_and_loses_nothing():
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(12, 64))
+    c = np.floor(256 * (centres[rng.integers(0, 12, 3000)] + 0.3 * rng.normal(size=(3000, 64))) / 8)
+    q = c[:40]
+    score = q @ c.T
+    cut = np.sort(score, axis=1)[:, -6]
+    rows, columns, got, taken = topk_search.entries(q, c, cut)
+    want = np.nonzero(score >= cut[:, None])
+    assert (np.stack((rows, columns)) == np.stack(want)).all() and (got == score[want]).all()
+    assert taken < 0.8 * topk_search.DIM_LISTS * score.size
+    everything = topk_search.entries(q, c, np.full(40, -np.inf))
+    assert len(everything[0]) == score.size
+
+
+def test_top_k_query_with_odd_vectors(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    rows = [(k, rng.normal(size=8).tolist(), k % 3) for k in range(120)]
+    rows[3] = (3, [1e30, *[0.5] * 7], 0)
+    rows[50] = (50, [1e30, -1e30, *[0.25] * 6], 0)
+    rows[7], rows[8], rows[9], rows[10] = (7, None, 1), (8, [None, *[1.0] * 7], 1), (9, [float("nan"), *[1.0] * 7], 1), (10, [float("inf"), *[1.0] * 7], 1)
+    rows += [(None, [9.0] * 8, 0), (11, [0.1, 0.2], 0), (100, rows[100][1], 0), (12, [], 0)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = topk_search.op7_topk_search(spark, str(tmp_path))
+    assert got.dtypes == [("query_id", "bigint"), ("rank", "int"), ("vec_id", "bigint"), ("score", "bigint")]
+    whole = [(k, [int(np.floor(256 * x)) for x in v]) for k, v, _ in rows if k is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    found = {}
+    for r in got.orderBy("query_id", "rank").collect():
+        found.setdefault(r["query_id"], []).append((r["score"], r["vec_id"]))
+    for name, q in dict(whole).items():
+        if name % 50 == 0:
+            scores = [(max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(q, v, strict=False)))), k) for k, v in whole if k != name]
+            assert found.pop(name) == sorted(scores, key=lambda x: (-x[0], x[1]))[:5]
+    assert not found
+
+
 def test_url_rules_and_model(spark):
     urls = ["https://A.Example.com/en/7x?q", "http://x.com/en/1", "https://blog.casino-win.example.info/fr/1", "https://garden.example.info/fr/2", None, "no scheme", "ftp://h#/en/", "https://example.net/de/81", "https://y.net/de/81", "://"]
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
