@@ -20,20 +20,42 @@ from tessera.llm.common import slices, table, text_bytes
 RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
 BUCKETS = 1 << 15
 
-#: The labelled table: host and path patterns of unwanted and wanted pages.
-_BLOCK_WORDS = "casino poker slots jackpot betting free-bets bets-online bookmaker cheap-pills pharmacy-meds viagra xxx adult adult-x porn escort ads-track adserver clicktrack tracker spam-farm link-farm spam casino-win lottery payday-loans replica-watches warez crack-keygen malware phishing-login".split()
-_ALLOW_WORDS = "news daily garden school library science history museum weather recipes travel books music sports health city university research forum wiki archive journal planet river forest kitchen market studio theatre gazette atlas harbour meadow thatre ononti ererand heading theron tionand ingthe anderes enstion nothing evening thinking within another bathing cooking thinker building lighting southern northern reading".split()
-_PATHS = ["/", "/en/12", "/de/345.html", "/fr/6/", "/es/789", "/about", "/articles/2023/05/story", "/index.html"]
+#: What the labelled table is made of: words of unwanted hosts, words of wanted ones, and wanted hosts
+#: that hold a part of an unwanted word.
+_UNWANTED = """casino poker slots jackpot roulette blackjack betting bets sportsbook bookmaker gambling baccarat lotto-win
+pills viagra cialis xanax tramadol steroids cheap-meds diet-pills slimming-tea porn porno xxx sexcam sex-chat escorts hentai nudes
+hot-girls camgirls webcam-girls adult-video adult-chat hookup milf fetish ads adserver ad-track adclick popads banner-ads clickbait
+clicktrack tracking-pixel tracker-ads spy-pixel spam spammer link-farm backlinks seo-links buy-followers malware phishing
+verify-account secure-login-update wallet-unlock free-gift prize-winner you-won crypto-doubler payday-loans fast-loans quick-cash
+get-rich forex-signals replica-watches fake-rolex replica-bags warez crackz keygen serial-crack torrentz nulled free-downloadz""".split()
+_WANTED = """news daily-post garden school library science history museum weather recipes travel books music sports health city-council
+university research forum wiki archive journal planet river forest kitchen market studio theatre gazette atlas harbour meadow cooking
+gardening woodwork cycling hiking football cricket chess physics chemistry biology astronomy geology philosophy poetry novels painting
+photography architecture engineering software developer python-docs linux database hospital clinic dentist pharmacy-school nursing
+charity church parish village county museum-of-art orchestra choir railway airport bakery brewery vineyard farm dairy fishing sailing
+insurance bank credit-union savings tax-office parliament court law-review police fire-brigade kindergarten teacher student alumni
+campus academy institute laboratory observatory zoo aquarium botanic heritage folklore language dictionary grammar translation
+documentary cinema radio television newspaper magazine editor publisher printing paper furniture carpentry textile knitting pottery""".split()
+_NEAR = """adult-learning adulteducation adult-literacy tracker-museum animal-tracker track-and-field trackside essex sussex-news
+middlesex unisex-salon sextant-maps slot-car-racing time-slots pillow-shop caterpillars spillway girls-school girl-guides
+addresses adelaide adventure address-book badminton broadcast academic-adviser betterment alphabet tibet diabetes-care
+crackers-and-cheese nutcracker loanwords student-loan-advice replica-ships museum-replicas spamalot-musical winner-chess prize-essay
+cash-flow-accounting giftwrap free-library free-verse watches-and-clocks signals-museum video-archive chatham chateau
+pixel-art hot-springs farmers link-road escort-ships fast-trains rich-text wallets-leather unlocking-literature""".split()
+_AROUND = ["{}", "my{}", "{}-online", "best-{}", "{}24", "the-{}", "{}s", "{}-world", "top-{}", "{}hub"]
+_PARENTS = ["example.com", "example.net", "example.org", "com", "net", "org", "info"]
+_PATHS = ["/", "/12", "/345.html", "/6/", "/about", "/articles/2023/05/story", "/index.html", "/a/b?c"]
 
 
 def labelled_urls() -> list[tuple[str, str, int]]:
-    """host, path, 1 for unwanted: each word under several parent domains."""
+    """host, path, 1 for unwanted: each word in several surroundings under several parent domains."""
     out = []
-    for label, words in ((1, _BLOCK_WORDS), (0, _ALLOW_WORDS)):
+    for label, words in ((1, _UNWANTED), (0, _WANTED + _NEAR)):
         for k, word in enumerate(words):
-            for j, head in enumerate(("", "www.", "m.", "blog.")):
-                tail = ("example.com", "example.net", "example.org", "com", "net", "info")[(k + j) % 6]
-                out.append((f"{head}{word}.{tail}", _PATHS[(k + 3 * j) % len(_PATHS)], label))
+            for j, around in enumerate(_AROUND):
+                name = around.format(word if (j + k) % 3 else word.replace("-", ""))
+                host = f"{('', 'www.', 'm.')[(k + j) % 3]}{name}.{_PARENTS[(3 * k + j) % len(_PARENTS)]}"
+                out.append((host, _PATHS[(k + 3 * j) % len(_PATHS)], label))
     return out
 
 
@@ -72,10 +94,11 @@ def train(rows: list[tuple[str, str, int]]) -> tuple[np.ndarray, float]:
     y, n = np.array([x[2] for x in rows], float), len(rows)
     bucket, doc = (np.concatenate(x) for x in zip(grams(hosts, 1), grams(paths, 2), strict=True))
     w, bias = np.zeros(BUCKETS), -1.0
-    for _ in range(400):
+    rate = 8.0 / n  # both labels' rows are few and short, so plain gradient steps do
+    for _ in range(300):
         z = bias + np.bincount(doc, w[bucket], n)
         miss = y - 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        w += 0.5 * (np.bincount(bucket, miss[doc], BUCKETS) / 20 - 0.002 * w)
+        w += rate * (np.bincount(bucket, miss[doc], BUCKETS) - 0.2 * w)
         bias += 0.02 * (miss.mean() - 0.2 * (bias + 1))
     return w, float(bias)
 

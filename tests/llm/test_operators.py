@@ -280,6 +280,28 @@ def test_url_rules_and_model(spark):
     assert got[7][2] == "example.net/de/8" and got[8][2] == "net/de/"
 
 
+def test_url_model_on_held_out_and_unseen_hosts():
+    rows = url_filter.labelled_urls()
+    held, rest = [x for k, x in enumerate(rows) if k % 5 == 0], [x for k, x in enumerate(rows) if k % 5]
+    score = lambda urls, model: url_filter.scores(pa.array([x[0] for x in urls]), pa.array([x[1] for x in urls]), *model)
+    got, label = score(held, url_filter.train(rest)) >= 0.5, np.array([x[2] for x in held])
+    assert got[label == 1].mean() >= 0.97 and got[label == 0].mean() <= 0.01
+    model = url_filter.train(rows)
+    wanted = ["adultlearning.org", "tracker-museum.org", "garden.example.info", "essexlibrary.org", "pythonlibrary.org", "northern.com"]
+    unwanted = ["hotgirls.net", "buy-cialis.info", "gambling.example.org", "viagra-now.com", "xxxvideos.example.com", "onlinepoker.example.net"]
+    assert score([(x, "/en/12") for x in wanted], model).max() < 0.5 <= score([(x, "/en/12") for x in unwanted], model).min()
+
+
+def test_url_filter_on_empty_long_and_clashing_tables(spark):
+    rows = [(1, "HTTP://A.b/" + "x" * 200_000 + "?q", "old"), (1, "", None), (None, None, "x")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, host string")
+    got = url_filter.filter_urls(pages, url_filter.RULES, url_filter.labelled_urls()).collect()
+    assert sorted((r["host"], len(r["path"])) for r in got) == [("", 0), ("", 0), ("a.b", 200_001)] and {r["verdict"] for r in got} <= {"allow", "block"}
+    assert url_filter.filter_urls(pages.limit(0), url_filter.RULES, url_filter.labelled_urls()).isEmpty()
+    query = url_filter.op8_url_filter(spark, "/root/testdata/sf0.001")
+    assert query.dtypes[:5] == [("page_id", "bigint"), ("host", "string"), ("path", "string"), ("rule", "string"), ("verdict", "string")]
+
+
 def test_main_text(spark):
     page = "<html><head><title>T</title><script>x<p></script></head><body><nav><ul><li>Home</ul></nav><div class='ad'>Buy now, today.</div><article><h1>Title &amp; more</h1><p>One,\n two. <b>Bold<br><p>Three &lt; four.</article><div id=comments><p>Nice, very nice post.</p></div><footer>Foot, note.</footer>"
     assert html_text.main_text(page) == "Title & more\nOne, two. Bold\nThree < four."
