@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import math
 import uuid
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import Words, slices, table
+from tessera.llm.common import Words, slices, stored, table
 
 WINDOW = 10
 #: Characters of benchmark text that share an automaton.
@@ -173,9 +174,10 @@ _WINDOWS: dict[str, Windows] = {}
 
 
 def _windows(block) -> Windows:
-    """The block's windows, built once in each Python worker."""
+    """The block's windows, built once in each Python worker, which holds one block's at a time."""
     key, items = block
     if key not in _WINDOWS:
+        _WINDOWS.clear()
         _WINDOWS[key] = Windows(items.value)
     return _WINDOWS[key]
 
@@ -205,8 +207,12 @@ def _passed(df: DataFrame, block, make, added: list[T.StructField]) -> DataFrame
 def match(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """docs with _text, and for each block k: _spans_k (starts and ends of hit words in turn),
     _items_k, _words_k."""
+    return _found(docs, _blocks(benchmark), text)
+
+
+def _found(docs: DataFrame, blocks: list, text: str) -> DataFrame:
     df = docs.withColumn("_text", F.col(text))
-    for k, block in enumerate(_blocks(benchmark)):
+    for k, block in enumerate(blocks):
         added = [T.StructField(f"_spans_{k}", T.ArrayType(T.LongType())), T.StructField(f"_items_{k}", T.ArrayType(T.StringType())), T.StructField(f"_words_{k}", T.LongType())]
 
         def make(windows, rows):
@@ -227,57 +233,105 @@ def _merged(spans: list[list[int]]) -> list[tuple[int, int]]:
     return out
 
 
+def _joined(df: DataFrame, make, added: list[T.StructField], dropped: list[str]) -> DataFrame:
+    """df with columns that make() takes from each row's spans of all blocks, without those dropped.
+    Each block's pass has a Python worker of its own, so a worker holds one automaton."""
+    numbers = [c.rsplit("_", 1)[1] for c in df.columns if c.startswith("_spans_")]
+    kept = [f for f in df.schema.fields if f.name not in dropped and f.name not in {a.name for a in added}]
+    schema = T.StructType([*kept, *added])
+
+    def run(batches):
+        for batch in batches:
+            for rows in slices(batch, "_text"):
+                spans = [_merged([x or [] for x in each]) for each in zip(*(rows.column(f"_spans_{k}").to_pylist() for k in numbers), strict=True)]
+                yield pa.RecordBatch.from_arrays([*(rows.column(f.name) for f in kept), *make(rows, spans)], names=schema.names)
+
+    return df.mapInArrow(run, schema)
+
+
 def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, n_words, n_hit, items (ids of items with occurring windows, sorted) of each document."""
     df = match(docs.select("doc_id", "text"), benchmark)
-    blocks = [c.rsplit("_", 1)[1] for c in df.columns if c.startswith("_spans_")]
-    if len(blocks) == 1:
-        spans = F.col("_spans_0")
-        n_hit = F.aggregate(F.transform(spans, lambda x, i: F.when(i % 2 == 1, x).otherwise(-x)), F.lit(0).cast("long"), lambda a, x: a + x)
+    lists = [c for c in df.columns if c.startswith("_items_")]
+    n_hit = lambda _, spans: [pa.array([sum(b - a for a, b in x) for x in spans], pa.int64())]
+    if len(lists) == 1:
+        count = F.aggregate(F.transform("_spans_0", lambda x, i: F.when(i % 2 == 1, x).otherwise(-x)), F.lit(0).cast("long"), lambda a, x: a + x)
+        df = df.withColumn("_n_hit", count)
     else:
-        count = F.udf(lambda *spans: sum(b - a for a, b in _merged(list(spans))), "long")
-        n_hit = count(*[F.col(f"_spans_{k}") for k in blocks])
-    items = F.array_sort(F.array_distinct(F.concat(*[F.col(f"_items_{k}") for k in blocks])))
-    return df.select("doc_id", F.col("_words_0").alias("n_words"), n_hit.alias("n_hit"), items.alias("items"))
+        df = _joined(df, n_hit, [T.StructField("_n_hit", T.LongType())], ["text"])
+    items = F.array_sort(F.array_distinct(F.concat(*lists)))
+    return df.select("doc_id", F.col("_words_0").alias("n_words"), F.col("_n_hit").alias("n_hit"), items.alias("items"))
+
+
+def _without(text: str, words: Words, number: int, spans: list[tuple[int, int]]) -> str:
+    """The text without these spans of its words; words: those of a list of texts, of which it is one."""
+    raw, first, base = text.encode(), int(words.first[number]), int(words.docs[number])
+    kept, end = [], 0
+    for a, b in spans:
+        kept.append(raw[end : int(words.starts[first + a]) - base])
+        end = int(words.ends[first + b - 1]) - base
+    return b" ".join([*(x.strip() for x in kept), raw[end:].strip()]).strip().decode()
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, max_coverage: float = 0.5, text: str = "text") -> DataFrame:
-    """docs without the words hit, and without documents of which more than max_coverage is hit."""
-    blocks, columns = _blocks(benchmark), docs.columns
-    schema = docs.schema
-    at = columns.index(text)
+    """docs without the words hit, and without documents of which more than max_coverage is hit.
+    Where a cut brings a new window together, that is cut too."""
+    blocks = _blocks(benchmark)
+    return _cut_at_once(docs, blocks[0], max_coverage, text) if len(blocks) == 1 else _cut_in_rounds(docs, blocks, max_coverage, text)
+
+
+def _cut_at_once(docs: DataFrame, block, max_coverage: float, text: str) -> DataFrame:
+    columns, at = docs.columns, docs.columns.index(text)
 
     def run(batches):
-        every = [_windows(block) for block in blocks]
+        windows = _windows(block)
         for batch in batches:
             for rows in slices(batch, text):
                 texts = rows.column(text).to_pylist()
-                covered = np.zeros(len(texts), np.int64)
-                total, todo = None, np.arange(len(texts))
+                covered, total = np.zeros((2, len(texts)), np.int64)
+                todo, begun = np.arange(len(texts)), False
                 while len(todo):
-                    found = [w.find(pa.array([texts[i] for i in todo], pa.string())) for w in every]
-                    words = found[0][0]
-                    total = words.count.copy() if total is None else total
-                    left = []
-                    for k, i in enumerate(todo):
-                        spans = _merged([[x for s in f[1][k] for x in s] for f in found])
-                        if not spans:
-                            continue
-                        raw, first, base = texts[i].encode(), int(words.first[k]), int(words.docs[k])
-                        kept, end = [], 0
-                        for a, b in spans:
-                            kept.append(raw[end : int(words.starts[first + a]) - base])
-                            end = int(words.ends[first + b - 1]) - base
-                            covered[i] += b - a
-                        texts[i] = b" ".join([*(x.strip() for x in kept), raw[end:].strip()]).strip().decode()
-                        left.append(i)
-                    todo = np.array(left, np.int64)
-                keep = covered <= max_coverage * total if total is not None else np.ones(0, bool)
+                    words, found, _ = windows.find(pa.array([texts[i] for i in todo], pa.string()))
+                    if not begun:
+                        total, begun = words.count.copy(), True
+                    hit = [k for k in range(len(todo)) if found[k]]
+                    for k in hit:
+                        texts[todo[k]] = _without(texts[todo[k]], words, k, found[k])
+                        covered[todo[k]] += sum(b - a for a, b in found[k])
+                    todo = todo[hit]
                 out = list(rows.columns)
                 out[at] = pa.array(texts, rows.schema.field(at).type)
-                yield pa.RecordBatch.from_arrays(out, names=columns).filter(pa.array(keep))
-
-    return docs.mapInArrow(run, schema)
+                yield pa.RecordBatch.from_arrays(out, names=columns).filter(pa.array(covered <= max_coverage * total))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def _cut_in_rounds(docs: DataFrame, blocks: list, max_coverage: float, text: str) -> DataFrame:
+    """The same where the benchmark has several blocks: each round is a pass by every block over the
+    documents that the round before has changed, until none is."""
+    long = lambda name: T.StructField(name, T.LongType())
+
+    def make(rows, spans):
+        words, texts = Words(rows.column("_text")), rows.column("_text").to_pylist()
+        out = [_without(t, words, k, spans[k]) if spans[k] else t for k, t in enumerate(texts)]
+        hit = np.array([sum(b - a for a, b in x) for x in spans], np.int64)
+        total = np.where(rows.column("_total").to_numpy() < 0, words.count, rows.column("_total").to_numpy())
+        return [pa.array(out, pa.string()), pa.array(rows.column("_covered").to_numpy() + hit), pa.array(total), pa.array(hit)]
+
+    added = [T.StructField("text", T.StringType()), long("_covered"), long("_total"), long("_hit")]
+    columns = docs.columns
+    zero = F.lit(0).cast("long")
+    todo = docs.select(F.struct(*columns).alias("_row"), F.col(text).alias("text"), zero.alias("_covered"), (zero - 1).alias("_total"), zero.alias("_hit"))
+    done = []
+    while True:
+        found = _found(todo, blocks, "text")
+        dropped = [c for c in found.columns if c.startswith(("_spans_", "_items_", "_words_", "_text"))]
+        after = stored(_joined(found, make, added, dropped))
+        done.append(after.filter("_hit = 0"))
+        todo = after.filter("_hit > 0")
+        if todo.isEmpty():
+            kept = reduce(DataFrame.unionByName, done).filter(F.col("_covered") <= max_coverage * F.col("_total"))
+            return kept.select(*(F.col("text").alias(c) if c == text else F.col("_row")[c].alias(c) for c in columns))
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

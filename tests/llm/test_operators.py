@@ -142,6 +142,24 @@ def test_decontamination_against_brute_force(spark, docs, none):
     assert decontaminate.decontaminate(none, bench).isEmpty() and decontaminate.hits(docs, none.selectExpr("doc_id item_id", "text")).filter("n_hit > 0").isEmpty()
 
 
+def test_decontamination_by_several_blocks_is_the_same(spark, docs, none, monkeypatch):
+    text = {r["doc_id"]: r["text"] for r in docs.collect()}
+    w = words(text[3])
+    items = [(k, " ".join(w[at : at + 25])) for k, at in enumerate(range(0, 400, 20))] + [(90, "x"), (91, None), (92, "")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    # Once a passage is cut out, what stood around it is a passage of its own.
+    nested = [(70, " ".join(["before"] + w[:6] + w[100:125] + w[6:20] + ["after"] * 60)), (71, " ".join(w[:200]))]
+    rows = docs.select("doc_id", "text").union(spark.createDataFrame(nested, "doc_id long, text string")).withColumn("_text", F.lit("clash"))
+    results = []
+    for chars in (4_000_000, 900):
+        monkeypatch.setattr(decontaminate, "BLOCK_CHARS", chars)
+        found = decontaminate.hits(rows, bench).collect()
+        clean = decontaminate.decontaminate(rows.drop("_text"), bench).collect()
+        results.append((sorted(map(str, found)), sorted(map(str, clean))))
+        assert decontaminate.decontaminate(none, bench).isEmpty()
+    assert results[0] == results[1] and any("doc_id=70" in x and "before" in x for x in results[0][1])
+
+
 def test_join_against_brute_force(docs, none):
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
     sets = [frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if (w := words(t)) else frozenset() for _, t in rows]
