@@ -34,9 +34,18 @@ def word_count(text: Column) -> Column:
     return F.size(F.filter(F.split(text, r"\s+"), lambda x: x != ""))
 
 
+#: White space at the ends of lines and texts, as a class of a regular expression.
+BLANKS = r"[\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+
+
+def stripped(text: Column) -> Column:
+    """text without white space (of any script) at its ends."""
+    return F.regexp_replace(text, rf"^{BLANKS}+|{BLANKS}+\z", "")
+
+
 def content_lines(text: Column) -> Column:
-    """Trimmed lines that aren't blank."""
-    return F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    """Lines without white space at their ends, those that aren't blank."""
+    return F.filter(F.transform(F.split(text, "\n"), stripped), lambda x: x != "")
 
 
 def first_line(text: Column, n: int) -> Column:

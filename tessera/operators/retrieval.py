@@ -14,9 +14,14 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import dot, rank_text, tokens
 from tessera.operators import scopes as S
+from tessera.session import cut
 from tessera.spec import BM25_B, BM25_K1, DEFAULT_TOP, GRAPH_SEEDS, RECENCY_BASE, RECENCY_SHARE, RRF_K, Detail, Floors, QuerySpec
 
 
+#: The trust that ingested text carries in its meta.
+INGESTED = "ingested"
+
+
 def order(score: str = "score"):
     return Window.partitionBy("query_id").orderBy(F.desc(score), "id")
 
@@ -41,13 +46,22 @@ def corpus_stats(texts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return tf, df, lengths.join(sizes, "query_id")
 
 
-def bm25(texts: DataFrame, queries: DataFrame) -> DataFrame:
-    """query_id, id, bm25 for every candidate; one without a term of the query scores 0. A term
+def bm25(texts: DataFrame, queries: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """query_id, id, bm25 for every candidate of pairs (query_id, id); texts (id, text) are taken
+    apart once each, and only terms that some query has go on. Without pairs, texts has the
+    candidates itself (query_id, id, text). A candidate without a term of the query scores 0. A term
     that the query repeats counts as often as it stands there."""
-    tf, df, sizes = corpus_stats(texts)
+    if pairs is None:
+        own = texts.withColumn("id", F.struct("query_id", "id"))
+        return bm25(own.drop("query_id"), queries, own.drop("text")).withColumn("id", F.col("id.id"))
     asked = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    hits = tf.join(asked, ["query_id", "term"]).join(df, ["query_id", "term"])
-    rows = sizes.join(hits, ["query_id", "id"], "left")
+    words = texts.select("id", tokens(F.col("text")).alias("words"))
+    pairs = cut(pairs.select("query_id", "id").join(words.select("id", F.coalesce(F.size("words"), F.lit(0)).alias("dl")), "id"))
+    sizes = pairs.join(pairs.groupBy("query_id").agg(F.count("*").alias("n"), F.avg("dl").alias("avg_len")), "query_id")
+    terms = words.select("id", F.explode("words").alias("term")).join(asked.select("term").distinct(), "term", "left_semi").groupBy("id", "term").agg(F.count("*").alias("f"))
+    hits = cut(pairs.select("query_id", "id").join(terms, "id").join(asked, ["query_id", "term"]))
+    df = hits.groupBy("query_id", "term").agg(F.count("*").alias("df"))
+    rows = sizes.join(hits.join(df, ["query_id", "term"]), ["query_id", "id"], "left")
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = F.col("times") * idf * F.col("f") * (BM25_K1 + 1) / (F.col("f") + BM25_K1 * (1 - BM25_B + BM25_B * F.col("dl") / F.col("avg_len")))
     return rows.groupBy("query_id", "id").agg(F.coalesce(F.sum(part), F.lit(0.0)).alias("bm25"))
@@ -105,9 +119,11 @@ def lexical_logits(query: pd.Series, text: pd.Series) -> pd.Series:
     return pd.Series(out, dtype=float)
 
 
-def rerank(scored: DataFrame, queries: DataFrame, reranker: Reranker, n: int) -> DataFrame:
+def rerank(scored: DataFrame, queries: DataFrame, reranker: Reranker, n: int, contents: DataFrame | None = None) -> DataFrame:
     """The n first of each query by sort_key, ordered by the reranker; rerank_score is its sigmoid."""
     window = ranked(scored, "sort_key").filter(F.col("rank") <= n).drop("rank").join(queries.select("query_id", F.col("text").alias("_asked")), "query_id")
+    if "content" not in window.columns:
+        window = window.join(contents, "id")
     logit = F.pandas_udf(reranker, "double")(F.col("_asked"), rank_text(F.col("kind"), F.col("content"), F.col("summary")))
     out = window.withColumn("sort_key", logit).drop("_asked")
     return out.withColumn("rerank_score", 1 / (1 + F.exp(-F.col("sort_key"))))
@@ -119,8 +135,10 @@ def retrieve(queries: DataFrame, scopes: DataFrame, artifacts: DataFrame, spec:
     found = S.current(S.candidates(queries, scopes, artifacts, closure, spec, rollups), spec)
     scored, key = cosine(found, queries), "score"
     if spec.mode == "hybrid":
-        texts = scored.select("query_id", "id", rank_text(F.col("kind"), F.col("content"), F.col("summary")).alias("text"))
-        scored, key = rrf(scored.join(bm25(texts, queries), ["query_id", "id"]), "score", "bm25"), "fused"
+        # Whole texts don't travel with the pairs; the few that are needed are joined at the end.
+        scored = cut(scored.drop("vec", "content"))
+        texts = artifacts.select("id", rank_text(F.col("kind"), F.col("content"), F.col("summary")).alias("text"))
+        scored, key = rrf(scored.join(bm25(texts, queries, scored), ["query_id", "id"]), "score", "bm25"), "fused"
     order_by = F.col(key)
     if spec.mode == "vector" and spec.recency_half_life_days > 0:
         order_by = recency(spec)
@@ -131,20 +149,24 @@ def retrieve(queries: DataFrame, scopes: DataFrame, artifacts: DataFrame, spec:
         blended = graph_boost(blended, edges, spec.graph_boost, "sort_key")
     gate = F.lit(True) if spec.min_score <= 0 else F.col("score") >= spec.min_score
     none = F.lit(None).cast("double")
+    contents = artifacts.select("id", "content") if "content" in artifacts.columns else None
     if reranker is None or not (spec.rerank or spec.auto_rerank):
         out = blended.filter(gate).withColumn("rerank_score", none)
     else:
         plain = scored.withColumn("sort_key", F.col(key))
         if spec.rerank:
-            out = rerank(plain.filter(gate), queries, reranker, spec.rerank_n)
+            out = rerank(plain.filter(gate), queries, reranker, spec.rerank_n, contents)
         else:
             flags = borderline(scored, spec.floors, key)
             weak, sure = (flags.filter(F.col("borderline") == x).select("query_id") for x in (True, False))
-            again = rerank(plain.filter(gate).join(weak, "query_id", "left_semi"), queries, reranker, spec.rerank_n)
-            out = again.unionByName(blended.filter(gate).join(sure, "query_id", "left_semi").withColumn("rerank_score", none))
+            again = rerank(plain.filter(gate).join(weak, "query_id", "left_semi"), queries, reranker, spec.rerank_n, contents)
+            out = again.unionByName(blended.filter(gate).join(sure, "query_id", "left_semi").withColumn("rerank_score", none), allowMissingColumns=True)
     k = spec.top_k if spec.top_k > 0 else DEFAULT_TOP
     out = ranked(out, "sort_key").filter(F.col("rank") <= k).drop("sort_key", "vec")
-    out = out.drop("content") if spec.detail < Detail.RAW and "content" in out.columns else out
+    if spec.detail < Detail.RAW:
+        out = out.drop("content")
+    elif spec.mode == "hybrid" and contents is not None:
+        out = out.drop("content").join(contents, "id")
     return out.join(S.paths(scopes, closure), "scope", "left")
 
 
@@ -162,7 +184,7 @@ def decide(hits: DataFrame, queries: DataFrame, floors: Floors) -> DataFrame:
     return row.select("query_id", verdict.alias("confidence"), (verdict != "ok").alias("weak_match"), F.when(by_rerank, "rerank").otherwise("cosine").alias("ranked_by"), top.alias("top_score"), margin.alias("margin"))
 
 
-def with_untrusted(decisions: DataFrame, hits: DataFrame, ingested: Column) -> DataFrame:
-    """decisions with untrusted: whether a hit comes from ingested text."""
-    flags = hits.groupBy("query_id").agg(F.bool_or(ingested).alias("untrusted"))
+def with_untrusted(decisions: DataFrame, hits: DataFrame) -> DataFrame:
+    """decisions with untrusted: whether a hit's meta says that it comes from ingested text."""
+    flags = hits.groupBy("query_id").agg(F.bool_or(F.coalesce(F.col("meta")["trust"] == INGESTED, F.lit(False))).alias("untrusted"))
     return decisions.join(flags, "query_id", "left").withColumn("untrusted", F.coalesce("untrusted", F.lit(False)))

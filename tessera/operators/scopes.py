@@ -15,6 +15,7 @@ def closure(scopes: DataFrame) -> DataFrame:
 
     Climbs one parent a round for all scopes at once; a walk ends at a root, a missing parent or
     a scope it has been at."""
+    scopes = cut(scopes.select("id", "parent"))
     parents = scopes.select(F.col("id").alias("ancestor"), "parent")
     level = scopes.select(F.col("id").alias("descendant"), F.col("id").alias("ancestor"), F.array("id").alias("walked"))
     found, distance = level.select("ancestor", "descendant", F.lit(0).alias("distance")), 0

@@ -11,7 +11,7 @@ fx_artifacts AS (
   SELECT lpad(CAST(d.doc_id AS VARCHAR), 10, '0') AS id, 'R/' || d.lang || '/' || d.source AS scope,
     CASE d.doc_id % 6 WHEN 0 THEN 'answer' WHEN 1 THEN 'insight' WHEN 2 THEN 'summary' WHEN 3 THEN 'document' WHEN 4 THEN 'reasoning' ELSE 'seed' END AS kind,
     CASE WHEN l.quality = 1 THEN 'worktree' ELSE 'workspace' END AS tier, substr(d.text, 1, 80) AS summary, d.text AS content,
-    d.doc_id % 3 = 0 AS published, e.embedding AS vec, CAST('2024-01-01 00:00:00' AS TIMESTAMP) + d.doc_id * INTERVAL '1' HOUR AS created_at,
+    d.doc_id % 3 = 0 AS published, d.source = 'src2' AS ingested, e.embedding AS vec, CAST('2024-01-01 00:00:00' AS TIMESTAMP) + d.doc_id * INTERVAL '1' HOUR AS created_at,
     lead(lpad(CAST(d.doc_id AS VARCHAR), 10, '0')) OVER (PARTITION BY d.text ORDER BY d.doc_id) AS superseded_by
   FROM documents d CROSS JOIN (SELECT count(*) AS n FROM embeddings) c JOIN embeddings e ON e.vec_id = d.doc_id % c.n LEFT JOIN labels l ON l.doc_id = d.doc_id),
 fx_edges AS (
@@ -21,8 +21,8 @@ fx_edges AS (
   UNION ALL SELECT superseded_by, id, 'refines' FROM fx_artifacts WHERE superseded_by IS NOT NULL),
 fx_rollups AS (SELECT scope, min_by(vec, id) AS rollup_vec FROM fx_artifacts GROUP BY scope),
 fx_queries AS (
-  SELECT 'q' || lpad(CAST(e.vec_id AS VARCHAR), 3, '0') AS query_id, CASE e.vec_id % 3 WHEN 0 THEN 'R' WHEN 1 THEN 'R/en' ELSE 'R/en/src1' END AS scope, b.text AS text, e.embedding AS qvec
-  FROM embeddings e JOIN benchmark b ON b.item_id = e.vec_id WHERE e.vec_id < 12),
+  SELECT 'q' || lpad(CAST(e.vec_id AS VARCHAR), 10, '0') AS query_id, CASE e.vec_id % 3 WHEN 0 THEN 'R' WHEN 1 THEN 'R/en' ELSE 'R/en/src1' END AS scope, b.text AS text, e.embedding AS qvec
+  FROM embeddings e CROSS JOIN (SELECT count(*) AS n FROM benchmark) c JOIN benchmark b ON b.item_id = e.vec_id // 50 % c.n WHERE e.vec_id % 50 = 0),
 clo AS (
   SELECT id AS ancestor, id AS descendant, 0 AS distance FROM fx_scopes
   UNION ALL SELECT s.parent, c.descendant, c.distance + 1 FROM clo c JOIN fx_scopes s ON s.id = c.ancestor WHERE s.parent IS NOT NULL),
@@ -99,7 +99,7 @@ def _related(start_dir: str, depth: int, kinds: str = "") -> str:
 
 
 _PROBES = """WITH pr AS (SELECT CAST(l.doc_id AS VARCHAR) AS query_id, l.quality = 1 AS present, v.vec_id, list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])) AS score
-FROM labels l JOIN embeddings e ON e.vec_id = l.doc_id JOIN embeddings v ON v.vec_id <> e.vec_id WHERE l.doc_id < 200),
+FROM labels l CROSS JOIN (SELECT count(*) AS n FROM embeddings) c JOIN embeddings e ON e.vec_id = l.doc_id % c.n JOIN embeddings v ON v.vec_id <> e.vec_id),
 tp AS (SELECT query_id, present, max(CASE WHEN r = 1 THEN score END) AS a, max(CASE WHEN r = 2 THEN score END) AS b FROM
   (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM pr) WHERE r <= 2 GROUP BY ALL)
 """
@@ -146,7 +146,7 @@ UNION ALL SELECT q.query_id, s.sibling, false FROM fx_queries q JOIN sib s USING
     "rerank_topk": _with(_scored("coll"), _RERANK, "SELECT query_id, CAST(r AS INTEGER) AS rank, id, round(score, 6) AS score, round(1 / (1 + exp(-logit)), 6) AS rerank_score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY logit DESC, id) AS r FROM rr) WHERE r <= 5"),
     "auto_rerank_flags": _with(_scored("coll"), _TWO, "SELECT query_id, a < 0.5 OR coalesce(a - b < 0.03, false) AS borderline FROM two"),
     "confidence_verdict": _with(_scored("coll"), _TWO, _VERDICT, "SELECT query_id, confidence, confidence <> 'ok' AS weak_match, 'cosine' AS ranked_by, round(coalesce(a, 0.0), 6) AS top_score, round(coalesce(a - b, 0.0), 6) AS margin FROM ver"),
-    "untrusted_flag": _with(_scored("coll"), _TWO, _VERDICT, "SELECT v.query_id, v.confidence, coalesce(bool_or(h.kind = 'document'), false) AS untrusted FROM ver v LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS r FROM sc) WHERE r <= 5) h USING (query_id) GROUP BY ALL"),
+    "untrusted_flag": _with(_scored("coll"), _TWO, _VERDICT, "SELECT v.query_id, v.confidence, coalesce(bool_or(h.ingested), false) AS untrusted FROM ver v LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS r FROM sc) WHERE r <= 5) h USING (query_id) GROUP BY ALL"),
     "related_out": _related("out", 1),
     "related_in": _related("in", 1, "'depends_on'"),
     "related_both_depth2": _related("both", 2),
@@ -156,16 +156,16 @@ UNION ALL SELECT q.query_id, s.sibling, false FROM fx_queries q JOIN sib s USING
     ),
     "fork_copy": _with("SELECT 'fork-' || id AS id, 'R/en/fork' AS scope, kind, 'workspace' AS tier, false AS published, id AS derived_from FROM fx_artifacts WHERE scope = 'R/en/src1' AND published"),
     "consolidate": _with("SELECT 'sum-' || a.scope AS id, coalesce(s.parent, s.id) AS scope, 'worktree' AS tier, true AS published, CAST(count(*) AS INTEGER) AS n_sources, string_agg(a.id, ',' ORDER BY a.id) AS derived_from FROM fx_artifacts a JOIN fx_scopes s ON s.id = a.scope WHERE a.superseded_by IS NULL AND a.kind = 'reasoning' GROUP BY a.scope, s.parent, s.id"),
-    "crossversion_seeds": _with("ln AS (SELECT id AS scope, list_concat(list_filter(list_transform(string_split(content, chr(10)), lambda x: trim(x)), lambda x: x <> ''), ['one lesson', 'two lessons']) AS l FROM fx_artifacts WHERE kind = 'answer')",
+    "crossversion_seeds": _with("ln AS (SELECT id AS scope, list_concat(list_filter(list_transform(string_split(chr(9) || chr(13) || chr(10) || content || chr(13), chr(10)), lambda x: regexp_replace(x, '^[\\t-\\r \\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+|[\\t-\\r \\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+$', '', 'g')), lambda x: x <> ''), ['one lesson', 'two lessons']) AS l FROM fx_artifacts WHERE kind = 'answer')",
                                "SELECT scope, CAST(unnest(range(len(l))) AS INTEGER) AS at, md5(unnest(l)) AS line, 'seed' AS kind, 'worktree' AS tier FROM ln"),
     "push_lineage": _with("SELECT 'new-' || superseded_by AS id, 'insight' AS kind, 'workspace' AS tier, superseded_by || ',' || id AS detail FROM fx_artifacts WHERE superseded_by IS NOT NULL UNION ALL SELECT id, 'marked', '-', 'new-' || superseded_by FROM fx_artifacts WHERE superseded_by IS NOT NULL"),
     "delete_cascade": _with("gn AS (SELECT id FROM fx_artifacts WHERE kind = 'seed')", "SELECT kind, count(*) AS n FROM fx_artifacts WHERE kind <> 'seed' GROUP BY kind UNION ALL SELECT kind, count(*) FROM fx_edges WHERE from_id NOT IN (SELECT id FROM gn) AND to_id NOT IN (SELECT id FROM gn) GROUP BY kind"),
-    "chunk_window": f"""WITH RECURSIVE l AS (SELECT {_PATH} AS path, string_split(text, chr(10)) AS x FROM documents),
+    "chunk_window": f"""WITH RECURSIVE l AS (SELECT {_PATH} AS path, string_split(CASE WHEN doc_id % 7 = 0 THEN chr(10) || chr(10) ELSE '' END || text, chr(10)) AS x FROM documents),
 w AS (SELECT path, x, 1 AS i, 1 AS a, octet_length(encode(x[1])) AS held FROM l
   UNION ALL SELECT path, x, i + 1, CASE WHEN held > 0 AND held + octet_length(encode(x[i + 1])) + 1 > 1500 THEN i + 1 ELSE a END,
     CASE WHEN held > 0 AND held + octet_length(encode(x[i + 1])) + 1 > 1500 THEN octet_length(encode(x[i + 1])) WHEN held > 0 THEN held + 1 + octet_length(encode(x[i + 1])) ELSE octet_length(encode(x[i + 1])) END FROM w WHERE i < len(x)),
 c AS (SELECT path, a, max(i) AS b, any_value(x) AS x FROM w GROUP BY path, a),
-t AS (SELECT path, a, b, rtrim(array_to_string(x[a:b], chr(10)), chr(10)) AS txt FROM c)
+t AS (SELECT path, a, b, trim(array_to_string(x[a:b], chr(10)), chr(10)) AS txt FROM c)
 SELECT path, CAST(row_number() OVER (PARTITION BY path ORDER BY a) - 1 AS INTEGER) AS chunk, a AS start_line, b AS end_line, md5(txt) AS text_md5 FROM t WHERE trim(txt, ' ' || chr(10)) <> ''""",
     "ingest_reconcile": f"""WITH f AS (SELECT {_PATH} AS path, doc_id, text FROM documents)
 SELECT path, CASE WHEN doc_id % 10 = 0 THEN 'remove' WHEN doc_id % 10 = 2 THEN CASE WHEN trim(text) = '' THEN 'unchanged' ELSE 'add' END WHEN doc_id % 10 = 1 THEN 'update' ELSE 'unchanged' END AS action FROM f""",
@@ -180,7 +180,7 @@ SELECT path, CASE WHEN doc_id % 10 = 0 THEN 'remove' WHEN doc_id % 10 = 2 THEN C
 SELECT count(*) FILTER (present) AS n_present, count(*) FILTER (NOT present) AS n_absent, count(*) FILTER (present AND weak) AS weak_present, count(*) FILTER (NOT present AND weak) AS weak_absent,
 round(coalesce(count(*) FILTER (present AND weak) / nullif(count(*) FILTER (present), 0), 0.0), 6) AS fnr, round(coalesce(count(*) FILTER (NOT present AND NOT weak) / nullif(count(*) FILTER (NOT present), 0), 0.0), 6) AS fpr,
 round(coalesce(max(a) FILTER (NOT present), 0.0), 6) AS max_absent FROM v""",
-    "wall_report": _with(_scored("coll"), "gr AS (SELECT q.query_id, min(h.r) AS best FROM fx_queries q LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS r FROM sc) WHERE r <= 20) h ON h.query_id = q.query_id AND h.id = '0000000' || substr(q.query_id, 2, 3) GROUP BY q.query_id)",
+    "wall_report": _with(_scored("coll"), "gr AS (SELECT q.query_id, min(h.r) AS best FROM fx_queries q LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS r FROM sc) WHERE r <= 20) h ON h.query_id = q.query_id AND h.id = substr(q.query_id, 2) GROUP BY q.query_id)",
                          "SELECT count(*) AS questions, count(*) FILTER (best <= 5) AS found, round(avg(CASE WHEN coalesce(best, 6) <= 5 THEN 1.0 ELSE 0.0 END), 6) AS recall, round(avg(best), 6) AS mean_rank FROM gr"),
     "scenario_metrics": r"""SELECT role, count(*) AS turns, CAST(sum(len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> ''))) AS BIGINT) AS words,
 CAST(sum(len(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{Nd}]+'), lambda x: x <> ''))) AS BIGINT) AS tokens, count(*) FILTER (contains(lower(text), 'the') OR contains(lower(text), 'der')) AS mentions FROM conversations GROUP BY role""",

@@ -35,7 +35,7 @@ def artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(
         padded(F.col("doc_id")).alias("id"), F.concat_ws("/", F.lit("R"), "lang", "source").alias("scope"), F.get(kinds, (F.col("doc_id") % 6).cast("int")).alias("kind"),
         F.when(F.col("quality") == 1, "worktree").otherwise("workspace").alias("tier"), F.substring("text", 1, 80).alias("summary"), F.col("text").alias("content"),
-        (F.col("doc_id") % 3 == 0).alias("published"), "vec", F.expr("TIMESTAMP '2024-01-01 00:00:00' + make_dt_interval(0, doc_id, 0, 0)").alias("created_at"), "superseded_by",
+        (F.col("doc_id") % 3 == 0).alias("published"), "vec", F.when(F.col("source") == "src2", F.create_map(F.lit("trust"), F.lit("ingested"))).alias("meta"), F.expr("TIMESTAMP '2024-01-01 00:00:00' + make_dt_interval(0, doc_id, 0, 0)").alias("created_at"), "superseded_by",
     )
 
 
@@ -54,9 +54,12 @@ def rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e, b = read(spark, sf_dir, "embeddings").filter("vec_id < 12"), read(spark, sf_dir, "benchmark")
+    """Every vector whose id is divisible by 50, with the text of a benchmark item, from one of three viewpoints."""
+    e, b = read(spark, sf_dir, "embeddings").filter("vec_id % 50 = 0"), read(spark, sf_dir, "benchmark")
+    n = b.agg(F.count("*").alias("n"))
+    e = e.crossJoin(F.broadcast(n)).withColumn("item_id", F.floor(F.col("vec_id") / 50) % F.col("n"))
     scope = F.when(F.col("vec_id") % 3 == 0, "R").when(F.col("vec_id") % 3 == 1, "R/en").otherwise("R/en/src1")
-    return e.join(b, e["vec_id"] == b["item_id"]).select(F.concat(F.lit("q"), F.lpad(F.col("vec_id").cast("string"), 3, "0")).alias("query_id"), scope.alias("scope"), "text", F.col("embedding").alias("qvec"))
+    return e.join(b, "item_id").select(F.concat(F.lit("q"), padded(F.col("vec_id"))).alias("query_id"), scope.alias("scope"), "text", F.col("embedding").alias("qvec"))
 
 
 def tree_of_orders(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from itertools import accumulate
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MAX_CHARS, OVERLAP, MAX_FILE = 1500, 200, 512 << 10
-#: Directories that a walk leaves out.
+#: Fixed values, which results depend on: sizes above, directories that a walk leaves out, starts of units.
 SKIPPED = (".git", "node_modules", "vendor", "bin", "dist", "build", ".venv", "venv", "__pycache__", ".idea", ".vscode")
 #: How a line at column 0 begins a unit, by language, and what above it belongs to the unit.
 UNIT_STARTS = {
@@ -21,35 +24,37 @@ LEADS = {"go": ("//",), "python": ("@", "#"), "jsts": ("//", "/*", "*", "@")}
 Piece = tuple[str, int, int]
 
 
-def _sizes(max_chars: int, overlap: int) -> tuple[int, int]:
-    max_chars = max_chars if max_chars > 0 else MAX_CHARS
-    return max_chars, overlap if 0 <= overlap < max_chars else OVERLAP
+_WHITE = "\t\n\v\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def _limits(max_chars: int, overlap: int) -> tuple[int, int]:
+    most = max_chars if max_chars > 0 else MAX_CHARS
+    return most, overlap if 0 <= overlap < most else OVERLAP
+
+
+def _offsets(lines: list[str]) -> list[int]:
+    """Bytes before each line, and before the end: every line with its line feed."""
+    return [0, *accumulate(len(x.encode()) + 1 for x in lines)]
 
 
 def _piece(lines: list[str], a: int, b: int, shift: int = 0) -> list[Piece]:
     text = "\n".join(lines[a:b]).rstrip("\n")
-    return [(text, a + 1 + shift, b + shift)] if text.strip() else []
+    return [(text, a + 1 + shift, b + shift)] if text.strip(_WHITE) else []
 
 
 def window_chunks(lines: list[str], max_chars: int, overlap: int, shift: int = 0) -> list[Piece]:
-    """Whole lines up to max_chars bytes; the next window begins about overlap bytes back."""
-    max_chars, overlap = _sizes(max_chars, overlap)
-    size, out, a = [len(x.encode()) for x in lines], [], 0
-    while True:
-        b, held = a, 0
-        while b < len(lines) and not (held and held + size[b] + 1 > max_chars):
-            held += size[b] + (1 if held else 0)
-            b += 1
-        out += _piece(lines, a, b, shift)
-        if b >= len(lines):
-            return out
-        back, covered = b, 0
-        while overlap and back > a + 1:
-            covered += size[back - 1] + 1
-            if covered >= overlap:
-                break
-            back -= 1
-        a = max(back, a + 1)
+    """Whole lines up to max_chars bytes; the next window begins about overlap bytes back. Empty
+    lines at a window's beginning belong to it, but not to its text."""
+    most, overlap = _limits(max_chars, overlap)
+    offsets, n, at, out = _offsets(lines), len(lines), 0, []
+    while at < n:
+        first = next((k for k in range(at, n) if lines[k]), n)
+        end = n if first == n else max(first + 1, bisect_right(offsets, offsets[first] + most + 1) - 1)
+        out += [(text, at + 1 + shift, to) for text, _, to in _piece(lines, first, end, shift)]
+        # The first line whose distance to the end is below the overlap.
+        back = bisect_right(offsets, offsets[end] - overlap) if overlap else end
+        at = n if end == n else max(back, at + 1)
+    return out
 
 
 def unit_starts(lines: list[str], language: str) -> list[int]:
@@ -66,24 +71,21 @@ def unit_starts(lines: list[str], language: str) -> list[int]:
 
 def semantic_chunks(text: str, language: str, max_chars: int = MAX_CHARS, overlap: int = OVERLAP) -> list[Piece]:
     """Whole units (functions, headings, paragraphs) packed up to max_chars bytes; a larger unit by windows."""
-    max_chars, overlap = _sizes(max_chars, overlap)
+    most, overlap = _limits(max_chars, overlap)
     lines = text.split("\n")
-    bounds = [0, *unit_starts(lines, language), len(lines)]
-    out: list[Piece] = []
-    begun = size = 0
-    for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-        unit = sum(len(x.encode()) + 1 for x in lines[a:b]) - 1
-        if unit > max_chars:
-            out += _piece(lines, begun, a) + window_chunks(lines[a:b], max_chars, overlap, a)
-            begun, size = b, 0
-        elif begun == a:
-            size = unit
-        elif size + 1 + unit <= max_chars:
-            size += 1 + unit
+    offsets, bounds = _offsets(lines), [0, *unit_starts(lines, language), len(lines)]
+    ends, out, unit = [offsets[k] for k in bounds], [], 0
+    while unit < len(bounds) - 1:
+        # The last bound that the text from this unit on reaches within the limit.
+        to = bisect_right(ends, ends[unit] + most + 1, lo=unit + 1) - 1
+        a = bounds[unit]
+        if to == unit:
+            to = unit + 1
+            out += window_chunks(lines[a : bounds[to]], most, overlap, a)
         else:
-            out += _piece(lines, begun, a)
-            begun, size = a, unit
-    return out + _piece(lines, begun, len(lines))
+            out += _piece(lines, a, bounds[to])
+        unit = to
+    return out
 
 
 def chunk(files: DataFrame, max_chars: int = MAX_CHARS, overlap: int = OVERLAP, semantic: bool = True) -> DataFrame:

@@ -123,12 +123,16 @@ class MemoryStore:
         s = self.get_scope(scope)
         id = new_id()
         store = replace(self, scopes=self.scopes.withColumn("archived", (F.col("id") == scope) | F.col("archived")))
-        row = self._rows(SCOPES, id=id, parent=s["parent"], role=s["role"], title=s["title"], version=s["version"] + 1, seed_from=scope, archived=False, created_at=datetime.now(UTC))
+        row = self._rows(SCOPES, id=id, parent=s["parent"], role=s["role"], title=s["title"], version=s["version"] + 1, forked_from=scope, archived=False, created_at=datetime.now(UTC))
         store = replace(store, scopes=store.scopes.union(row), _closure=[])
+        first = None
         for line in (x.strip() for text in (constraints, lessons) for x in text.split("\n")):
             if line:
-                _, store = store.push(id, line, "seed", "worktree", published=True)
-        return id, store
+                seed, store = store.push(id, line, "seed", "worktree", published=True)
+                first = first or seed
+        # A scope is seeded from its first seed artifact.
+        seeded = store.scopes.withColumn("seed_from", F.when(F.col("id") == id, F.lit(first)).otherwise(F.col("seed_from")))
+        return id, replace(store, scopes=seeded)
 
     def rollup_scope(self, scope: str, summary: str) -> MemoryStore:
         self._has(self.scopes, scope)

@@ -1,5 +1,8 @@
 """Behaviour of single operators on small inputs."""
 
+import random
+
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -95,3 +98,69 @@ def test_store_loop(spark, tmp_path):
     store.save(str(tmp_path / "s"))
     again = MemoryStore.load(spark, str(tmp_path / "s")).delete_artifact(old)
     assert again.edges.isEmpty() and again.artifacts.filter(F.col("id") == new).first()["derived_from"] == [old]
+
+
+def test_windows_by_their_definition():
+    from tessera.sources.ingest import semantic_chunks, window_chunks
+
+    assert window_chunks(["", "", "abc", "def"], 100, 0) == [("abc\ndef", 1, 4)]
+    assert window_chunks(["", " ", ""], 100, 0) == [] == window_chunks([""], 10, 3)
+
+    def slow(lines, most, overlap):
+        out, at = [], 0
+        while at < len(lines):
+            text, to = "", at
+            while to < len(lines) and not (text and len((text + "\n" + lines[to]).encode()) > most):
+                text, to = (text + "\n" if text else "") + lines[to], to + 1
+            if text.strip():
+                out.append((text.rstrip("\n"), at + 1, to))
+            if to == len(lines):
+                break
+            back = to
+            while overlap and back > at + 1 and len("\n".join(lines[back - 1 : to]).encode()) + 1 < overlap:
+                back -= 1
+            at = back
+        return out
+
+    rng = random.Random(3)
+    for _ in range(400):
+        lines = ["x" * rng.choice([0, 0, 1, 3, 8, 15]) + rng.choice(["", "é"]) * rng.randint(0, 1) for _ in range(rng.randint(1, 14))]
+        most = rng.randint(2, 30)
+        overlap = rng.randint(0, most - 1)
+        assert window_chunks(lines, most, overlap) == slow(lines, most, overlap)
+        for language in ("generic", "markdown"):
+            got = semantic_chunks("\n".join(lines), language, most, 0)
+            assert all(len(t.encode()) <= most or "\n" not in t for t, _, _ in got)
+            assert {k for _, a, b in got for k in range(a, b + 1)} >= {k + 1 for k, x in enumerate(lines) if x}
+
+
+def test_seeds_and_lines_are_trimmed_of_any_white_space(spark):
+    from tessera.functions.text import content_lines
+
+    row = spark.createDataFrame([("\tkeep a\r\n  \t\nkeep b\r\n　 \nc ",)], "t string")
+    assert row.select(content_lines(F.col("t")).alias("x")).first()["x"] == ["keep a", "keep b", "c"]
+    store = MemoryStore.empty(spark)
+    scope, store = store.create_scope(None, "session", "s")
+    new, store = store.cross_version(scope, "\tfirst\r\n \t\n", "second\r")
+    rows = store.artifacts.filter(F.col("scope") == new).orderBy("id").collect()
+    assert [r["summary"] for r in rows] == ["first", "second"] and store.get_scope(new)["seed_from"] == rows[0]["id"]
+    assert store.get_scope(new)["forked_from"] == scope
+
+
+def test_nearest_against_brute_force(spark):
+    from tessera.operators.nearest import nearest
+
+    rng = np.random.default_rng(4)
+    vectors = np.round(rng.normal(size=(90, 6)), 1)
+    vectors[20:30] = vectors[3]
+    rows = [(f"{k:03d}", v.tolist()) for k, v in enumerate(vectors)] + [("zzz", None), ("zz", [1.0])]
+    df = spark.createDataFrame(rows, "id string, vec array<float>")
+    got = {}
+    for r in nearest(df.filter("id < '040'").withColumn("query_id", F.col("id")), df, 3).collect():
+        got.setdefault(r["query_id"], {})[r["rank"]] = r["id"]
+    for q in range(40):
+        v = vectors.astype(np.float32).astype(float)
+        score = v @ v[q]
+        want = sorted((k for k in range(90) if k != q), key=lambda k: (-score[k], k))[:3]
+        assert [int(got[f"{q:03d}"][k]) for k in (1, 2, 3)] == want
+    assert nearest(df.limit(0).withColumn("query_id", F.col("id")), df, 3).isEmpty()
