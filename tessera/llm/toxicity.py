@@ -201,9 +201,14 @@ def units_of(words: Words) -> tuple[np.ndarray, list[int], list[bytes]]:
 
 
 def padded(words: Words) -> np.ndarray:
-    """The first LONGEST bytes of each word, padded with 0."""
-    at = words.starts[:, None] + np.arange(LONGEST)
-    return np.where(at < words.ends[:, None], words.raw[np.minimum(at, max(len(words.raw) - 1, 0))], 0).astype(np.uint8)
+    """The first LONGEST bytes of each word, padded with 0; filled place by place, as memory is scarce."""
+    out = np.zeros((LONGEST, len(words.starts)), np.uint8)
+    last = max(len(words.raw) - 1, 0)
+    for k in range(LONGEST):
+        at = words.starts + k
+        on = at < words.ends
+        out[k, on] = words.raw[np.minimum(at, last)[on]]
+    return out.T
 
 
 _PLACE_KEY = np.random.default_rng(11).integers(1, 2**63, LONGEST, dtype=np.uint64) | np.uint64(1)
@@ -211,10 +216,12 @@ _PLACE_KEY = np.random.default_rng(11).integers(1, 2**63, LONGEST, dtype=np.uint
 
 def fragments(chars: np.ndarray, lens: np.ndarray):
     """Length of a beginning (0: the whole word), the words that are longer than it, and its hash in each."""
-    values = chars.astype(np.uint64) * _PLACE_KEY
-    yield 0, np.flatnonzero(lens >= 3), mix(values.sum(axis=1) + np.uint64(1))
-    for n in BEGINNINGS:
-        yield n, np.flatnonzero(lens > n), mix(values[:, :n].sum(axis=1) + np.uint64(n * 2))
+    total = np.zeros(len(lens), np.uint64)
+    for k in range(LONGEST):
+        total += chars[:, k].astype(np.uint64) * _PLACE_KEY[k]
+        if k + 1 in BEGINNINGS:
+            yield k + 1, np.flatnonzero(lens > k + 1), mix(total + np.uint64(2 * (k + 1)))
+    yield 0, np.flatnonzero(lens >= 3), mix(total + np.uint64(1))
 
 
 def _counted(hashes: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
