@@ -184,6 +184,24 @@ def decide(hits: DataFrame, queries: DataFrame, floors: Floors) -> DataFrame:
     return row.select("query_id", verdict.alias("confidence"), (verdict != "ok").alias("weak_match"), F.when(by_rerank, "rerank").otherwise("cosine").alias("ranked_by"), top.alias("top_score"), margin.alias("margin"))
 
 
+def respond(queries: DataFrame, hits: DataFrame, floors: Floors) -> DataFrame:
+    """One row for each query: the verdict, whether ingested text is among the hits, and the hits in order."""
+    one = F.struct("rank", "id", "scope", "kind", "score", "rerank_score")
+    lists = hits.groupBy("query_id").agg(F.array_sort(F.collect_list(one)).alias("hits"))  # top_k of them at most
+    out = with_untrusted(decide(hits, queries, floors), hits).join(lists, "query_id", "left")
+    return out.withColumn("hits", F.coalesce("hits", F.array().cast(lists.schema["hits"].dataType)))
+
+
+def as_json(rows: DataFrame) -> DataFrame:
+    """rows as one JSON text each; fields that are null are left out."""
+    return rows.select(F.to_json(F.struct(*rows.columns)).alias("json"))
+
+
+def traces(found: DataFrame, hits: DataFrame) -> DataFrame:
+    """query_id, id, rank: what each query saw, and the rank of what it returned."""
+    return found.select("query_id", "id").join(hits.select("query_id", "id", "rank"), ["query_id", "id"], "left")
+
+
 def with_untrusted(decisions: DataFrame, hits: DataFrame) -> DataFrame:
     """decisions with untrusted: whether a hit's meta says that it comes from ingested text."""
     flags = hits.groupBy("query_id").agg(F.bool_or(F.coalesce(F.col("meta")["trust"] == INGESTED, F.lit(False))).alias("untrusted"))

@@ -105,6 +105,9 @@ tp AS (SELECT query_id, present, max(CASE WHEN r = 1 THEN score END) AS a, max(C
 """
 _PATH = "source || '/' || lpad(CAST(doc_id AS VARCHAR), 10, '0') || '.md'"
 _HITS = "SELECT query_id, id FROM"
+_COMPLETE = f"""WITH f AS (SELECT {_PATH} AS path, doc_id % 10 AS k FROM documents),
+c AS (SELECT path, CASE k WHEN 0 THEN 'remove' WHEN 2 THEN 'add' WHEN 3 THEN CASE WHEN lines = 1 THEN 'add' ELSE 'update' END WHEN 4 THEN 'update' ELSE 'unchanged' END AS action
+FROM f JOIN (SELECT {_PATH} AS path, len(string_split(text, chr(10))) AS lines FROM documents) USING (path))"""
 
 ORACLES = {
     "scope_ancestors": _with("SELECT descendant AS scope, ancestor, distance FROM clo WHERE distance > 0"),
@@ -147,6 +150,10 @@ UNION ALL SELECT q.query_id, s.sibling, false FROM fx_queries q JOIN sib s USING
     "auto_rerank_flags": _with(_scored("coll"), _TWO, "SELECT query_id, a < 0.5 OR coalesce(a - b < 0.03, false) AS borderline FROM two"),
     "confidence_verdict": _with(_scored("coll"), _TWO, _VERDICT, "SELECT query_id, confidence, confidence <> 'ok' AS weak_match, 'cosine' AS ranked_by, round(coalesce(a, 0.0), 6) AS top_score, round(coalesce(a - b, 0.0), 6) AS margin FROM ver"),
     "untrusted_flag": _with(_scored("coll"), _TWO, _VERDICT, "SELECT v.query_id, v.confidence, coalesce(bool_or(h.ingested), false) AS untrusted FROM ver v LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS r FROM sc) WHERE r <= 5) h USING (query_id) GROUP BY ALL"),
+    "query_response": _with(_scored("coll"), _TWO, _VERDICT, """top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS r FROM sc) WHERE r <= 5)""",
+                            "SELECT v.query_id, v.confidence, coalesce(bool_or(h.ingested), false) AS untrusted, round(coalesce(any_value(v.a), 0.0), 6) AS top_score, coalesce(string_agg(h.id, ',' ORDER BY h.r), '') AS hits FROM ver v LEFT JOIN top h USING (query_id) GROUP BY v.query_id, v.confidence"),
+    "query_traces": _with(_scored("coll"), "tr AS (SELECT c.query_id, c.id, s.r FROM (SELECT query_id, id FROM coll WHERE superseded_by IS NULL) c LEFT JOIN (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS r FROM sc) s USING (query_id, id))",
+                          "SELECT query_id, count(*) AS visible, count(*) FILTER (r <= 5) AS hits, min_by(id, r) AS first FROM tr GROUP BY query_id"),
     "related_out": _related("out", 1),
     "related_in": _related("in", 1, "'depends_on'"),
     "related_both_depth2": _related("both", 2),
@@ -169,6 +176,9 @@ t AS (SELECT path, a, b, trim(array_to_string(x[a:b], chr(10)), chr(10)) AS txt
 SELECT path, CAST(row_number() OVER (PARTITION BY path ORDER BY a) - 1 AS INTEGER) AS chunk, a AS start_line, b AS end_line, md5(txt) AS text_md5 FROM t WHERE trim(txt, ' ' || chr(10)) <> ''""",
     "ingest_reconcile": f"""WITH f AS (SELECT {_PATH} AS path, doc_id, text FROM documents)
 SELECT path, CASE WHEN doc_id % 10 = 0 THEN 'remove' WHEN doc_id % 10 = 2 THEN CASE WHEN trim(text) = '' THEN 'unchanged' ELSE 'add' END WHEN doc_id % 10 = 1 THEN 'update' ELSE 'unchanged' END AS action FROM f""",
+    "ingest_completeness": _COMPLETE + " SELECT * FROM c",
+    "ingest_statistics": _COMPLETE + " SELECT action, count(*) AS files FROM c GROUP BY action",
+    "dir_scopes": _with("SELECT p.id || '/' || d.source AS dir, s.id AS scope, 3 AS depth FROM (SELECT DISTINCT source FROM documents) d CROSS JOIN (SELECT id FROM fx_scopes WHERE parent = 'R') p LEFT JOIN fx_scopes s ON s.parent = p.id AND s.title = d.source"),
     "dir_rollup_text": "SELECT source AS dir, md5('directory ' || source || '; files: ' || string_agg(lpad(CAST(doc_id AS VARCHAR), 10, '0') || '.md', ', ' ORDER BY doc_id)) AS rollup_md5 FROM documents GROUP BY source",
     "content_dedupe": "SELECT sha256(text) AS hash, CAST(max(octet_length(encode(text))) AS BIGINT) AS n_bytes, count(*) AS copies FROM documents GROUP BY text",
     "sealed_roundtrip": "SELECT doc_id, md5(text) AS text_md5 FROM documents",

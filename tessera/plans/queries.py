@@ -134,6 +134,18 @@ def untrusted_flag(spark, sf_dir):
     return retrieval.with_untrusted(found, hits).select("query_id", "confidence", "untrusted")
 
 
+def query_response(spark, sf_dir):
+    d = Data(spark, sf_dir)
+    rows = retrieval.respond(d.queries, d.retrieve(COLLAPSED), FLOORS)
+    return rows.select("query_id", "confidence", "untrusted", F.round("top_score", 6).alias("top_score"), F.array_join(F.transform("hits", lambda x: x["id"]), ",").alias("hits"))
+
+
+def query_traces(spark, sf_dir):
+    d = Data(spark, sf_dir)
+    rows = retrieval.traces(S.current(d.candidates(COLLAPSED), COLLAPSED), d.retrieve(COLLAPSED))
+    return rows.groupBy("query_id").agg(F.count("*").alias("visible"), F.count("rank").alias("hits"), F.min_by("id", "rank").alias("first"))
+
+
 def _related(direction: str, depth: int, kinds: tuple[str, ...], spark, sf_dir):
     d = Data(spark, sf_dir)
     starts = d.artifacts.filter("kind = 'seed'").select(F.col("id").alias("start"))
@@ -199,6 +211,27 @@ def ingest_reconcile(spark, sf_dir):
     return ingest.reconcile(new.select("path", sig.alias("sig"), (stripped(F.col("text")) == "").alias("blank")), old)
 
 
+def ingest_completeness(spark, sf_dir):
+    """Lines as chunks: some files have lost one, some have an old one, some are new or gone."""
+    files = _files(spark, sf_dir).withColumns({"sig": F.sha2("text", 256), "lines": F.split("text", "\n"), "case": F.col("doc_id") % 10})
+    wanted = files.filter("`case` <> 0").select("path", "sig", F.size("lines").alias("n"))
+    chunks = files.filter("`case` <> 2").select("path", "case", F.size("lines").alias("n"), F.posexplode("lines").alias("chunk", "line"), "sig")
+    kept = chunks.filter("`case` <> 3 OR chunk < n - 1")
+    return ingest.completeness(wanted, kept.select("path", "chunk", F.when((F.col("case") == 4) & (F.col("chunk") == 0), "old").otherwise(F.col("sig")).alias("sig")))
+
+
+def ingest_statistics(spark, sf_dir):
+    return ingest.statistics(ingest_completeness(spark, sf_dir))
+
+
+def dir_scopes(spark, sf_dir):
+    d = Data(spark, sf_dir)
+    dirs = _files(spark, sf_dir).select(F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("dir")).distinct()
+    parents = d.scopes.filter("parent = 'R'").select(F.col("id").alias("parent"))
+    asked = dirs.crossJoin(F.broadcast(parents)).select(F.concat_ws("/", "parent", "dir").alias("dir"), "parent", F.col("dir").alias("title"))
+    return ingest.directory_scopes(asked, d.scopes).select("dir", "scope", ingest.depth(F.col("dir")).alias("depth"))
+
+
 def dir_rollup_text(spark, sf_dir):
     return ingest.directory_text(_files(spark, sf_dir)).select("dir", F.md5("rollup_text").alias("rollup_md5"))
 
@@ -302,6 +335,8 @@ QUERIES = {
     "auto_rerank_flags": auto_rerank_flags,
     "confidence_verdict": confidence_verdict,
     "untrusted_flag": untrusted_flag,
+    "query_response": query_response,
+    "query_traces": query_traces,
     "related_out": partial(_related, "out", 1, ()),
     "related_in": partial(_related, "in", 1, ("depends_on",)),
     "related_both_depth2": partial(_related, "both", 2, ()),
@@ -314,6 +349,9 @@ QUERIES = {
     "chunk_window": chunk_window,
     "chunk_semantic": chunk_semantic,
     "ingest_reconcile": ingest_reconcile,
+    "ingest_completeness": ingest_completeness,
+    "ingest_statistics": ingest_statistics,
+    "dir_scopes": dir_scopes,
     "dir_rollup_text": dir_rollup_text,
     "content_dedupe": content_dedupe,
     "sealed_roundtrip": sealed_roundtrip,

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import os
 from bisect import bisect_right
 from itertools import accumulate
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MAX_CHARS, OVERLAP, MAX_FILE = 1500, 200, 512 << 10
@@ -116,6 +117,42 @@ def reconcile(wanted: DataFrame, stored: DataFrame) -> DataFrame:
     return new.join(old, "path", "full_outer").select("path", action.alias("action"))
 
 
+def completeness(wanted: DataFrame, chunks: DataFrame) -> DataFrame:
+    """path, action of files (path, sig, n: chunks they give) by stored chunks (path, chunk, sig): a
+    file is unchanged only if its chunks 0 .. n - 1 are all there once with its signature, so what
+    was written in part is written again."""
+    stored = chunks.groupBy("path").agg(F.count("*").alias("rows"), F.countDistinct("chunk").alias("kinds"), F.min("chunk").alias("low"), F.max("chunk").alias("high"), F.min("sig").alias("sig1"), F.max("sig").alias("sig2"))
+    n, rows = F.col("n"), F.col("rows")
+    whole = (rows == n) & (F.col("kinds") == n) & (F.col("low") == 0) & (F.col("high") == n - 1) & (F.col("sig1") == F.col("sig")) & (F.col("sig2") == F.col("sig"))
+    action = F.when(n.isNull(), "remove").when(rows.isNull(), F.when(n == 0, "unchanged").otherwise("add")).when(F.coalesce(whole, F.lit(False)), "unchanged").otherwise("update")
+    return wanted.join(stored, "path", "full_outer").select("path", action.alias("action"))
+
+
+def statistics(actions: DataFrame) -> DataFrame:
+    """action, files: how many files a run adds, updates, leaves and removes."""
+    return actions.groupBy("action").agg(F.count("*").alias("files"))
+
+
+def depth(path: Column) -> Column:
+    """Steps of a relative path; 0 for the root itself."""
+    return F.when(path.isin("", "."), 0).otherwise(F.size(F.split(path, "/")))
+
+
+def directory_scopes(dirs: DataFrame, scopes: DataFrame) -> DataFrame:
+    """Of directories (dir, parent: a scope, title) the child scope of that title that each reuses, the
+    one with the least id; null where one has to be made."""
+    known = scopes.groupBy("parent", "title").agg(F.min("id").alias("scope"))
+    return dirs.join(known, ["parent", "title"], "left").select("dir", "scope")
+
+
+def contained(root: str, target: str) -> str:
+    """The real path of target; ValueError if links or dots lead it out of root."""
+    base, path = os.path.realpath(root), os.path.realpath(os.path.join(root, target))
+    if os.path.commonpath([base, path]) != base:
+        raise ValueError(f"{target} lies outside of {root}")
+    return path
+
+
 def directory_text(files: DataFrame) -> DataFrame:
     """dir, rollup_text: the overview text of each directory."""
     parts = files.select(F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("dir"), F.regexp_extract("path", r"([^/]*)$", 1).alias("name"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 from datetime import datetime
 from enum import IntEnum
@@ -34,6 +35,18 @@ class Floors:
         return Floors(base[0] if floor is None else floor, base[1] if margin is None else margin, 0.5 if rerank is None else rerank, floor is not None)
 
 
+def _number(text: str | None) -> float | None:
+    try:
+        return None if text is None else float(text)
+    except ValueError:
+        return None
+
+
+def resolve_floors(model: str, config: Callable[[str], str | None]) -> Floors:
+    """The model's floors, overridden by what config holds under conf.floor, conf.margin and conf.rerank."""
+    return Floors.of_model(model, *(_number(config(f"conf.{name}.{model}")) for name in ("floor", "margin", "rerank")))
+
+
 @dataclass(frozen=True)
 class QuerySpec:
     """candidates: flat, collapsed or hierarchical; mode: vector or hybrid."""

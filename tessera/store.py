@@ -11,14 +11,17 @@ from pyspark.sql import functions as F
 
 from tessera.operators import graph, retrieval, writes
 from tessera.operators import scopes as S
-from tessera.spec import QuerySpec
+from tessera.operators.evaluation import conformal_floor
+from tessera.sources import blobs
+from tessera.spec import QuerySpec, resolve_floors
 
 SCOPES = "id string, parent string, role string, title string, version int, seed_from string, archived boolean, forked_from string, created_at timestamp, rollup_summary string, rollup_vec array<float>"
 ARTIFACTS = "id string, scope string, kind string, tier string, summary string, content string, vec array<float>, derived_from array<string>, published boolean, meta map<string,string>, created_at timestamp, superseded_by string"
 EDGES = "from_id string, to_id string, kind string, created_at timestamp"
-TRACES = "query_id string, scope string, text string, visible_set array<string>, hits array<string>, created_at timestamp"
+TRACES = "query_id string, scope string, text string, created_at timestamp"
+VISIBLE = "query_id string, id string, rank int"
 CONFIG = "key string, value string"
-_TABLES = {"scopes": SCOPES, "artifacts": ARTIFACTS, "edges": EDGES, "traces": TRACES, "config": CONFIG}
+_TABLES = {"scopes": SCOPES, "artifacts": ARTIFACTS, "edges": EDGES, "traces": TRACES, "visible": VISIBLE, "config": CONFIG}
 
 
 def new_id() -> str:
@@ -33,6 +36,7 @@ class MemoryStore:
     artifacts: DataFrame
     edges: DataFrame
     traces: DataFrame
+    visible: DataFrame
     config: DataFrame
     embed: object = None
     reranker: object = None
@@ -64,6 +68,12 @@ class MemoryStore:
         if table.filter(F.col("id") == id).isEmpty():
             raise LookupError(f"no {id}")
 
+    def _guard(self, rows: DataFrame, column: str) -> None:
+        """Refuses vectors of another length than the stored ones: they would all score 0."""
+        size = lambda df, c: (r := df.filter(F.col(c).isNotNull()).select(F.size(c)).first()) and r[0]
+        if (new := size(rows, column)) and (old := size(self.artifacts, "vec")) and new != old:
+            raise ValueError(f"a vector of {new} numbers, but the store's have {old}")
+
     def create_scope(self, parent: str | None, role: str, title: str) -> tuple[str, MemoryStore]:
         if parent is not None:
             self._has(self.scopes, parent)
@@ -71,8 +81,8 @@ class MemoryStore:
         row = self._rows(SCOPES, id=id, parent=parent, role=role, title=title, version=1, archived=False, created_at=datetime.now(UTC))
         return id, replace(self, scopes=self.scopes.union(row), _closure=[])
 
-    def push(self, scope: str, summary: str, kind: str = "insight", tier: str = "workspace", content: str | None = None, derived_from=(), supersedes=(), relations=(), meta=None, trust: str = "", published: bool = False) -> tuple[str, MemoryStore]:
-        """relations: (target, kind) pairs."""
+    def push(self, scope: str, summary: str, kind: str = "insight", tier: str = "workspace", content: str | None = None, derived_from=(), supersedes=(), relations=(), meta=None, trust: str = "", published: bool = False, embed_text: str | None = None) -> tuple[str, MemoryStore]:
+        """relations: (target, kind) pairs; embed_text: what the vector is made of, if not the summary."""
         self._has(self.scopes, scope)
         if not summary.strip():
             raise ValueError("empty summary")
@@ -82,7 +92,8 @@ class MemoryStore:
         lineage = list(dict.fromkeys(x for x in (*derived_from, *supersedes) if x))
         row = self._rows(ARTIFACTS, id=id, scope=scope, kind=kind, tier=tier, summary=summary, content=content, derived_from=lineage, published=published, meta=meta, created_at=now)
         if self.embed:
-            row = row.withColumn("vec", self.embed(F.col("summary")))
+            row = row.withColumn("vec", self.embed(F.lit(embed_text or summary)))
+            self._guard(row.select("vec"), "vec")
         row = row.withColumn("meta", writes.trust(F.col("meta"), F.lit(trust)))
         old = self.artifacts.withColumn("superseded_by", F.when(F.col("id").isin(*supersedes), id).otherwise(F.col("superseded_by"))) if supersedes else self.artifacts
         store = replace(self, artifacts=old.unionByName(row))
@@ -163,9 +174,51 @@ class MemoryStore:
         """Hits of queries (query_id, scope, text, qvec; the embedder fills a missing qvec)."""
         if "qvec" not in queries.columns:
             queries = queries.withColumn("qvec", self.embed(F.col("text")))
+        self._guard(queries, "qvec")
         rollups = self.scopes.select(F.col("id").alias("scope"), "rollup_vec")
         return retrieval.retrieve(queries, self.scopes, self.artifacts, spec, closure=self.closure(), rollups=rollups, edges=self.edges, reranker=self.reranker)
 
+    def query_traced(self, queries: DataFrame, spec: QuerySpec) -> tuple[DataFrame, MemoryStore]:
+        """query(), and a store that holds the queries' traces: what they asked, saw and got."""
+        if "qvec" not in queries.columns:
+            queries = queries.withColumn("qvec", self.embed(F.col("text")))
+        hits = self.query(queries, spec)
+        rollups = self.scopes.select(F.col("id").alias("scope"), "rollup_vec")
+        found = S.current(S.candidates(queries, self.scopes, self.artifacts, self.closure(), spec, rollups), spec)
+        asked = queries.select("query_id", "scope", "text", F.lit(datetime.now(UTC)).alias("created_at"))
+        return hits, replace(self, traces=self.traces.unionByName(asked), visible=self.visible.unionByName(retrieval.traces(found, hits)))
+
+    def trace(self, query_id: str) -> tuple[dict, DataFrame]:
+        """The trace of a query, and its visible set with the ranks of the hits."""
+        row = self.traces.filter(F.col("query_id") == query_id).first()
+        if row is None:
+            raise LookupError(f"no trace {query_id}")
+        return row.asDict(), self.visible.filter(F.col("query_id") == query_id).select("id", "rank")
+
+    def respond(self, queries: DataFrame, spec: QuerySpec, model: str = "") -> DataFrame:
+        """One row for each query: verdict by the model's floors (config overrides them) and hits."""
+        return retrieval.respond(queries, self.query(queries, spec), resolve_floors(model, self.get_config))
+
+    def calibrate(self, model: str, tops: DataFrame, recall: float = 0.9) -> MemoryStore:
+        """Stores the floor that keeps this share of probes (top_score) as the model's."""
+        return self.set_config(f"conf.floor.{model}", repr(conformal_floor(tops, recall).first()["floor"]))
+
+    def lock(self, key: bytes) -> MemoryStore:
+        """Marks an empty or unlocked store as sealed with this key."""
+        sealed = F.base64(blobs.seal(F.lit("tessera"), F.lit(key), F.lit("sentinel")))
+        return self.set_config("enc", self.spark.range(1).select(sealed).first()[0])
+
+    def unlock(self, key: bytes | None) -> None:
+        """ValueError if the store is sealed and the key isn't its own, or a key is given for a plain one."""
+        mark = self.get_config("enc")
+        if mark is None or key is None:
+            if (mark is None) != (key is None):
+                raise ValueError("a sealed store needs its key, and a plain one none")
+            return
+        opened = F.expr("try_aes_decrypt(unbase64(mark), key, 'GCM', 'DEFAULT', 'sentinel')").cast("string")
+        if self.spark.createDataFrame([(mark, key)], "mark string, key binary").select(opened).first()[0] != "tessera":
+            raise ValueError("this isn't the store's key")
+
     def neighbors(self, scope: str, text: str, k: int) -> DataFrame:
         return self.query(self.spark.createDataFrame([("q", scope, text)], "query_id string, scope string, text string"), QuerySpec(top_k=k))
 

@@ -164,3 +164,47 @@ def test_nearest_against_brute_force(spark):
         want = sorted((k for k in range(90) if k != q), key=lambda k: (-score[k], k))[:3]
         assert [int(got[f"{q:03d}"][k]) for k in (1, 2, 3)] == want
     assert nearest(df.limit(0).withColumn("query_id", F.col("id")), df, 3).isEmpty()
+
+
+def test_store_traces_guards_and_floors(spark, tmp_path):
+    store = MemoryStore.empty(spark, embed=X.bag_of_words_embedder(16))
+    scope, store = store.create_scope(None, "session", "s")
+    _, store = store.push(scope, "the cache is redis", trust="ingested")
+    other, store = store.push(scope, "short", embed_text="which queue is used", kind="document")
+    asked = spark.createDataFrame([("q1", scope, "which queue is used")], "query_id string, scope string, text string")
+    hits, traced = store.query_traced(asked, QuerySpec(top_k=1))
+    assert [r["id"] for r in hits.collect()] == [other]
+    row, seen = traced.trace("q1")
+    assert row["text"] == "which queue is used" and sorted((r["rank"] or 0) for r in seen.collect()) == [0, 1]
+    assert [r["query_id"] for r in traced.recent_traces(1).collect()] == ["q1"]
+    with pytest.raises(LookupError):
+        traced.trace("q2")
+    with pytest.raises(ValueError, match="numbers"):
+        store.query(asked.withColumn("qvec", F.array(F.lit(1.0))), QuerySpec()).collect()
+    tuned = store.calibrate("m", spark.createDataFrame([(0.2,), (0.4,)], "top_score double")).set_config("conf.margin.m", "no number")
+    response = tuned.respond(asked, QuerySpec(), "m").first()
+    assert response["confidence"] == "ok" and response["untrusted"] and response["hits"][0]["id"] == other
+    assert '"confidence":"ok"' in retrieval.as_json(tuned.respond(asked, QuerySpec(), "m")).first()["json"]
+    locked = store.lock(b"k" * 32)
+    locked.unlock(b"k" * 32), store.unlock(None)
+    for s, key in ((locked, b"x" * 32), (locked, None), (store, b"k" * 32)):
+        with pytest.raises(ValueError):
+            s.unlock(key)
+    again = MemoryStore.load(spark, str(tmp_path)) if traced.save(str(tmp_path)) else None
+    assert again.trace("q1")[1].count() == 2
+
+
+def test_paths_stay_inside(tmp_path):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "out").symlink_to(tmp_path)
+    assert ingest.contained(str(tmp_path / "a"), "b/c").endswith("/a/b/c")
+    for bad in ("..", "out/x", "/etc"):
+        with pytest.raises(ValueError):
+            ingest.contained(str(tmp_path / "a"), bad)
+
+
+def test_written_in_part_is_written_again(spark):
+    wanted = spark.createDataFrame([(p, "s", 2) for p in "abcde"] + [("g", "s", 0)], "path string, sig string, n int")
+    rows = [("a", 0, "s"), ("a", 1, "s"), ("b", 0, "s"), ("c", 0, "s"), ("c", 1, "old"), ("d", 0, "s"), ("d", 0, "s"), ("f", 0, "s")]
+    got = ingest.completeness(wanted, spark.createDataFrame(rows, "path string, chunk int, sig string"))
+    assert {r["path"]: r["action"] for r in got.collect()} == {"a": "unchanged", "b": "update", "c": "update", "d": "update", "e": "add", "f": "remove", "g": "unchanged"}
