@@ -32,7 +32,7 @@ from tessera.llm.tokens import encoder
 
 WINDOW = 4096
 #: Cost, in padding ids, of a cut at the end of a sentence and of one inside a sentence.
-SENTENCE_CUT, INNER_CUT = 2, 12
+SENTENCE_CUT, INNER_CUT = 2, 128
 #: Ids within which the last end of a sentence counts; windows after which cuts are settled.
 GRAIN, SETTLE = 16, 64
 
