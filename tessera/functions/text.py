@@ -43,6 +43,11 @@ def stripped(text: Column) -> Column:
     return F.regexp_replace(text, rf"^{BLANKS}+|{BLANKS}+\z", "")
 
 
+def is_blank(text: Column) -> Column:
+    """Whether text is all white space; it is read up to the first other character."""
+    return ~F.rlike(text, F.lit(BLANKS.replace("[", "[^", 1)))
+
+
 def content_lines(text: Column) -> Column:
     """Lines without white space at their ends, those that aren't blank."""
     return F.filter(F.transform(F.split(text, "\n"), stripped), lambda x: x != "")

@@ -8,7 +8,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions.text import bag_of_words_embedder, contains_any, rank_text, stripped, tokens, word_count
+from tessera.functions.text import bag_of_words_embedder, contains_any, is_blank, rank_text, tokens, word_count
 from tessera.operators import evaluation, graph, retrieval, writes
 from tessera.operators import scopes as S
 from tessera.operators.nearest import nearest
@@ -208,7 +208,7 @@ def ingest_reconcile(spark, sf_dir):
     sig = F.concat_ws(":", F.sha2("text", 256), "language", F.lit("1500"), F.lit("200"))
     old = files.filter("doc_id % 10 <> 2").select("path", sig.alias("sig"))
     new = files.filter("doc_id % 10 <> 0").select("path", F.when(F.col("doc_id") % 10 == 1, F.concat("text", F.lit("\nmore"))).otherwise(F.col("text")).alias("text"), "language")
-    return ingest.reconcile(new.select("path", sig.alias("sig"), (stripped(F.col("text")) == "").alias("blank")), old)
+    return ingest.reconcile(new.select("path", sig.alias("sig"), is_blank(F.col("text")).alias("blank")), old)
 
 
 def ingest_completeness(spark, sf_dir):
