@@ -9,7 +9,7 @@ confidence. A mixture of the three, weighted by how often a forecast of that con
 right so far, gives the interval that the range coder narrows.
 
 Nulls: a null text is empty (its end id alone); null doc_ids come first; repeated doc_ids stay
-separate documents, ordered by a hash of the text and the text, and may lie in several partitions. An empty table gives an empty file table. Other columns are
+separate documents, ordered by their place in the input, and may lie in several partitions. An empty table gives an empty file table. Other columns are
 not read.
 """
 
@@ -269,7 +269,9 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 0) -> DataF
         if names:
             yield block()
 
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
+    # Rows of one doc_id, or none, are told apart by their place in the input, so no task gets them all.
+    placed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.monotonically_increasing_id().alias("_place"))
+    ordered = placed.repartitionByRange("doc_id", "_place").sortWithinPartitions("doc_id", "_place").select("doc_id", "text")
     return stored(ordered.mapInArrow(encode, _BLOCKS), "none")
 
 
