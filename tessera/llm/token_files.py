@@ -33,17 +33,22 @@ BLOCK_IDS, LANES, LANE_IDS = 1 << 20, 4096, 64
 #: Bits of the order-0 total, of the mixture's total, and of the order-2 table.
 LOW_BITS, ALL_BITS, TABLE_BITS = 18, 24, 18
 _TOP = (1 << 48) - 1
-_HEAD = struct.Struct("<4sIIIIIII")
+#: The next confidence after twice the last one, plus 1 where the forecast was right.
+_SURER = np.array([[k >> 1, min(k + 1, 15)] for k in range(16)], np.int32).ravel()
+_HEAD, _MARK = struct.Struct("<4sIIIIIII"), b"TCM2"
 
 
 class Mixture:
-    """The three models and the weights of a block's lanes. Encoder and decoder call it alike."""
+    """The three models and the weights of a block's lanes. Encoder and decoder call it alike.
+
+    The interval of all ids is 2^ALL_BITS wide: order 2's id comes first, then order 1's if it is
+    another one, then all ids by order 0."""
 
     def __init__(self, n_ids: int):
         self.n = n_ids
-        self.counts = np.ones(n_ids, np.int64)
-        self.guess = {1: np.zeros(n_ids, np.int32), 2: np.zeros(1 << TABLE_BITS, np.int32)}
-        self.sure = {1: np.zeros(n_ids, np.uint8), 2: np.zeros(1 << TABLE_BITS, np.uint8)}
+        self.counts, self.fresh = np.ones(n_ids, np.int64), []
+        #: By context: the id foretold, times 16, plus the confidence.
+        self.seen = {1: np.zeros(n_ids, np.int32), 2: np.zeros(1 << TABLE_BITS, np.int32)}
         self.right = {1: np.zeros(16, np.int64), 2: np.zeros(16, np.int64)}
         self.tried = {1: np.full(16, 2, np.int64), 2: np.full(16, 2, np.int64)}
         self.refresh()
@@ -64,30 +69,39 @@ class Mixture:
         return self._slots
 
     def reweigh(self) -> None:
-        """Weights by the confidences of the two forecasts: order 0 in 64ths, the others as what they add."""
+        """Weights by the confidences of the two forecasts: order 0 in 64ths, and what order 2 gets."""
         rate = {k: (self.right[k] << 12) // self.tried[k] for k in (1, 2)}
         r2, r1 = rate[2][:, None], rate[1][None, :]
         either = r2 + ((4096 - r2) * r1 >> 12)
         w0 = (64 - (62 * either >> 12)).ravel()
-        bump = (64 - w0) << LOW_BITS
-        w2 = bump * np.broadcast_to(r2, either.shape).ravel() // np.maximum(either.ravel(), 1)
-        self.w0, self.w1, self.w2 = (x.astype(np.int32) for x in (w0, bump - w2, w2))
+        w2 = ((64 - w0) << LOW_BITS) * np.broadcast_to(r2, either.shape).ravel() // np.maximum(either.ravel(), 1)
+        self.w0, self.w2 = w0.astype(np.int32), w2.astype(np.int32)
 
     def forecast(self, one: np.ndarray, two: np.ndarray):
-        at2 = (one.view(np.uint32) * np.uint32(0x9E3779B1) + two.view(np.uint32) * np.uint32(0x85EBCA6B)) >> np.uint32(32 - TABLE_BITS)
-        k = self.sure[2][at2] * np.uint8(16) + self.sure[1][one]
-        return at2, self.guess[1][one], self.guess[2][at2], self.w0[k], self.w1[k], self.w2[k]
+        """Order 2's place, the ids of orders 1 and 2, order 0's weight, the width of both ids, of order 2's."""
+        at2 = ((one.view(np.uint32) * np.uint32(0x9E3779B1) + two.view(np.uint32) * np.uint32(0x85EBCA6B)) >> np.uint32(32 - TABLE_BITS)).astype(np.intp)
+        e1, e2 = self.seen[1].take(one, mode="clip"), self.seen[2].take(at2, mode="clip")
+        k = ((e2 & 15) << 4) | (e1 & 15)
+        p1, p2, w0, w2 = e1 >> 4, e2 >> 4, self.w0.take(k, mode="clip"), self.w2.take(k, mode="clip")
+        both = (64 - w0) << LOW_BITS
+        np.copyto(w2, both, where=p1 == p2)
+        return at2, p1, p2, w0, both, w2
 
     def learn(self, ids: np.ndarray, one: np.ndarray, at2: np.ndarray, refresh: bool) -> None:
         for k, at in ((1, one), (2, at2)):
-            guess, sure = self.guess[k][at], self.sure[k][at]
-            hit = guess == ids
-            self.right[k] += np.bincount(sure[hit], minlength=16)
-            self.tried[k] += np.bincount(sure, minlength=16)
-            self.guess[k][at] = np.where(hit | (sure >= 2), guess, ids)
-            self.sure[k][at] = np.where(hit, np.minimum(sure + 1, 15), sure >> 1)
-        self.counts += 32 * np.bincount(ids, minlength=self.n)
+            entry = self.seen[k].take(at, mode="clip")
+            sure = entry & 15
+            hit = entry >> 4 == ids
+            was = (sure << 1) + hit
+            missed, right = np.bincount(was, minlength=32).reshape(16, 2).T
+            self.right[k] += right
+            self.tried[k] += missed + right
+            np.copyto(entry, ids << 4, where=(sure < 2) & ~hit)
+            self.seen[k][at] = entry & ~15 | _SURER.take(was, mode="clip")
+        self.fresh.append(ids)
         if refresh:
+            self.counts += 32 * np.bincount(np.concatenate(self.fresh), minlength=self.n)
+            self.fresh.clear()
             self.refresh()
         self.reweigh()
 
@@ -113,14 +127,19 @@ def encode_ids(ids: np.ndarray) -> bytes:
     model = Mixture(top)
     before = np.zeros((2, lanes), np.int32)
     low, wide = np.zeros(lanes, np.int64), np.full(lanes, 1 << 48, np.int64)
+    # Two words a step at most; the next one of each lane is written in any case and counts once used.
     words, used, every = np.zeros((2 * steps + 2, lanes), np.int32), np.zeros(lanes, np.int64), np.arange(lanes)
     for at, to, refresh in _segments(steps):
         past = np.concatenate((before, grid[at:to]))
         one, two, x = past[1:-1].ravel(), past[:-2].ravel(), grid[at:to].ravel()
-        at2, p1, p2, w0, w1, w2 = model.forecast(one, two)
-        cum = (w0 * model.cum[x] + w1 * (p1 < x) + w2 * (p2 < x)).reshape(-1, lanes)
-        freq = (w0 * model.freq[x] + w1 * (p1 == x) + w2 * (p2 == x)).reshape(-1, lanes)
-        for c, f in zip(cum, freq, strict=True):
+        at2, p1, p2, w0, both, w2 = model.forecast(one, two)
+        hit1, hit2 = (x == p1) & (both > w2), (x == p2) & (w2 > 0)
+        cum, freq = both + w0 * model.cum.take(x, mode="clip"), w0 * model.freq.take(x, mode="clip")
+        np.copyto(cum, w2, where=hit1)
+        np.copyto(freq, both - w2, where=hit1)
+        np.copyto(cum, 0, where=hit2)
+        np.copyto(freq, w2, where=hit2)
+        for c, f in zip(cum.reshape(-1, lanes), freq.reshape(-1, lanes), strict=True):
             unit = wide >> ALL_BITS
             low += unit * c
             wide = unit * f
@@ -128,14 +147,18 @@ def encode_ids(ids: np.ndarray) -> bytes:
             if len(over):
                 words[used[over] - 1, over] += 1
                 low[over] &= _TOP
-            for _ in range(2):
-                small = np.flatnonzero(wide < 1 << 32)
-                if not len(small):
-                    break
-                out = low[small]
-                words[used[small], small] = out >> 32
+            small = wide < 1 << 32
+            words[used, every] = low >> 32
+            used += small
+            shift = small * np.int64(16)
+            low <<= shift
+            low &= _TOP
+            wide <<= shift
+            small = np.flatnonzero(wide < 1 << 32)  # few lanes need a second word
+            if len(small):
+                words[used[small], small] = low[small] >> 32
                 used[small] += 1
-                low[small] = (out << 16) & _TOP
+                low[small] = (low[small] << 16) & _TOP
                 wide[small] <<= 16
         before = past[-2:]
         model.learn(x, one, at2, refresh)
@@ -150,61 +173,62 @@ def encode_ids(ids: np.ndarray) -> bytes:
     kept = np.arange(int(used.max()))[None, :] < used[:, None]
     payload = used.astype("<u4").tobytes() + words[: int(used.max())].T[kept].astype("<u2").tobytes()
     raw = ids.astype("<u4").tobytes()
-    return _HEAD.pack(b"TCM1", n, lanes, steps, top, zlib.crc32(raw), zlib.crc32(payload), len(payload)) + payload
+    return _HEAD.pack(_MARK, n, lanes, steps, top, zlib.crc32(raw), zlib.crc32(payload), len(payload)) + payload
 
 
 def decode_ids(block: bytes) -> np.ndarray:
     """The ids of encode_ids; ValueError if a checksum doesn't hold."""
     mark, n, lanes, steps, top, crc, crc_coded, size = _HEAD.unpack_from(block)
     payload = block[_HEAD.size : _HEAD.size + size]
-    if mark != b"TCM1" or len(payload) != size or zlib.crc32(payload) != crc_coded:
+    if mark != _MARK or len(payload) != size or zlib.crc32(payload) != crc_coded:
         raise ValueError("a block's coded ids are damaged")
     used = np.frombuffer(payload, "<u4", lanes).astype(np.int64)
-    words = np.concatenate((np.frombuffer(payload, "<u2", offset=4 * lanes).astype(np.int64), np.zeros(1, np.int64)))
-    next_word, end, none = np.cumsum(used) - used, np.cumsum(used), len(words) - 1
-
-    def read(which):
-        at = next_word[which]
-        got = words[np.where(at < end[which], at, none)]
-        next_word[which] = at + 1
-        return got
-
-    every = np.arange(lanes)
+    coded = np.frombuffer(payload, "<u2", offset=4 * lanes)
+    # After each lane's words the two zeros that the encoder left out.
+    words = np.zeros(len(coded) + 2 * lanes + 1, np.uint16)
+    words[np.arange(len(coded)) + 2 * np.repeat(np.arange(lanes), used)] = coded
+    at_word = np.cumsum(used) - used + 2 * np.arange(lanes)
     code, wide = np.zeros(lanes, np.int64), np.full(lanes, 1 << 48, np.int64)
     for _ in range(3):
-        code = (code << 16) | read(every)
+        code = (code << 16) | words[at_word]
+        at_word += 1
     model = Mixture(top)
-    grid = np.zeros((steps, lanes), np.int32)
     past = np.zeros((steps + 2, lanes), np.int32)
-    most, full = (1 << LOW_BITS) - 1, (1 << ALL_BITS) - 1
+    most = (1 << ALL_BITS) - 1
     for at, to, refresh in _segments(steps):
         ats = []
         cum, freq, slots = model.cum, model.freq, model.slots
         for t in range(at, to):
-            at2, p1, p2, w0, w1, w2 = model.forecast(past[t + 1], past[t])
+            at2, p1, p2, w0, both, w2 = model.forecast(past[t + 1], past[t])
             ats.append(at2)
-            a, b = np.minimum(p1, p2), np.maximum(p1, p2)
-            wa = np.where(p1 < p2, w1, np.where(p1 == p2, w1 + w2, w2))
-            wb = w1 + w2 - wa
             unit = wide >> ALL_BITS
-            v = np.minimum(code / unit, full).astype(np.int32)
-            from_a, from_b = w0 * cum[a], w0 * cum[b] + wa
-            to_a, to_b = from_a + w0 * freq[a] + wa, from_b + w0 * freq[b] + wb
-            past_a, past_b = v >= to_a, v >= to_b
-            x = slots[np.minimum(((v - wa * past_a - wb * past_b) / w0).astype(np.int32), most)]
-            x = np.where((v >= from_a) & ~past_a, a, x)
-            x = np.where((v >= from_b) & ~past_b, b, x)
-            code -= unit * (w0 * cum[x] + w1 * (p1 < x) + w2 * (p2 < x))
-            wide = unit * (w0 * freq[x] + w1 * (p1 == x) + w2 * (p2 == x))
-            grid[t] = past[t + 2] = x
-            for _ in range(2):
-                small = np.flatnonzero(wide < 1 << 32)
-                if not len(small):
-                    break
-                code[small] = (code[small] << 16) | read(small)
+            v = np.minimum(code / unit, most)
+            # Quotients of numbers below 2^48 keep their whole part in float64.
+            x = slots.take(((v - both) / w0).astype(np.intp), mode="clip")
+            c, f = both + w0 * cum.take(x, mode="clip"), w0 * freq.take(x, mode="clip")
+            hit, hit2 = v < both, v < w2
+            np.copyto(x, p1, where=hit)
+            np.copyto(c, w2, where=hit)
+            np.copyto(f, both - w2, where=hit)
+            np.copyto(x, p2, where=hit2)
+            np.copyto(c, 0, where=hit2)
+            np.copyto(f, w2, where=hit2)
+            code -= unit * c
+            wide = unit * f
+            past[t + 2] = x
+            small = wide < 1 << 32
+            shift = small * np.int64(16)
+            code <<= shift
+            code |= words.take(at_word, mode="clip") * small
+            wide <<= shift
+            at_word += small
+            small = np.flatnonzero(wide < 1 << 32)
+            if len(small):
+                code[small] = (code[small] << 16) | words[at_word[small]]
                 wide[small] <<= 16
-        model.learn(grid[at:to].ravel(), past[at + 1 : to + 1].ravel(), np.concatenate(ats), refresh)
-    ids = grid.T.ravel()[:n].astype("<u4")
+                at_word[small] += 1
+        model.learn(past[at + 2 : to + 2].ravel(), past[at + 1 : to + 1].ravel(), np.concatenate(ats), refresh)
+    ids = past[2:].T.ravel()[:n].astype("<u4")
     if zlib.crc32(ids.tobytes()) != crc:
         raise ValueError("a block's ids don't match their checksum")
     return ids
