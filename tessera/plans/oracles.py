@@ -109,6 +109,35 @@ _COMPLETE = f"""WITH f AS (SELECT {_PATH} AS path, doc_id % 10 AS k FROM documen
 c AS (SELECT path, CASE k WHEN 0 THEN 'remove' WHEN 2 THEN 'add' WHEN 3 THEN CASE WHEN lines = 1 THEN 'add' ELSE 'update' END WHEN 4 THEN 'update' ELSE 'unchanged' END AS action
 FROM f JOIN (SELECT {_PATH} AS path, len(string_split(text, chr(10))) AS lines FROM documents) USING (path))"""
 
+_WALL = (
+    "sc AS (SELECT f.*, list_dot_product(CAST(q.qvec AS DOUBLE[]), CAST(f.vec AS DOUBLE[])) AS score FROM coll f JOIN fx_queries q USING (query_id))",
+    "h AS (SELECT * FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS r FROM sc) WHERE r <= 20)",
+    "ask AS (SELECT query_id, CAST(substr(query_id, 2) AS BIGINT) AS n FROM fx_queries)",
+    """ranks AS (SELECT a.query_id, a.n, CAST(coalesce(x.r, 0) AS INTEGER) AS rank1, CAST(coalesce(y.r, 0) AS INTEGER) AS rank2, CAST(coalesce(z.r, 0) AS INTEGER) AS rank3 FROM ask a
+LEFT JOIN h x ON x.query_id = a.query_id AND x.id = lpad(CAST(a.n AS VARCHAR), 10, '0') LEFT JOIN h y ON y.query_id = a.query_id AND y.id = lpad(CAST(a.n + 1 AS VARCHAR), 10, '0')
+LEFT JOIN h z ON z.query_id = a.query_id AND z.id = lpad(CAST(a.n + 50 AS VARCHAR), 10, '0'))""",
+    """gold AS (SELECT query_id, rank1, rank2, rank1 > 0 OR rank2 > 0 AS gold_found, CASE WHEN n % 4 <> 2 THEN rank1 END AS current_rank, CASE WHEN n % 4 <> 2 THEN rank3 END AS stale_rank,
+CASE WHEN n % 4 <> 2 THEN rank1 > 0 AND (rank3 = 0 OR rank1 < rank3) END AS currency_ok FROM ranks)""",
+)
+_WORDS = r"len(list_filter(regexp_split_to_array({}, '\s+'), lambda x: x <> ''))"
+_SAYS = "coalesce(len(list_filter({0}, lambda x: x <> '' AND contains(lower({1}), lower(x)))) > 0, false)"
+_TURNS = (
+    _scored("coll"),
+    "h AS (SELECT * FROM (SELECT query_id, id, summary, content, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS r FROM sc) WHERE r <= 5)",
+    """ask AS (SELECT query_id, n, k % 7 <> 6 AS expected, CASE WHEN k % 3 = 0 THEN lpad(CAST(n AS VARCHAR), 10, '0') END AS target, CASE WHEN k % 5 = 4 THEN [] ELSE w[1:2] END AS mentions,
+CASE WHEN k % 2 = 0 THEN w[3:3] ELSE [] END AS forbid, CAST(k % 4 AS INTEGER) AS most FROM (SELECT query_id, CAST(substr(query_id, 2) AS BIGINT) AS n, CAST(substr(query_id, 2) AS BIGINT) // 50 AS k, string_split(text, ' ') AS w FROM fx_queries))""",
+    f"""j AS (SELECT a.query_id, h.r, {_WORDS.format("h.summary")} AS sw, {_WORDS.format("h.content")} AS cw, h.id = a.target AS aim, {_SAYS.format("a.mentions", "h.summary")} AS told, {_SAYS.format("a.mentions", "h.content")} AS deep, {_SAYS.format("a.forbid", "h.summary")} AS bad FROM ask a JOIN h USING (query_id))""",
+    "g AS (SELECT query_id, count(*) AS n_hits, sum(sw) AS sw, min(r) FILTER (aim) AS at_target, min(r) FILTER (told) AS at_told, min(r) FILTER (deep) AS at_deep, bool_or(bad) AS bad FROM j GROUP BY query_id)",
+    """m AS (SELECT a.*, coalesce(sw, 0) AS sw, coalesce(n_hits, 0) AS n_hits, at_deep, NOT expected OR NOT coalesce(bad, false) AS forbid_ok, expected AND len(forbid) > 0 AS forbids, len(mentions) = 0 OR at_told IS NOT NULL AS said, target IS NULL OR at_target IS NOT NULL AS aimed,
+CAST(CASE WHEN NOT expected THEN 0 WHEN target IS NOT NULL THEN coalesce(at_target, 0) WHEN len(mentions) > 0 THEN coalesce(at_told, 0) ELSE 0 END AS INTEGER) AS expected_rank FROM ask a LEFT JOIN g USING (query_id))""",
+    """dr AS (SELECT *, expected AND aimed AND forbid_ok AND said AS sufficient, CAST(CASE WHEN NOT expected OR aimed AND forbid_ok AND said OR most = 0 THEN 0 WHEN aimed AND forbid_ok AND at_deep <= most THEN at_deep ELSE least(n_hits, most) END AS INTEGER) AS drills,
+NOT expected OR aimed AND forbid_ok AND (said OR coalesce(at_deep <= most, false)) AS met FROM m)""",
+    "raw AS (SELECT d.query_id, sum(cw) AS raw FROM dr d JOIN j ON j.query_id = d.query_id AND j.r <= d.drills GROUP BY d.query_id)",
+    f"""base AS (SELECT a.query_id, sum({_WORDS.format("CASE WHEN length(x.content) > 0 THEN x.content ELSE x.summary END")}) AS base FROM ask a JOIN fx_artifacts x ON x.id IN (lpad(CAST(a.n AS VARCHAR), 10, '0'), lpad(CAST(a.n + 1 AS VARCHAR), 10, '0')) WHERE a.expected GROUP BY a.query_id)""",
+    """tm AS (SELECT query_id, met, sufficient, drills, CAST(sw AS INTEGER) AS overview_tokens, CAST(coalesce(raw, 0) AS INTEGER) AS raw_tokens, CAST(coalesce(base, 0) AS BIGINT) AS baseline_tokens, expected_rank > 0 AS expected_found, expected_rank, forbid_ok, forbids
+FROM dr LEFT JOIN raw USING (query_id) LEFT JOIN base USING (query_id))""",
+)
+
 ORACLES = {
     "scope_ancestors": _with("SELECT descendant AS scope, ancestor, distance FROM clo WHERE distance > 0"),
     "scope_descendants": _with("SELECT ancestor AS scope, descendant, distance FROM clo WHERE distance > 0"),
@@ -192,6 +221,14 @@ round(coalesce(count(*) FILTER (present AND weak) / nullif(count(*) FILTER (pres
 round(coalesce(max(a) FILTER (NOT present), 0.0), 6) AS max_absent FROM v""",
     "wall_report": _with(_scored("coll"), "gr AS (SELECT q.query_id, min(h.r) AS best FROM fx_queries q LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS r FROM sc) WHERE r <= 20) h ON h.query_id = q.query_id AND h.id = substr(q.query_id, 2) GROUP BY q.query_id)",
                          "SELECT count(*) AS questions, count(*) FILTER (best <= 5) AS found, round(avg(CASE WHEN coalesce(best, 6) <= 5 THEN 1.0 ELSE 0.0 END), 6) AS recall, round(avg(best), 6) AS mean_rank FROM gr"),
+    "wall_packets": _with(_scored("coll"), "h AS (SELECT * FROM (SELECT query_id, summary, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS r FROM sc) WHERE r <= 5)",
+                          "SELECT q.query_id, q.text AS question, md5(coalesce(string_agg(h.summary, chr(10) ORDER BY h.r), '')) AS retrieved_md5 FROM fx_queries q LEFT JOIN h USING (query_id) GROUP BY q.query_id, q.text"),
+    "wall_gold": _with(*_WALL, "SELECT query_id, rank1, rank2, gold_found, coalesce(current_rank, -1) AS current_rank, coalesce(stale_rank, -1) AS stale_rank, coalesce(CAST(currency_ok AS VARCHAR), 'none') AS currency_ok FROM gold"),
+    "wall_summary": _with(*_WALL, "SELECT count(*) AS questions, round(avg(CASE WHEN gold_found THEN 1.0 ELSE 0.0 END), 6) AS gold_recall, count(currency_ok) AS currency_probes, count(*) FILTER (currency_ok) AS currency_ok FROM gold"),
+    "turn_metrics": _with(*_TURNS, "SELECT * FROM tm"),
+    "scenario_report": _with(*_TURNS, """rp AS (SELECT count(*) AS turns, count(*) FILTER (sufficient) / count(*) AS suf, sum(overview_tokens + raw_tokens) / nullif(sum(baseline_tokens), 0) AS ratio, count(*) FILTER (forbids) AS nf, count(*) FILTER (forbids AND forbid_ok AND met) AS kept,
+count(*) FILTER (expected_found) / count(*) AS rec, sum(expected_rank) / nullif(count(*) FILTER (expected_found), 0) AS mr FROM tm)""",
+                             "SELECT turns, round(suf, 6) AS overview_sufficiency, round(coalesce(ratio, 0.0), 6) AS context_ratio, CASE WHEN nf = 0 THEN 'n/a' WHEN kept = nf THEN 'pass' ELSE 'fail' END AS constraint_survival, round(rec, 6) AS recall, round(coalesce(mr, 0.0), 6) AS mean_rank, suf >= 0.8 AND coalesce(ratio, 0.0) <= 0.25 AND rec >= 1 AND kept = nf AS passed FROM rp"),
     "scenario_metrics": r"""SELECT role, count(*) AS turns, CAST(sum(len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> ''))) AS BIGINT) AS words,
 CAST(sum(len(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{Nd}]+'), lambda x: x <> ''))) AS BIGINT) AS tokens, count(*) FILTER (contains(lower(text), 'the') OR contains(lower(text), 'der')) AS mentions FROM conversations GROUP BY role""",
 }

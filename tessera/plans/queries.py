@@ -14,7 +14,7 @@ from tessera.operators import scopes as S
 from tessera.operators.nearest import nearest
 from tessera.sources import blobs, fixtures, ingest
 from tessera.session import cut
-from tessera.spec import Floors, QuerySpec
+from tessera.spec import Detail, Floors, QuerySpec
 from tessera.streaming import traces
 
 NOW = datetime(2024, 2, 1)
@@ -296,6 +296,53 @@ def wall_report(spark, sf_dir):
     return evaluation.wall_report(evaluation.gold_ranks(hits, gold), 5).select("questions", "found", F.round("recall", 6).alias("recall"), F.round("mean_rank", 6).alias("mean_rank"))
 
 
+def _asked(d: Data) -> DataFrame:
+    """The queries, each with the number of its vector and the words of its text."""
+    return d.queries.withColumns({"n": F.substring("query_id", 2, 10).cast("long"), "w": F.split("text", " ")})
+
+
+def wall_packets(spark, sf_dir):
+    d = Data(spark, sf_dir)
+    rows = evaluation.packets(d.queries, d.retrieve(COLLAPSED))
+    return rows.select("query_id", "question", F.md5(F.array_join("retrieved", "\n")).alias("retrieved_md5"))
+
+
+def _wall_gold(spark, sf_dir) -> DataFrame:
+    """Of each question its own document and the next as references; three of four questions probe
+    its own document against the one of the next vector that is asked."""
+    d = Data(spark, sf_dir)
+    n, probed = F.col("n"), F.col("n") % 4 != 2
+    gold = _asked(d).select("query_id", F.array(fixtures.padded(n), fixtures.padded(n + 1)).alias("refs"), F.when(probed, fixtures.padded(n)).alias("current"), F.when(probed, fixtures.padded(n + 50)).alias("stale"))
+    return evaluation.wall_gold(gold, d.retrieve(COLLAPSED.but(top_k=20, include_superseded=True)))
+
+
+def wall_gold(spark, sf_dir):
+    rows = _wall_gold(spark, sf_dir)
+    return rows.select("query_id", F.get("ref_ranks", 0).alias("rank1"), F.get("ref_ranks", 1).alias("rank2"), "gold_found", *(F.coalesce(c, F.lit(-1)).alias(c) for c in ("current_rank", "stale_rank")), F.coalesce(F.col("currency_ok").cast("string"), F.lit("none")).alias("currency_ok"))
+
+
+def wall_summary(spark, sf_dir):
+    return evaluation.wall_summary(_wall_gold(spark, sf_dir)).withColumn("gold_recall", F.round("gold_recall", 6))
+
+
+def turn_metrics(spark, sf_dir):
+    """One of three turns aims at its own document; most expect words of their text in the hits and
+    every second one forbids a word; a seventh expects nothing."""
+    d = Data(spark, sf_dir)
+    n, w, k = F.col("n"), F.col("w"), F.col("n") / 50
+    expect = F.struct(
+        F.when(k % 3 == 0, fixtures.padded(n)).alias("target"), F.when(k % 5 == 4, F.array().cast("array<string>")).otherwise(F.array(F.get(w, 0), F.get(w, 1))).alias("mentions"),
+        F.when(k % 2 == 0, F.array(F.get(w, 2))).alias("forbid"), (k % 4).cast("int").alias("max_drills"), F.array(fixtures.padded(n), fixtures.padded(n + 1)).alias("baseline"),
+    )
+    turns = _asked(d).select("query_id", F.when(k % 7 != 6, expect).alias("expect"))
+    return evaluation.turn_metrics(turns, d.retrieve(COLLAPSED.but(detail=Detail.RAW)), d.artifacts)
+
+
+def scenario_report(spark, sf_dir):
+    rows = evaluation.scenario_report(turn_metrics(spark, sf_dir))
+    return rows.withColumns({c: F.round(c, 6) for c in ("overview_sufficiency", "context_ratio", "recall", "mean_rank")})
+
+
 def scenario_metrics(spark, sf_dir):
     turns = fixtures.read(spark, sf_dir, "conversations")
     terms = F.array(F.lit("THE"), F.lit(""), F.lit("der"))
@@ -362,5 +409,10 @@ QUERIES = {
     "calibrate_floor": calibrate_floor,
     "abstention_report": abstention_report,
     "wall_report": wall_report,
+    "wall_packets": wall_packets,
+    "wall_gold": wall_gold,
+    "wall_summary": wall_summary,
+    "turn_metrics": turn_metrics,
+    "scenario_report": scenario_report,
     "scenario_metrics": scenario_metrics,
 }

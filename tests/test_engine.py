@@ -208,3 +208,30 @@ def test_written_in_part_is_written_again(spark):
     rows = [("a", 0, "s"), ("a", 1, "s"), ("b", 0, "s"), ("c", 0, "s"), ("c", 1, "old"), ("d", 0, "s"), ("d", 0, "s"), ("f", 0, "s")]
     got = ingest.completeness(wanted, spark.createDataFrame(rows, "path string, chunk int, sig string"))
     assert {r["path"]: r["action"] for r in got.collect()} == {"a": "unchanged", "b": "update", "c": "update", "d": "update", "e": "add", "f": "remove", "g": "unchanged"}
+
+
+def test_turns_and_wall_by_their_rules(spark):
+    hits = spark.createDataFrame([("a", 1, "x", "Redis cache", "uses REDIS"), ("a", 2, "y", "queue", "holds kafka topics"), ("b", 1, "y", "queue", None)], "query_id string, rank int, id string, summary string, content string")
+    schema = "query_id string, expect struct<target:string,mentions:array<string>,forbid:array<string>,max_drills:int,baseline:array<string>>"
+    artifacts = spark.createDataFrame([("x", "Redis cache", "uses REDIS"), ("y", "queue", None)], "id string, summary string, content string")
+
+    def turn(query, expect):
+        return evaluation.turn_metrics(spark.createDataFrame([(query, expect)], schema), hits, artifacts).first()
+
+    at_once = turn("a", ("x", ["redis"], ["mongo"], 0, ["x", "y", "y"]))
+    assert at_once["met"] and at_once["sufficient"] and at_once["expected_rank"] == 1 and at_once["baseline_tokens"] == 4 and at_once["overview_tokens"] == 3
+    drilled = turn("a", (None, ["Kafka"], None, 3, None))
+    assert drilled["met"] and not drilled["sufficient"] and drilled["drills"] == 2 and drilled["raw_tokens"] == 5 and not drilled["expected_found"]
+    too_few = turn("a", (None, ["kafka"], None, 1, None))
+    assert not too_few["met"] and too_few["drills"] == 1
+    forbidden = turn("a", ("x", None, ["CACHE"], 9, None))
+    assert not forbidden["met"] and not forbidden["forbid_ok"] and forbidden["forbids"] and forbidden["drills"] == 2
+    nothing = turn("none", None)
+    assert nothing["met"] and not nothing["sufficient"] and nothing["overview_tokens"] == 0
+    empty = evaluation.scenario_report(evaluation.turn_metrics(spark.createDataFrame([], schema), hits, artifacts)).first()
+    assert empty["turns"] == 0 and empty["constraint_survival"] == "n/a" and empty["recall"] == 0.0 and not empty["passed"]
+    gold = spark.createDataFrame([("a", ["y", "z"], "y", "x"), ("b", ["x"], "y", "x"), ("c", None, None, None)], "query_id string, refs array<string>, current string, stale string")
+    rows = {r["query_id"]: r for r in evaluation.wall_gold(gold, hits).collect()}
+    assert rows["a"]["ref_ranks"] == [2, 0] and rows["a"]["gold_found"] and rows["a"]["currency_ok"] is False
+    assert not rows["b"]["gold_found"] and rows["b"]["currency_ok"] is True and rows["c"]["currency_ok"] is None
+    assert evaluation.wall_summary(evaluation.wall_gold(gold, hits)).first()[:] == (3, 1 / 3, 2, 1)
