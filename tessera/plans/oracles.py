@@ -206,6 +206,12 @@ SELECT path, CAST(row_number() OVER (PARTITION BY path ORDER BY a) - 1 AS INTEGE
     "ingest_reconcile": f"""WITH f AS (SELECT {_PATH} AS path, doc_id, text FROM documents)
 SELECT path, CASE WHEN doc_id % 10 = 0 THEN 'remove' WHEN doc_id % 10 = 2 THEN CASE WHEN trim(text) = '' THEN 'unchanged' ELSE 'add' END WHEN doc_id % 10 = 1 THEN 'update' ELSE 'unchanged' END AS action FROM f""",
     "ingest_completeness": _COMPLETE + " SELECT * FROM c",
+    "ingest_runs": """WITH f AS (SELECT doc_id % 10 AS k, trim(text, ' ' || chr(9) || chr(10) || chr(13)) = '' AS blank, lang, source FROM documents),
+dirs AS (SELECT lang AS dir, k, blank FROM f UNION ALL SELECT lang || '/' || source, k, blank FROM f),
+g AS (SELECT bool_or(k <> 2) AS in1, bool_or(k <> 2 AND NOT blank) AS alive1, bool_or(k <> 0) AS in2, bool_or(k <> 0 AND (k = 1 OR NOT blank)) AS alive2 FROM dirs GROUP BY dir),
+d AS (SELECT count(*) FILTER (in1) AS made1, count(*) FILTER (in1 AND NOT alive1) AS gone1, count(*) FILTER (in2 AND NOT alive1) AS made2, count(*) FILTER ((alive1 OR in2) AND NOT alive2) AS gone2 FROM g)
+SELECT 1 AS run, count(*) FILTER (k <> 2 AND NOT blank) AS files_added, 0 AS files_updated, count(*) FILTER (k <> 2 AND blank) AS files_unchanged, 0 AS files_removed, any_value(made1) AS scopes_created, any_value(gone1) AS scopes_removed FROM f, d
+UNION ALL SELECT 2, count(*) FILTER (k = 2 AND NOT blank OR k = 1 AND blank), count(*) FILTER (k = 1 AND NOT blank), count(*) FILTER (k > 2 OR k = 2 AND blank), count(*) FILTER (k = 0 AND NOT blank), any_value(made2), any_value(gone2) FROM f, d""",
     "ingest_statistics": _COMPLETE + " SELECT action, count(*) AS files FROM c GROUP BY action",
     "dir_scopes": _with("SELECT p.id || '/' || d.source AS dir, s.id AS scope, 3 AS depth FROM (SELECT DISTINCT source FROM documents) d CROSS JOIN (SELECT id FROM fx_scopes WHERE parent = 'R') p LEFT JOIN fx_scopes s ON s.parent = p.id AND s.title = d.source"),
     "dir_rollup_text": "SELECT source AS dir, md5('directory ' || source || '; files: ' || string_agg(lpad(CAST(doc_id AS VARCHAR), 10, '0') || '.md', ', ' ORDER BY doc_id)) AS rollup_md5 FROM documents GROUP BY source",

@@ -12,9 +12,10 @@ from tessera.functions.text import bag_of_words_embedder, contains_any, is_blank
 from tessera.operators import evaluation, graph, retrieval, writes
 from tessera.operators import scopes as S
 from tessera.operators.nearest import nearest
-from tessera.sources import blobs, fixtures, ingest
+from tessera.sources import blobs, fixtures, ingest, sync
 from tessera.session import cut
 from tessera.spec import Detail, Floors, QuerySpec
+from tessera.store import MemoryStore
 from tessera.streaming import traces
 
 NOW = datetime(2024, 2, 1)
@@ -220,6 +221,19 @@ def ingest_completeness(spark, sf_dir):
     return ingest.completeness(wanted, kept.select("path", "chunk", F.when((F.col("case") == 4) & (F.col("chunk") == 0), "old").otherwise(F.col("sig")).alias("sig")))
 
 
+def ingest_runs(spark, sf_dir):
+    """Two runs over all documents as files, some of them changed, new or gone at the second."""
+    files = _files(spark, sf_dir).join(fixtures.read(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id").withColumn("path", F.concat_ws("/", "lang", "path"))
+    files, step = files.select("path", "text", "doc_id"), F.col("doc_id") % 10
+    changed = F.when(step == 1, F.concat("text", F.lit("\nmore"))).otherwise(F.col("text"))
+    store = MemoryStore.empty(spark)
+    root, store = store.create_scope(None, "worktree", "files")
+    one = sync.sync(files.filter(step != 2), root, store.scopes, store.artifacts, store.edges, "1-", "files")
+    two = sync.sync(files.filter(step != 0).withColumn("text", changed), root, one.scopes, one.artifacts, one.edges, "2-", "files")
+    rows = one.stats.withColumn("run", F.lit(1)).union(two.stats.withColumn("run", F.lit(2)))
+    return rows.drop("chunks_added", "chunks_removed")
+
+
 def ingest_statistics(spark, sf_dir):
     return ingest.statistics(ingest_completeness(spark, sf_dir))
 
@@ -398,6 +412,7 @@ QUERIES = {
     "ingest_reconcile": ingest_reconcile,
     "ingest_completeness": ingest_completeness,
     "ingest_statistics": ingest_statistics,
+    "ingest_runs": ingest_runs,
     "dir_scopes": dir_scopes,
     "dir_rollup_text": dir_rollup_text,
     "content_dedupe": content_dedupe,

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tessera.operators import graph, retrieval, writes
 from tessera.operators import scopes as S
 from tessera.operators.evaluation import conformal_floor
-from tessera.sources import blobs
+from tessera.sources import blobs, sync
 from tessera.spec import QuerySpec, resolve_floors
 
 SCOPES = "id string, parent string, role string, title string, version int, seed_from string, archived boolean, forked_from string, created_at timestamp, rollup_summary string, rollup_vec array<float>"
@@ -145,6 +145,13 @@ class MemoryStore:
         seeded = store.scopes.withColumn("seed_from", F.when(F.col("id") == id, F.lit(first)).otherwise(F.col("seed_from")))
         return id, replace(store, scopes=seeded)
 
+    def ingest(self, root: str, files: DataFrame, **sizes) -> tuple[dict, MemoryStore]:
+        """Brings files (path, text) in below the scope root: what has changed, and the new store.
+        A directory's files come from read_directory() of its contained() path."""
+        label = self.get_scope(root)["title"] or ""
+        out = sync.sync(files, root, self.scopes, self.artifacts, self.edges, new_id()[:14], label, self.embed, **sizes)
+        return out.stats.first().asDict(), replace(self, scopes=out.scopes, artifacts=out.artifacts, edges=out.edges, _closure=[])
+
     def rollup_scope(self, scope: str, summary: str) -> MemoryStore:
         self._has(self.scopes, scope)
         here = F.col("id") == scope

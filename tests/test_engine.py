@@ -235,3 +235,27 @@ def test_turns_and_wall_by_their_rules(spark):
     assert rows["a"]["ref_ranks"] == [2, 0] and rows["a"]["gold_found"] and rows["a"]["currency_ok"] is False
     assert not rows["b"]["gold_found"] and rows["b"]["currency_ok"] is True and rows["c"]["currency_ok"] is None
     assert evaluation.wall_summary(evaluation.wall_gold(gold, hits)).first()[:] == (3, 1 / 3, 2, 1)
+
+
+def test_ingest_brings_the_store_to_the_files(spark):
+    store = MemoryStore.empty(spark)
+    root, store = store.create_scope(None, "worktree", "home")
+
+    def run(store, files):
+        return store.ingest(root, spark.createDataFrame(files, "path string, text string"), max_chars=10, overlap=0)
+
+    first = [("a.md", "one\n\ntwo three four\n"), ("x/y/b.py", "def f():\n  pass"), ("x/c.md", None), ("x/c.md", None), ("z/d.md", "here")]
+    stats, store = run(store, first)
+    assert (stats["files_added"], stats["files_unchanged"], stats["scopes_created"], stats["scopes_removed"]) == (3, 1, 3, 0)
+    titles = {r["title"]: r["rollup_summary"] for r in store.scopes.collect()}
+    assert titles == {"home": "directory home; files: a.md", "x": None, "y": "directory x/y; files: b.py", "z": "directory z; files: d.md"}
+    ids = {r["id"] for r in store.artifacts.collect()}
+    again, store = run(store, first)
+    assert again == {**dict.fromkeys(again, 0), "files_unchanged": 4} and {r["id"] for r in store.artifacts.collect()} == ids
+    # A chunk is lost, a file is gone, and with it two scopes.
+    lost = store.artifacts.filter("meta['path'] = 'a.md' AND meta['chunk'] = '0'").first()["id"]
+    stats, store = run(store.delete_artifact(lost), [f for f in first if f[0] != "x/y/b.py"])
+    assert (stats["files_updated"], stats["files_removed"], stats["scopes_removed"]) == (1, 1, 2)
+    assert {r["meta"]["path"] for r in store.artifacts.collect()} == {"a.md", "z/d.md"} and all(r["meta"]["trust"] == "ingested" for r in store.artifacts.collect())
+    stats, store = run(store, [])
+    assert stats["files_removed"] == 2 and store.scopes.count() == 1 and store.artifacts.isEmpty()
