@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from tessera.llm.conversation_repair import ORACLE as REPAIR_SQL
+from tessera.llm.conversation_repair import op11_conversation_repair
 from tessera.llm.decontaminate import op6_decontamination
 from tessera.llm.html_text import op10_html_text
 from tessera.llm.jaccard_join import op4_jaccard_join
@@ -26,6 +28,7 @@ QUERIES = {
     "op8_url_filter": op8_url_filter,
     "op9_token_files": op9_token_files,
     "op10_html_text": op10_html_text,
+    "op11_conversation_repair": op11_conversation_repair,
 }
 
-ORACLES: dict[str, str] = {"op3_license_scan": LICENSE_SQL, "op7_topk_search": TOPK_SQL}
+ORACLES: dict[str, str] = {"op3_license_scan": LICENSE_SQL, "op7_topk_search": TOPK_SQL, "op11_conversation_repair": REPAIR_SQL}
