@@ -109,10 +109,11 @@ class Words:
     of each text's first word, plus the total.
     """
 
-    def __init__(self, texts: pa.Array):
+    def __init__(self, texts: pa.Array, letters: np.ndarray = _WORD):
+        """letters: by byte, whether it belongs to words."""
         raw, self.docs = text_bytes(texts)
         self.raw = _LOWER[raw]
-        word = _WORD[self.raw]
+        word = letters[self.raw]
         n = len(word)
         opens, shuts = word.copy(), word.copy()
         if n:

@@ -11,6 +11,9 @@ from tessera.llm.license_scan import ORACLE as LICENSE_SQL
 from tessera.llm.license_scan import op3_license_scan
 from tessera.llm.packing import op2_packing
 from tessera.llm.quality import op1_quality
+from tessera.llm.spelling_variants import ORACLE as SPELLING_SQL
+from tessera.llm.spelling_variants import op12_spelling_variants
+from tessera.llm.suffix_tree_lm import op13_suffix_tree_lm
 from tessera.llm.token_files import op9_token_files
 from tessera.llm.topk_search import ORACLE as TOPK_SQL
 from tessera.llm.topk_search import op7_topk_search
@@ -29,6 +32,8 @@ QUERIES = {
     "op9_token_files": op9_token_files,
     "op10_html_text": op10_html_text,
     "op11_conversation_repair": op11_conversation_repair,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_suffix_tree_lm": op13_suffix_tree_lm,
 }
 
-ORACLES: dict[str, str] = {"op3_license_scan": LICENSE_SQL, "op7_topk_search": TOPK_SQL, "op11_conversation_repair": REPAIR_SQL}
+ORACLES: dict[str, str] = {"op3_license_scan": LICENSE_SQL, "op7_topk_search": TOPK_SQL, "op11_conversation_repair": REPAIR_SQL, "op12_spelling_variants": SPELLING_SQL}
