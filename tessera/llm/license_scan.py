@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from tessera.llm.common import table
 
 K, MIN_CONTAINMENT, MISS = 5, 0.8, 1e-12
+#: Above all window sizes (twice a template's shingles).
+WINDOWS = 1 << 24
 #: Templates whose bands are broadcast at a time; more are scanned in blocks of this many.
 BLOCK = 2000
 
@@ -99,14 +101,19 @@ def _scan(docs: DataFrame, templates: list[tuple[str, str]], min_containment: fl
         """Starts of the windows of this size that hold a hit."""
         step = max(1, size // 4)
         starts = lambda i: F.sequence(F.greatest(F.lit(0), F.floor((i - size) / step).cast("int") + 1), F.floor(i / step).cast("int"))
-        return F.flatten(F.transform("hits", lambda i: F.transform(starts(i), lambda j: F.struct(F.lit(size).alias("window"), (j * step).alias("start")))))
+        return F.flatten(F.transform("hits", lambda i: F.transform(starts(i), lambda j: (j * step).cast("long") * WINDOWS + size)))
 
     # A column that a lambda uses often is bound by a lambda of its own, and made once a row by explode.
     bound = F.transform(F.array(words(F.col("text"))), lambda w: F.struct(w.alias("w"), hits(w).alias("hits")))
     df = docs.withColumn("_row", F.monotonically_increasing_id()).select("doc_id", "_row", F.inline(F.filter(bound, lambda x: F.size(x["hits"]) > 0)))
-    spots = F.array_distinct(F.concat(*(around(size) for size in kinds))) if kinds else F.array().cast("array<struct<window:int,start:int>>")
-    df = df.select("doc_id", "_row", "w", F.inline(spots))
-    sh = _shingles(F.col("w"), F.col("start"), F.least(F.col("start") + F.col("window"), F.size("w") - K + 1))
+    # Windows as numbers, which are made distinct by a hash set (structs would be compared pair by pair);
+    # each takes its own words along, not the whole text's.
+    spots = F.array_distinct(F.concat(*(around(size) for size in kinds))) if kinds else F.array().cast("array<long>")
+    piece = lambda start, size: F.slice("w", start + 1, size + K - 1)
+    spot = lambda x: F.struct((x % WINDOWS).cast("int").alias("window"), F.floor(x / WINDOWS).cast("int").alias("start"))
+    pieces = F.transform(F.transform(spots, spot), lambda x: F.struct(x["window"].alias("window"), x["start"].alias("start"), piece(x["start"], x["window"]).alias("piece")))
+    df = df.select("doc_id", "_row", F.inline(pieces))
+    sh = _shingles(F.col("piece"), F.lit(0), F.size("piece") - K + 1)
     df = df.select("doc_id", "_row", "window", "start", F.inline(F.transform(F.array(sh), lambda x: F.struct(x.alias("_sh"), _minima(x, n).alias("_bands")))))
     keys = df.select("doc_id", "_row", "window", "start", "_sh", F.posexplode("_bands").alias("band", "least"))
     known_keys = known.select("license", "t_shingles", "window", F.posexplode(_minima(F.col("t_shingles"), n)).alias("band", "least"))

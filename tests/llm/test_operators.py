@@ -1,6 +1,7 @@
 """The training-data operators on small tables with nulls, ties, copies, long texts and clashing columns."""
 
 import re
+import time
 import zlib
 
 import numpy as np
@@ -228,6 +229,19 @@ def test_licenses_in_blocks(docs, monkeypatch):
     assert [(r["doc_id"], r["license"]) for r in license_scan.scan(docs, license_scan.TEMPLATES).collect()] == [(14, "MIT")]
 
 
+def test_a_long_text_of_notices_takes_time_in_proportion(spark):
+    n = 4000
+    docs = spark.createDataFrame([(1, "Released under the MIT License. " * n), (2, "nothing"), (2, "nothing"), (None, None)], "doc_id long, text string")
+    took = []
+    for df in (docs.withColumn("text", F.substring("text", 1, 32 * n // 4)), docs):
+        began = time.time()
+        rows = [tuple(r) for r in license_scan.scan(df, license_scan.TEMPLATES).collect()]
+        took.append(time.time() - began)
+    # A window holds two shingles; the first notice starts every fifth word.
+    assert len(rows) == 1 and rows[0][:3] == (1, "MIT", 1.0) and rows[0][4] == 0
+    assert took[1] < 60 and took[1] < 8 * took[0]
+
+
 def test_license_scan_equals_its_sql(spark):
     import duckdb
 
