@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.chains import walks
 from tessera.session import cut
 
 
@@ -34,13 +35,7 @@ def related(starts: DataFrame, edges: DataFrame, artifacts: DataFrame, direction
 def history(artifacts: DataFrame) -> DataFrame:
     """origin, id, step, current: each supersession chain from its oldest member on. Of two that one
     artifact superseded, both chains lead to it; a cycle ends where it began."""
-    links = artifacts.filter("superseded_by IS NOT NULL").select("id", "superseded_by")
-    origins = links.join(links.select(F.col("superseded_by").alias("id")), "id", "left_anti")
-    level = cut(origins.select(F.col("id").alias("origin"), "id", "superseded_by"))
-    found, step = level.select("origin", "id", F.lit(0).alias("step")), 0
-    while not level.isEmpty():
-        step += 1
-        after = level.select("origin", F.col("superseded_by").alias("id")).join(found.select("origin", "id"), ["origin", "id"], "left_anti")
-        found = found.union(after.select("origin", "id", F.lit(step)))
-        level = cut(after.join(links, "id").select("origin", "id", "superseded_by"))
+    links = artifacts.filter("superseded_by IS NOT NULL").select("id", F.col("superseded_by").alias("next"))
+    origins = links.select("id").join(links.select(F.col("next").alias("id")), "id", "left_anti")
+    found = walks(origins, links)
     return found.join(artifacts.select("id", F.col("superseded_by").isNull().alias("current")), "id").select("origin", "id", "step", "current")

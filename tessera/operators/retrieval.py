@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import dot, rank_text, tokens
+from tessera.operators import blocks
 from tessera.operators import scopes as S
 from tessera.session import cut
 from tessera.spec import BM25_B, BM25_K1, DEFAULT_TOP, GRAPH_SEEDS, RECENCY_BASE, RECENCY_SHARE, RRF_K, Detail, Floors, QuerySpec
@@ -77,13 +78,22 @@ def rrf(scored: DataFrame, *scores: str) -> DataFrame:
 
 
 def recency(spec: QuerySpec) -> Column:
+    """What an artifact's age adds; an unknown age adds nothing."""
     age = F.greatest((F.unix_micros(F.lit(spec.now).cast("timestamp")) - F.unix_micros("created_at")) / 86400e6, F.lit(0.0))
-    return (1 - RECENCY_SHARE) * F.col("score") + RECENCY_SHARE * F.pow(F.lit(RECENCY_BASE), age / spec.recency_half_life_days)
+    return F.coalesce(RECENCY_SHARE * F.pow(F.lit(RECENCY_BASE), age / spec.recency_half_life_days), F.lit(0.0))
 
 
 def importance(spec: QuerySpec) -> Column:
-    w = min(spec.importance_weight, 1.0)
-    return (1 - w) * F.col("score") + w * F.when(F.col("tier") == "worktree", 1.0).otherwise(0.0)
+    return F.when(F.col("tier") == "worktree", min(spec.importance_weight, 1.0)).otherwise(0.0)
+
+
+def blend(spec: QuerySpec) -> tuple[float, Column]:
+    """The weight of the cosine in a vector query's order, and what an artifact adds to it."""
+    if spec.importance_weight > 0:
+        return 1 - min(spec.importance_weight, 1.0), importance(spec)
+    if spec.recency_half_life_days > 0:
+        return 1 - RECENCY_SHARE, recency(spec)
+    return 1.0, F.lit(0.0)
 
 
 def graph_boost(scored: DataFrame, edges: DataFrame, weight: float, incoming: str) -> DataFrame:
@@ -94,10 +104,35 @@ def graph_boost(scored: DataFrame, edges: DataFrame, weight: float, incoming: st
     links = edges.select("from_id", "to_id", "kind").distinct()
     both = links.select(F.col("from_id").alias("id"), F.col("to_id").alias("seed")).union(links.select("to_id", "from_id"))
     near = both.join(best, "seed").join(scored.select("query_id", "id"), ["query_id", "id"]).groupBy("query_id", "id").agg(F.sum("seed_score").alias("g"))
-    out = scored.join(near, ["query_id", "id"], "left").withColumn("g", F.coalesce("g", F.lit(0.0)))
-    out = out.withColumn("gmax", F.max("g").over(Window.partitionBy("query_id")))
-    blend = (1 - w) * F.col("score") + w * F.col("g") / F.col("gmax")
-    return out.withColumn("sort_key", F.when(F.col("gmax") > 0, blend).otherwise(F.col(incoming))).drop("g", "gmax")
+    near = cut(near)
+    return _by_links(scored.join(near, ["query_id", "id"], "left"), near, w, incoming)
+
+
+def _by_links(scored: DataFrame, near: DataFrame, w: float, incoming: str) -> DataFrame:
+    """scored (with g, null without links) with sort_key."""
+    out = scored.join(near.groupBy("query_id").agg(F.max("g").alias("gmax")), "query_id", "left")
+    mixed = (1 - w) * F.col("score") + w * F.coalesce("g", F.lit(0.0)) / F.col("gmax")
+    return out.withColumn("sort_key", F.when(F.col("gmax") > 0, mixed).otherwise(F.col(incoming))).drop("g", "gmax")
+
+
+def boosted(queries: DataFrame, reached: DataFrame, pool: DataFrame, edges: DataFrame, spec: QuerySpec, k: int) -> DataFrame:
+    """query_id, id, score, sort_key of all that can be among the k best after graph_boost(): the best by
+    cosine, and what is linked to the first of them. Only linked artifacts are looked at one by one."""
+    weight, bonus = blend(spec)
+    best = cut(blocks.topk(queries, reached, pool.withColumn("bonus", F.lit(0.0)), max(k, GRAPH_SEEDS)).select("query_id", "id", "score", "rank"))
+    seeds = best.filter(F.col("rank") <= GRAPH_SEEDS).select("query_id", F.col("id").alias("seed"), F.col("score").alias("seed_score"))
+    links = edges.select("from_id", "to_id", "kind").distinct()
+    both = links.select(F.col("from_id").alias("id"), F.col("to_id").alias("seed")).union(links.select("to_id", "from_id"))
+    near = both.join(seeds, "seed").groupBy("query_id", "id").agg(F.sum("seed_score").alias("g"))
+    near = near.join(pool.filter("vec IS NOT NULL").select("id", "scope", "published", "vec"), "id").join(reached, ["query_id", "scope"]).filter(F.col("any_state") | F.col("published"))
+    near = cut(near.join(queries.select("query_id", "qvec"), "query_id").select("query_id", "id", dot(F.col("qvec"), F.col("vec")).alias("score"), "g"))
+    others = best.select("query_id", "id", "score").join(near.select("query_id", "id"), ["query_id", "id"], "left_anti").withColumn("g", F.lit(None).cast("double"))
+    out = _by_links(near.unionByName(others), near, min(spec.graph_boost, 1.0), "score")
+    if weight < 1:  # where nothing is linked, the order is that of the blend
+        unlinked = queries.join(near.filter("g > 0").select("query_id").distinct(), "query_id", "left_anti")
+        plain = blocks.topk(unlinked, reached, pool.withColumn("bonus", bonus), k, weight, spec.min_score if spec.min_score > 0 else None)
+        out = out.join(unlinked.select("query_id"), "query_id", "left_anti").unionByName(plain.drop("rank"))
+    return out
 
 
 def borderline(scored: DataFrame, floors: Floors, key: str) -> DataFrame:
@@ -129,45 +164,68 @@ def rerank(scored: DataFrame, queries: DataFrame, reranker: Reranker, n: int, co
     return out.withColumn("rerank_score", 1 / (1 + F.exp(-F.col("sort_key"))))
 
 
-def retrieve(queries: DataFrame, scopes: DataFrame, artifacts: DataFrame, spec: QuerySpec, *, closure: DataFrame | None = None, rollups: DataFrame | None = None, edges: DataFrame | None = None, reranker: Reranker | None = None) -> DataFrame:
+def retrieve(queries: DataFrame, scopes: DataFrame, artifacts: DataFrame, spec: QuerySpec, *, closure: DataFrame | None = None, rollups: DataFrame | None = None, edges: DataFrame | None = None, reranker: Reranker | None = None, with_paths: bool = True) -> DataFrame:
     """Hits of each query: its columns of artifacts, score (cosine), rerank_score, rank."""
     closure = S.closure(scopes) if closure is None else closure
+    k = spec.top_k if spec.top_k > 0 else DEFAULT_TOP
+    find = _hybrid if spec.mode == "hybrid" else _vector
+    out = find(queries, scopes, artifacts, spec, k, closure, rollups, edges, reranker)
+    out = out.select("query_id", "id", "score", "rerank_score", "rank").join(artifacts.drop("vec", *([] if spec.detail >= Detail.RAW else ["content"])), "id")
+    return out.join(S.paths(scopes, closure), "scope", "left") if with_paths else out
+
+
+def _vector(queries, scopes, artifacts, spec, k, closure, rollups, edges, reranker) -> DataFrame:
+    """query_id, id, score, rerank_score, rank by cosine and blends: ranked in blocks, without a row for a pair."""
+    reached = S.reached(queries, scopes, closure, spec, rollups)
+    pool = S.current(S.of_tier(artifacts, spec), spec)
+    least, none, (weight, bonus) = spec.min_score if spec.min_score > 0 else None, F.lit(None).cast("double"), blend(spec)
+
+    def plain(of: DataFrame) -> DataFrame:
+        if spec.graph_boost > 0 and edges is not None:
+            found = boosted(of, reached, pool, edges, spec, k)
+            return ranked(found if least is None else found.filter(F.col("score") >= least), "sort_key").filter(F.col("rank") <= k)
+        return blocks.topk(of, reached, pool.withColumn("bonus", bonus), k, weight, least)
+
+    def again(of: DataFrame) -> DataFrame:
+        window = blocks.topk(of, reached, pool.withColumn("bonus", F.lit(0.0)), spec.rerank_n, 1.0, least).drop("rank")
+        return ranked(rerank(window.join(artifacts.select("id", "kind", "summary", "content"), "id"), of, reranker, spec.rerank_n), "sort_key").filter(F.col("rank") <= k)
+
+    if reranker is None or not (spec.rerank or spec.auto_rerank):
+        out = plain(queries).withColumn("rerank_score", none)
+    elif spec.rerank:
+        out = again(queries)
+    else:
+        flags = cut(borderline(blocks.topk(queries, reached, pool.withColumn("bonus", F.lit(0.0)), 2), spec.floors, "score"))
+        weak, sure = (queries.join(flags.filter(F.col("borderline") == x), "query_id", "left_semi") for x in (True, False))
+        out = again(weak).select("query_id", "id", "score", "rerank_score", "rank").unionByName(plain(sure).withColumn("rerank_score", none).select("query_id", "id", "score", "rerank_score", "rank"))
+    return out
+
+
+def _hybrid(queries, scopes, artifacts, spec, k, closure, rollups, edges, reranker) -> DataFrame:
+    """query_id, id, score, rerank_score, rank by the fused ranks of cosine and BM25."""
     found = S.current(S.candidates(queries, scopes, artifacts, closure, spec, rollups), spec)
-    scored, key = cosine(found, queries), "score"
-    if spec.mode == "hybrid":
-        # Whole texts don't travel with the pairs; the few that are needed are joined at the end.
-        scored = cut(scored.drop("vec", "content"))
-        texts = artifacts.select("id", rank_text(F.col("kind"), F.col("content"), F.col("summary")).alias("text"))
-        scored, key = rrf(scored.join(bm25(texts, queries, scored), ["query_id", "id"]), "score", "bm25"), "fused"
-    order_by = F.col(key)
-    if spec.mode == "vector" and spec.recency_half_life_days > 0:
-        order_by = recency(spec)
-    if spec.mode == "vector" and spec.importance_weight > 0:
-        order_by = importance(spec)
-    blended = scored.withColumn("sort_key", order_by)
+    # Whole texts don't travel with the pairs; the few that are needed are joined at the end.
+    scored = cut(cosine(found, queries).select("query_id", "id", "kind", "summary", "score"))
+    texts = artifacts.select("id", rank_text(F.col("kind"), F.col("content"), F.col("summary")).alias("text"))
+    scored = rrf(scored.join(bm25(texts, queries, scored), ["query_id", "id"]), "score", "bm25")
+    blended = scored.withColumn("sort_key", F.col("fused"))
     if spec.graph_boost > 0 and edges is not None:
         blended = graph_boost(blended, edges, spec.graph_boost, "sort_key")
     gate = F.lit(True) if spec.min_score <= 0 else F.col("score") >= spec.min_score
     none = F.lit(None).cast("double")
-    contents = artifacts.select("id", "content") if "content" in artifacts.columns else None
+    contents = artifacts.select("id", "content")
     if reranker is None or not (spec.rerank or spec.auto_rerank):
         out = blended.filter(gate).withColumn("rerank_score", none)
     else:
-        plain = scored.withColumn("sort_key", F.col(key))
+        plain = scored.withColumn("sort_key", F.col("fused"))
         if spec.rerank:
             out = rerank(plain.filter(gate), queries, reranker, spec.rerank_n, contents)
         else:
-            flags = borderline(scored, spec.floors, key)
+            flags = borderline(scored, spec.floors, "fused")
             weak, sure = (flags.filter(F.col("borderline") == x).select("query_id") for x in (True, False))
             again = rerank(plain.filter(gate).join(weak, "query_id", "left_semi"), queries, reranker, spec.rerank_n, contents)
             out = again.unionByName(blended.filter(gate).join(sure, "query_id", "left_semi").withColumn("rerank_score", none), allowMissingColumns=True)
-    k = spec.top_k if spec.top_k > 0 else DEFAULT_TOP
-    out = ranked(out, "sort_key").filter(F.col("rank") <= k).drop("sort_key", "vec")
-    if spec.detail < Detail.RAW:
-        out = out.drop("content")
-    elif spec.mode == "hybrid" and contents is not None:
-        out = out.drop("content").join(contents, "id")
-    return out.join(S.paths(scopes, closure), "scope", "left")
+    return ranked(out, "sort_key").filter(F.col("rank") <= k)
 
 
 def decide(hits: DataFrame, queries: DataFrame, floors: Floors) -> DataFrame:

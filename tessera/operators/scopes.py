@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import dot
+from tessera.operators.chains import walks
 from tessera.session import cut
 from tessera.spec import COARSE_LEAST, COARSE_MARGIN, QuerySpec
 
@@ -13,20 +14,10 @@ from tessera.spec import COARSE_LEAST, COARSE_MARGIN, QuerySpec
 def closure(scopes: DataFrame) -> DataFrame:
     """ancestor, descendant, distance: all pairs on a path to the root, each scope itself at 0.
 
-    Climbs one parent a round for all scopes at once; a walk ends at a root, a missing parent or
-    a scope it has been at."""
+    The paths double each round; a walk ends at a root, a missing parent or a scope it has been at."""
     scopes = cut(scopes.select("id", "parent"))
-    parents = scopes.select(F.col("id").alias("ancestor"), "parent")
-    level = scopes.select(F.col("id").alias("descendant"), F.col("id").alias("ancestor"), F.array("id").alias("walked"))
-    found, distance = level.select("ancestor", "descendant", F.lit(0).alias("distance")), 0
-    known = scopes.select(F.col("id").alias("parent"))
-    while True:
-        distance += 1
-        up = level.join(parents, "ancestor").join(known, "parent", "left_semi").filter(~F.array_contains("walked", F.col("parent")))
-        level = cut(up.select("descendant", F.col("parent").alias("ancestor"), F.concat("walked", F.array("parent")).alias("walked")))
-        if level.isEmpty():
-            return found
-        found = found.union(level.select("ancestor", "descendant", F.lit(distance)))
+    links = scopes.join(scopes.select(F.col("id").alias("parent")), "parent").select("id", F.col("parent").alias("next"))
+    return walks(scopes, links).select(F.col("id").alias("ancestor"), F.col("origin").alias("descendant"), F.col("step").alias("distance"))
 
 
 def ancestors(closure: DataFrame) -> DataFrame:
@@ -78,18 +69,24 @@ def coarse_scopes(queries: DataFrame, scopes: DataFrame, closure: DataFrame, rol
     return ranked.filter(kept).select("query_id", "scope", "score", "rank")
 
 
-def candidates(queries: DataFrame, scopes: DataFrame, artifacts: DataFrame, closure: DataFrame, spec: QuerySpec, rollups: DataFrame | None = None) -> DataFrame:
-    """query_id and the artifacts in its candidate set, before currency and kind are looked at."""
+def reached(queries: DataFrame, scopes: DataFrame, closure: DataFrame, spec: QuerySpec, rollups: DataFrame | None = None) -> DataFrame:
+    """query_id, scope, any_state: the scopes of each query's candidate set."""
     if spec.candidates == "hierarchical" and rollups is not None:
         coarse = coarse_scopes(queries, scopes, closure, rollups, spec).select("query_id", "scope")
         routed = coarse.select("query_id").distinct()
         picked = coarse.union(queries.select("query_id", "scope").join(routed, "query_id", "left_semi")).distinct().withColumn("any_state", F.lit(True))
-        flat = _reached(queries.join(routed, "query_id", "left_anti"), scopes, closure, spec, down=False)
-        reached = picked.union(flat)
-    else:
-        reached = _reached(queries, scopes, closure, spec, down=spec.candidates == "collapsed")
-    found = artifacts.join(reached, "scope").filter(F.col("any_state") | F.col("published")).drop("any_state")
-    return found.filter(F.col("tier") == spec.tier) if spec.tier else found
+        return picked.union(_reached(queries.join(routed, "query_id", "left_anti"), scopes, closure, spec, down=False))
+    return _reached(queries, scopes, closure, spec, down=spec.candidates == "collapsed")
+
+
+def of_tier(artifacts: DataFrame, spec: QuerySpec) -> DataFrame:
+    return artifacts.filter(F.col("tier") == spec.tier) if spec.tier else artifacts
+
+
+def candidates(queries: DataFrame, scopes: DataFrame, artifacts: DataFrame, closure: DataFrame, spec: QuerySpec, rollups: DataFrame | None = None) -> DataFrame:
+    """query_id and the artifacts in its candidate set, before currency and kind are looked at."""
+    found = artifacts.join(reached(queries, scopes, closure, spec, rollups), "scope").filter(F.col("any_state") | F.col("published")).drop("any_state")
+    return of_tier(found, spec)
 
 
 def current(found: DataFrame, spec: QuerySpec) -> DataFrame:
