@@ -7,14 +7,16 @@ smaller artifact id.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import dot, rank_text, tokens
-from tessera.operators import blocks
+from tessera.operators import blocks, lexical
 from tessera.operators import scopes as S
+from tessera.operators.blocks import first
 from tessera.session import cut
 from tessera.spec import BM25_B, BM25_K1, DEFAULT_TOP, GRAPH_SEEDS, RECENCY_BASE, RECENCY_SHARE, RRF_K, Detail, Floors, QuerySpec
 
@@ -100,7 +102,7 @@ def graph_boost(scored: DataFrame, edges: DataFrame, weight: float, incoming: st
     """scored with sort_key: cosine blended with the links to the query's best candidates; where
     nothing is linked to them, the incoming order."""
     w = min(weight, 1.0)
-    best = ranked(scored).filter(F.col("rank") <= GRAPH_SEEDS).select("query_id", F.col("id").alias("seed"), F.col("score").alias("seed_score"))
+    best = first(scored, GRAPH_SEEDS, F.desc("score"), "id").select("query_id", F.col("id").alias("seed"), F.col("score").alias("seed_score"))
     links = edges.select("from_id", "to_id", "kind").distinct()
     both = links.select(F.col("from_id").alias("id"), F.col("to_id").alias("seed")).union(links.select("to_id", "from_id"))
     near = both.join(best, "seed").join(scored.select("query_id", "id"), ["query_id", "id"]).groupBy("query_id", "id").agg(F.sum("seed_score").alias("g"))
@@ -137,7 +139,7 @@ def boosted(queries: DataFrame, reached: DataFrame, pool: DataFrame, edges: Data
 
 def borderline(scored: DataFrame, floors: Floors, key: str) -> DataFrame:
     """query_id, borderline: a weak top, or a cosine margin of the first two below the floor."""
-    two = ranked(scored, key).filter("rank <= 2").groupBy("query_id").agg(F.max(F.when(F.col("rank") == 1, F.col("score"))).alias("top"), F.max(F.when(F.col("rank") == 2, F.col("score"))).alias("second"))
+    two = first(scored.drop("rank"), 2, F.desc(key), "id").groupBy("query_id").agg(F.max(F.when(F.col("rank") == 1, F.col("score"))).alias("top"), F.max(F.when(F.col("rank") == 2, F.col("score"))).alias("second"))
     weak = (F.col("top") < floors.floor) | F.coalesce(F.col("top") - F.col("second") < floors.margin, F.lit(False))
     return two.select("query_id", weak.alias("borderline"))
 
@@ -164,12 +166,15 @@ def rerank(scored: DataFrame, queries: DataFrame, reranker: Reranker, n: int, co
     return out.withColumn("rerank_score", 1 / (1 + F.exp(-F.col("sort_key"))))
 
 
-def retrieve(queries: DataFrame, scopes: DataFrame, artifacts: DataFrame, spec: QuerySpec, *, closure: DataFrame | None = None, rollups: DataFrame | None = None, edges: DataFrame | None = None, reranker: Reranker | None = None, with_paths: bool = True) -> DataFrame:
-    """Hits of each query: its columns of artifacts, score (cosine), rerank_score, rank."""
+def retrieve(queries: DataFrame, scopes: DataFrame, artifacts: DataFrame, spec: QuerySpec, *, closure: DataFrame | None = None, rollups: DataFrame | None = None, edges: DataFrame | None = None, reranker: Reranker | None = None, index: lexical.Index | None = None, with_paths: bool = True) -> DataFrame:
+    """Hits of each query: its columns of artifacts, score (cosine), rerank_score, rank. index: the
+    inverted index of artifacts, which a hybrid query builds if it isn't given."""
     closure = S.closure(scopes) if closure is None else closure
     k = spec.top_k if spec.top_k > 0 else DEFAULT_TOP
-    find = _hybrid if spec.mode == "hybrid" else _vector
-    out = find(queries, scopes, artifacts, spec, k, closure, rollups, edges, reranker)
+    if spec.mode == "hybrid":
+        out = _hybrid(queries, scopes, artifacts, spec, k, closure, rollups, edges, reranker, index or lexical.build(artifacts))
+    else:
+        out = _vector(queries, scopes, artifacts, spec, k, closure, rollups, edges, reranker)
     out = out.select("query_id", "id", "score", "rerank_score", "rank").join(artifacts.drop("vec", *([] if spec.detail >= Detail.RAW else ["content"])), "id")
     return out.join(S.paths(scopes, closure), "scope", "left") if with_paths else out
 
@@ -201,31 +206,60 @@ def _vector(queries, scopes, artifacts, spec, k, closure, rollups, edges, rerank
     return out
 
 
-def _hybrid(queries, scopes, artifacts, spec, k, closure, rollups, edges, reranker) -> DataFrame:
-    """query_id, id, score, rerank_score, rank by the fused ranks of cosine and BM25."""
-    found = S.current(S.candidates(queries, scopes, artifacts, closure, spec, rollups), spec)
-    # Whole texts don't travel with the pairs; the few that are needed are joined at the end.
-    scored = cut(cosine(found, queries).select("query_id", "id", "kind", "summary", "score"))
-    texts = artifacts.select("id", rank_text(F.col("kind"), F.col("content"), F.col("summary")).alias("text"))
-    scored = rrf(scored.join(bm25(texts, queries, scored), ["query_id", "id"]), "score", "bm25")
-    blended = scored.withColumn("sort_key", F.col("fused"))
-    if spec.graph_boost > 0 and edges is not None:
-        blended = graph_boost(blended, edges, spec.graph_boost, "sort_key")
-    gate = F.lit(True) if spec.min_score <= 0 else F.col("score") >= spec.min_score
-    none = F.lit(None).cast("double")
-    contents = artifacts.select("id", "content")
-    if reranker is None or not (spec.rerank or spec.auto_rerank):
-        out = blended.filter(gate).withColumn("rerank_score", none)
-    else:
-        plain = scored.withColumn("sort_key", F.col("fused"))
+def fuse(ranks: list[DataFrame]) -> DataFrame:
+    """query_id, id, fused: the sum of 1 / (k + rank) over frames (query_id, id, rank) of the same rows."""
+    each = reduce(DataFrame.unionByName, [r.select("query_id", "id", F.col("rank").cast("long").alias("rank"), F.lit(n).alias("of")) for n, r in enumerate(ranks)])
+    of = [F.max(F.when(F.col("of") == n, 1 / (RRF_K + F.col("rank")))) for n in range(len(ranks))]  # added in order
+    return each.groupBy("query_id", "id").agg(reduce(Column.__add__, of).alias("fused"))
+
+
+def contenders(k: int) -> int:
+    """How many of each of two rankings can be among the k first after fusion: the k-th of one ranking
+    has 1 / (RRF_K + k) at least, what is beyond this many in both has less."""
+    return 2 * k + RRF_K
+
+
+def _hybrid(queries, scopes, artifacts, spec, k, closure, rollups, edges, reranker, index) -> DataFrame:
+    """query_id, id, score, rerank_score, rank by the fused ranks of cosine and BM25. Only contenders get
+    their ranks, which are counted; what decides are both rankings' first ones, what is linked to them,
+    and, with a gate, the best of what passes it."""
+    reached = cut(S.reached(queries, scopes, closure, spec, rollups))
+    pool = S.current(S.of_tier(artifacts, spec), spec).withColumn("bonus", F.lit(0.0))
+    docs = S.current(S.of_tier(index.docs, spec), spec).filter("has_vec")
+    positive = cut(lexical.scores(index.postings, docs, queries, reached))
+    reranking = reranker is not None and (spec.rerank or spec.auto_rerank)
+    n = max(k, GRAPH_SEEDS if spec.graph_boost > 0 else 0, spec.rerank_n if reranking else 0)
+    m = contenders(n)
+    near = cut(blocks.topk(queries, reached, pool, m).select("query_id", "id", "score"))
+    wanted = near.select("query_id", "id").union(lexical.topk(positive, docs, reached, m).select("query_id", "id")).distinct()
+    linked = spec.graph_boost > 0 and edges is not None
+    if linked:
+        links = edges.select("from_id", "to_id", "kind").distinct()
+        seeds = near.join(first(near, GRAPH_SEEDS, F.desc("score"), "id").select("query_id", "id"), ["query_id", "id"], "left_semi").select("query_id", F.col("id").alias("seed"))
+        both = links.select(F.col("from_id").alias("id"), F.col("to_id").alias("seed")).union(links.select("to_id", "from_id"))
+        beside = both.join(seeds, "seed").select("query_id", "id").distinct().join(docs.select("id", "scope", "published"), "id").join(reached, ["query_id", "scope"]).filter(F.col("any_state") | F.col("published"))
+        wanted = wanted.union(beside.select("query_id", "id")).distinct()
+    by_cosine = cut(blocks.ranks(queries, reached, pool, wanted, per_query=2 * m))
+    by_words = lexical.ranks(positive, by_cosine.select("query_id", "id", "id_rank"), 2 * m)
+    scored = by_cosine.select("query_id", "id", "score").join(fuse([by_cosine.select("query_id", "id", "rank"), by_words]), ["query_id", "id"])
+    scored = cut(scored.withColumn("sort_key", F.col("fused")))
+    # The gate keeps a beginning of the ranking by cosine, so contenders stay contenders.
+    passed = scored if spec.min_score <= 0 else scored.filter(F.col("score") >= spec.min_score)
+    blended = graph_boost(scored, edges, spec.graph_boost, "sort_key") if linked else scored
+    blended = (blended if spec.min_score <= 0 else blended.filter(F.col("score") >= spec.min_score)).withColumn("rerank_score", F.lit(None).cast("double"))
+    out = blended
+    if reranking:
+        words = artifacts.select("id", "kind", "summary", "content")
+        window = lambda of: first(of, spec.rerank_n, F.desc("sort_key"), "id").drop("rank").join(words, "id")
         if spec.rerank:
-            out = rerank(plain.filter(gate), queries, reranker, spec.rerank_n, contents)
+            out = rerank(window(passed), queries, reranker, spec.rerank_n)
         else:
-            flags = borderline(scored, spec.floors, "fused")
+            flags = cut(borderline(scored, spec.floors, "fused"))
             weak, sure = (flags.filter(F.col("borderline") == x).select("query_id") for x in (True, False))
-            again = rerank(plain.filter(gate).join(weak, "query_id", "left_semi"), queries, reranker, spec.rerank_n, contents)
-            out = again.unionByName(blended.filter(gate).join(sure, "query_id", "left_semi").withColumn("rerank_score", none), allowMissingColumns=True)
-    return ranked(out, "sort_key").filter(F.col("rank") <= k)
+            again = rerank(window(passed.join(weak, "query_id", "left_semi")), queries, reranker, spec.rerank_n)
+            columns = ["query_id", "id", "score", "sort_key", "rerank_score"]
+            out = again.select(columns).unionByName(blended.join(sure, "query_id", "left_semi").select(columns))
+    return first(out, k, F.desc("sort_key"), "id")
 
 
 def decide(hits: DataFrame, queries: DataFrame, floors: Floors) -> DataFrame:

@@ -85,17 +85,17 @@ rr AS (SELECT query_id, id, score, 4.0 * len(list_intersect(aw, tw)) / len(aw) -
 
 
 def _related(start_dir: str, depth: int, kinds: str = "") -> str:
-    out, into = "SELECT from_id AS a, to_id AS b FROM fx_edges", "SELECT to_id, from_id FROM fx_edges"
+    # A way is a text of sides and ids of one length, after its number of steps.
+    out, into = "SELECT from_id AS a, '0' AS side, to_id AS b FROM fx_edges", "SELECT to_id, '1', from_id FROM fx_edges"
     if start_dir == "in":
-        out = "SELECT to_id AS a, from_id AS b FROM fx_edges"
+        out = "SELECT to_id AS a, '1' AS side, from_id AS b FROM fx_edges"
     out += f" WHERE kind IN ({kinds})" if kinds else ""
     links = f"lk AS ({out}{' UNION ' + into if start_dir == 'both' else ''})"
-    walk = "wk0 AS (SELECT id AS start, id, 0 AS distance FROM fx_artifacts WHERE kind = 'seed'), wk1 AS (SELECT DISTINCT w.start, lk.b AS id, 1 AS distance FROM wk0 w JOIN lk ON lk.a = w.id)"
-    last = "wk0 UNION ALL SELECT * FROM wk1"
-    if depth == 2:
-        walk += ", wk2 AS (SELECT DISTINCT w.start, lk.b AS id, 2 AS distance FROM wk1 w JOIN lk ON lk.a = w.id)"
-        last += " UNION ALL SELECT * FROM wk2"
-    return _with(links, walk, f"SELECT start, id, min(distance) AS distance FROM (SELECT * FROM {last}) JOIN (SELECT id FROM fx_artifacts WHERE superseded_by IS NULL) USING (id) GROUP BY start, id HAVING min(distance) > 0")
+    walk, last = "wk0 AS (SELECT id AS start, id, '0' AS way FROM fx_artifacts WHERE kind = 'seed')", "SELECT * FROM wk0"
+    for n in range(1, depth + 1):
+        walk += f", wk{n} AS (SELECT w.start, lk.b AS id, min('{n}' || substr(w.way, 2) || lk.side || lk.b) AS way FROM wk{n - 1} w JOIN lk ON lk.a = w.id GROUP BY ALL)"
+        last += f" UNION ALL SELECT * FROM wk{n}"
+    return _with(links, walk, f"SELECT start, id, left(way, 1)::INT AS distance, row_number() OVER (PARTITION BY start ORDER BY way) AS place FROM (SELECT start, id, min(way) AS way FROM ({last}) GROUP BY start, id) JOIN (SELECT id FROM fx_artifacts WHERE superseded_by IS NULL) USING (id) WHERE left(way, 1) <> '0'")
 
 
 _PROBES = """WITH pr AS (SELECT CAST(l.doc_id AS VARCHAR) AS query_id, l.quality = 1 AS present, v.vec_id, list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])) AS score

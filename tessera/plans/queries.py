@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from datetime import datetime
-from functools import partial
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.text import bag_of_words_embedder, contains_any, is_blank, rank_text, tokens, word_count
-from tessera.operators import evaluation, graph, retrieval, writes
+from tessera.operators import blocks, evaluation, graph, lexical, retrieval, writes
 from tessera.operators import scopes as S
 from tessera.operators.nearest import nearest
 from tessera.sources import blobs, fixtures, ingest, sync
@@ -91,9 +91,10 @@ def drill_raw(spark, sf_dir):
 
 def bm25_topk(spark, sf_dir):
     d = Data(spark, sf_dir)
-    found = S.current(d.candidates(COLLAPSED), COLLAPSED)
-    texts = d.artifacts.select("id", rank_text(F.col("kind"), F.col("content"), F.col("summary")).alias("text"))
-    return retrieval.ranked(retrieval.bm25(texts, d.queries, found), "bm25").filter("rank <= 5").select("query_id", "rank", "id", F.round("bm25", 6).alias("score"))
+    index = lexical.build(d.artifacts)
+    pool, reached = S.current(index.docs, COLLAPSED), cut(S.reached(d.queries, d.scopes, d.closure, COLLAPSED))
+    found = lexical.topk(cut(lexical.scores(index.postings, pool, d.queries, reached)), pool, reached, 5)
+    return found.select("query_id", "rank", "id", F.round("bm25", 6).alias("score"))
 
 
 def bm25_stats(spark, sf_dir):
@@ -105,9 +106,13 @@ def bm25_stats(spark, sf_dir):
 
 
 def rrf_fusion(spark, sf_dir):
+    """The cosine's ranking fused with one by the length of the summary: contenders of both, their ranks counted."""
     d = Data(spark, sf_dir)
-    scored = retrieval.cosine(S.current(d.candidates(COLLAPSED), COLLAPSED), d.queries).select("query_id", "id", "score", F.length("summary").cast("double").alias("size"))
-    return retrieval.ranked(retrieval.rrf(scored, "score", "size"), "fused").filter("rank <= 5").select("query_id", "rank", "id", F.round("fused", 9).alias("fused"))
+    reached, pool = cut(S.reached(d.queries, d.scopes, d.closure, COLLAPSED)), cut(S.current(d.artifacts, COLLAPSED).select("id", "scope", "published", "vec", F.length("summary").cast("double").alias("size")))
+    orders, m = ((pool.withColumn("bonus", F.lit(0.0)), 1.0), (pool.withColumn("bonus", F.col("size")), 0.0)), retrieval.contenders(5)
+    wanted = cut(reduce(DataFrame.union, [blocks.topk(d.queries, reached, rows, m, weight).select("query_id", "id") for rows, weight in orders]).distinct())
+    fused = retrieval.fuse([blocks.ranks(d.queries, reached, rows, wanted, weight, 2 * m) for rows, weight in orders])
+    return blocks.first(fused, 5, F.desc("fused"), "id").select("query_id", "rank", "id", F.round("fused", 9).alias("fused"))
 
 
 def rerank_topk(spark, sf_dir):
@@ -120,13 +125,13 @@ def auto_rerank_flags(spark, sf_dir):
     return retrieval.borderline(retrieval.cosine(S.current(d.candidates(COLLAPSED), COLLAPSED), d.queries), FLOORS, "score")
 
 
-def _verdicts(d: Data) -> tuple[DataFrame, DataFrame]:
-    hits = d.retrieve(COLLAPSED)
+def _verdicts(d: Data, **more) -> tuple[DataFrame, DataFrame]:
+    hits = d.retrieve(COLLAPSED, **more)
     return retrieval.decide(hits, d.queries, FLOORS), hits
 
 
 def confidence_verdict(spark, sf_dir):
-    found, _ = _verdicts(Data(spark, sf_dir))
+    found, _ = _verdicts(Data(spark, sf_dir), with_paths=False)
     return found.select("query_id", "confidence", "weak_match", "ranked_by", F.round("top_score", 6).alias("top_score"), F.round("margin", 6).alias("margin"))
 
 

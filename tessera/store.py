@@ -9,7 +9,7 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators import graph, retrieval, writes
+from tessera.operators import graph, lexical, retrieval, writes
 from tessera.operators import scopes as S
 from tessera.operators.evaluation import conformal_floor
 from tessera.sources import blobs, sync
@@ -41,6 +41,7 @@ class MemoryStore:
     embed: object = None
     reranker: object = None
     _closure: list = field(default_factory=list, compare=False)
+    _index: list = field(default_factory=list, compare=False)
 
     @classmethod
     def empty(cls, spark: SparkSession, embed=None, reranker=None) -> MemoryStore:
@@ -177,13 +178,19 @@ class MemoryStore:
             self._closure.append(S.closure(self.scopes))
         return self._closure[0]
 
+    def index(self) -> lexical.Index:
+        """The inverted index of the artifacts: built and written once, for all later queries."""
+        if not self._index or self._index[0] is not self.artifacts:
+            self._index[:] = [self.artifacts, lexical.build(self.artifacts)]
+        return self._index[1]
+
     def query(self, queries: DataFrame, spec: QuerySpec) -> DataFrame:
         """Hits of queries (query_id, scope, text, qvec; the embedder fills a missing qvec)."""
         if "qvec" not in queries.columns:
             queries = queries.withColumn("qvec", self.embed(F.col("text")))
         self._guard(queries, "qvec")
         rollups = self.scopes.select(F.col("id").alias("scope"), "rollup_vec")
-        return retrieval.retrieve(queries, self.scopes, self.artifacts, spec, closure=self.closure(), rollups=rollups, edges=self.edges, reranker=self.reranker)
+        return retrieval.retrieve(queries, self.scopes, self.artifacts, spec, closure=self.closure(), rollups=rollups, edges=self.edges, reranker=self.reranker, index=self.index() if spec.mode == "hybrid" else None)
 
     def query_traced(self, queries: DataFrame, spec: QuerySpec) -> tuple[DataFrame, MemoryStore]:
         """query(), and a store that holds the queries' traces: what they asked, saw and got."""

@@ -107,3 +107,72 @@ def test_graph_boost_by_blocks_equals_all_candidates(spark):
     want = retrieval.ranked(all_, "sort_key").filter("rank <= 12")
     key = lambda df: sorted((r["query_id"], r["rank"], r["id"]) for r in df.collect())
     assert key(hits) == key(want)
+
+
+@pytest.mark.parametrize("more", [{}, {"min_score": 0.4}, {"graph_boost": 0.5}])
+def test_hybrid_by_contenders_equals_ranks_of_all_candidates(spark, more):
+    rows, artifacts = table(spark)
+    draw = random.Random(8)
+    texts = {r[0]: " ".join(draw.choice(["red", "blue", "green", "one", "two", "x"]) for _ in range(draw.randint(0, 6))) for r in rows}
+    texts = spark.createDataFrame(list(texts.items()), "id string, summary string")
+    artifacts = artifacts.filter("scope IS NOT NULL").join(texts, "id").withColumns({"kind": F.lit("insight"), "tier": F.lit("worktree"), "content": F.lit(""), "superseded_by": F.lit(None).cast("string")})
+    scopes = spark.createDataFrame([("root", None, False), *((s, "root", False) for s in ("big", "s1", "s2", "s3"))], "id string, parent string, archived boolean").withColumn("title", F.col("id"))
+    rng = np.random.default_rng(12)
+    asked = [("q0", "root", "red red two"), ("q1", "s1", "green"), ("q2", "big", "nowhere"), ("q3", "s2", "")]
+    queries = spark.createDataFrame([(*q, [float(x) for x in rng.normal(size=8)]) for q in asked], "query_id string, scope string, text string, qvec array<double>")
+    edges = spark.createDataFrame([(draw.choice(rows)[0], draw.choice(rows)[0], "k") for _ in range(900)], "from_id string, to_id string, kind string")
+    spec = QuerySpec("collapsed", "hybrid", top_k=7, **more)
+    hits = retrieval.retrieve(queries, scopes, artifacts, spec, edges=edges, with_paths=False)
+    found = S.current(S.candidates(queries, scopes, artifacts, S.closure(scopes), spec), spec)
+    scored = retrieval.cosine(found, queries)
+    scored = scored.join(retrieval.bm25(scored.select("id", F.col("summary").alias("text")).distinct(), queries, scored), ["query_id", "id"])
+    # Equal vectors must have equal scores, in whatever order they are summed.
+    scored = retrieval.rrf(scored.withColumn("score", F.round("score", 9)), "score", "bm25").withColumn("sort_key", F.col("fused"))
+    if more.get("graph_boost"):
+        scored = retrieval.graph_boost(scored, edges, 0.5, "sort_key")
+    want = retrieval.ranked(scored.filter(F.col("score") >= more.get("min_score", -1e9)), "sort_key").filter("rank <= 7")
+    key = lambda df: sorted((r["query_id"], r["rank"], r["id"]) for r in df.collect())
+    assert key(hits) == key(want)
+
+
+def test_a_store_builds_its_index_once(spark):
+    from tessera.functions.text import bag_of_words_embedder
+    from tessera.store import MemoryStore
+
+    store = MemoryStore.empty(spark, embed=bag_of_words_embedder())
+    root, store = store.create_scope(None, "worktree", "project")
+    first, store = store.push(root, "the cache is redis")
+    _, store = store.push(root, "the queue is slow")
+    asked = spark.createDataFrame([("q", root, "which cache")], "query_id string, scope string, text string")
+    spec = QuerySpec("collapsed", "hybrid", top_k=1)
+    assert [r["id"] for r in store.query(asked, spec).collect()] == [first]
+    index = store.index()
+    assert store.query(asked, spec).first()["id"] == first and store.index() is index
+    _, later = store.push(root, "which cache is it")
+    assert later.query(asked, spec).first()["summary"] == "which cache is it" and later.index() is not index
+
+
+@pytest.mark.parametrize("direction", ["out", "in", "both"])
+def test_related_in_the_order_of_a_search(spark, direction):
+    draw = random.Random(6)
+    ids = [f"n{k:02d}" for k in range(40)]
+    edges = sorted({(draw.choice(ids), draw.choice(ids), draw.choice("jk")) for _ in range(110)})
+    superseded = {i for i in ids if draw.random() < 0.2}
+
+    def search(start, depth):
+        visited, frontier, order = {start}, [start], []
+        for d in range(1, depth + 1):
+            following = []
+            for at in frontier:
+                for nb in [b for a, b, _ in edges if a == at and direction != "in"] + [a for a, b, _ in edges if b == at and direction != "out"]:
+                    if nb not in visited:
+                        visited.add(nb), order.append((nb, d)), following.append(nb)
+            frontier = following
+        return [(x, d) for x, d in order if x not in superseded]
+
+    artifacts = spark.createDataFrame([(i, "z" if i in superseded else None) for i in ids], "id string, superseded_by string")
+    starts = spark.createDataFrame([(i,) for i in ids[:6]], "start string")
+    got = graph.related(starts, spark.createDataFrame(edges, "from_id string, to_id string, kind string"), artifacts, direction, (), 3).orderBy("start", "place").collect()
+    for start in ids[:6]:
+        mine = [r for r in got if r["start"] == start]
+        assert [(r["id"], r["distance"]) for r in mine] == search(start, 3) and [r["place"] for r in mine] == list(range(1, len(mine) + 1))
