@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,18 +14,18 @@ def walks(starts: DataFrame, links: DataFrame) -> DataFrame:
     """origin, id, step: what each start (a column id) meets on its way along links (id, next; one for
     an id), itself at 0. A walk ends where no link leads on, or where it has been before.
 
-    A round knows each walk's first steps and, of every id, where as many steps lead; both double, so
-    rounds grow with the logarithm of the longest walk. Each round is checkpointed. Of an id that a
+    A round knows each walk's first steps and, of every id, where as many steps lead; both grow fourfold,
+    so rounds grow with the logarithm of the longest walk. Each round is checkpointed. Of an id that a
     walk meets again the first meeting stays, and a round without a new one is the last.
     """
-    reached = cut(starts.select(F.col("id").alias("origin"), "id", F.lit(0).alias("step")))
-    jump, size, known = cut(links.select("id", "next").filter("next IS NOT NULL")), 1, reached.count()
-    while not jump.isEmpty():
-        more = reached.join(jump, "id").select("origin", F.col("next").alias("id"), (F.col("step") + size).alias("step"))
-        after = cut(reached.unionByName(more).groupBy("origin", "id").agg(F.min("step").alias("step")))
-        count = after.count()
-        if count == known:
-            break
-        reached, known, size = after, count, size * 2
-        jump = cut(jump.join(jump.select(F.col("id").alias("next"), F.col("next").alias("to")), "next").select("id", F.col("to").alias("next")))
-    return reached
+    reached, jump, size, known = starts.select(F.col("id").alias("origin"), "id", F.lit(0).alias("step")), cut(links.select("id", "next").filter("next IS NOT NULL")), 1, -1
+    twice = lambda j: j.join(j.select(F.col("id").alias("next"), F.col("next").alias("to")), "next").select("id", F.col("to").alias("next"))
+    while True:
+        met = [reached]
+        for _ in range(3):
+            met.append(met[-1].join(jump, "id").select("origin", F.col("next").alias("id"), (F.col("step") + size).alias("step")))
+        reached = cut(reduce(DataFrame.unionByName, met).groupBy("origin", "id").agg(F.min("step").alias("step")))
+        jump, size = cut(twice(twice(jump))), size * 4
+        if jump.isEmpty() or (count := reached.count()) == known:
+            return reached
+        known = count

@@ -133,7 +133,7 @@ def boosted(queries: DataFrame, reached: DataFrame, pool: DataFrame, edges: Data
     if weight < 1:  # where nothing is linked, the order is that of the blend
         unlinked = queries.join(near.filter("g > 0").select("query_id").distinct(), "query_id", "left_anti")
         plain = blocks.topk(unlinked, reached, pool.withColumn("bonus", bonus), k, weight, spec.min_score if spec.min_score > 0 else None)
-        out = out.join(unlinked.select("query_id"), "query_id", "left_anti").unionByName(plain.drop("rank"))
+        out = out.join(unlinked.select("query_id"), "query_id", "left_anti").unionByName(plain.drop("rank", "scope"))
     return out
 
 
@@ -166,16 +166,20 @@ def rerank(scored: DataFrame, queries: DataFrame, reranker: Reranker, n: int, co
     return out.withColumn("rerank_score", 1 / (1 + F.exp(-F.col("sort_key"))))
 
 
-def retrieve(queries: DataFrame, scopes: DataFrame, artifacts: DataFrame, spec: QuerySpec, *, closure: DataFrame | None = None, rollups: DataFrame | None = None, edges: DataFrame | None = None, reranker: Reranker | None = None, index: lexical.Index | None = None, with_paths: bool = True) -> DataFrame:
-    """Hits of each query: its columns of artifacts, score (cosine), rerank_score, rank. index: the
-    inverted index of artifacts, which a hybrid query builds if it isn't given."""
+def retrieve(queries: DataFrame, scopes: DataFrame, artifacts: DataFrame, spec: QuerySpec, *, closure: DataFrame | None = None, rollups: DataFrame | None = None, edges: DataFrame | None = None, reranker: Reranker | None = None, index: lexical.Index | None = None, columns: tuple[str, ...] | None = None, with_paths: bool = True) -> DataFrame:
+    """Hits of each query: its columns of artifacts (or those named, scope among them; without vectors, and
+    contents only as raw detail), score (cosine), rerank_score, rank and scope_path. index: the inverted
+    index of artifacts, which a hybrid query builds if it isn't given."""
     closure = S.closure(scopes) if closure is None else closure
     k = spec.top_k if spec.top_k > 0 else DEFAULT_TOP
     if spec.mode == "hybrid":
         out = _hybrid(queries, scopes, artifacts, spec, k, closure, rollups, edges, reranker, index or lexical.build(artifacts))
     else:
         out = _vector(queries, scopes, artifacts, spec, k, closure, rollups, edges, reranker)
-    out = out.select("query_id", "id", "score", "rerank_score", "rank").join(artifacts.drop("vec", *([] if spec.detail >= Detail.RAW else ["content"])), "id")
+    out = out.select("query_id", "id", "score", "rerank_score", "rank", *(["scope"] if "scope" in out.columns else []))
+    if columns is None or not {*columns} <= {*out.columns}:
+        more = artifacts.drop("vec", *([] if spec.detail >= Detail.RAW else ["content"]))
+        out = out.drop("scope").join(more if columns is None else more.select("id", "scope", *(c for c in columns if c not in ("id", "scope"))), "id")
     return out.join(S.paths(scopes, closure), "scope", "left") if with_paths else out
 
 
@@ -192,7 +196,7 @@ def _vector(queries, scopes, artifacts, spec, k, closure, rollups, edges, rerank
         return blocks.topk(of, reached, pool.withColumn("bonus", bonus), k, weight, least)
 
     def again(of: DataFrame) -> DataFrame:
-        window = blocks.topk(of, reached, pool.withColumn("bonus", F.lit(0.0)), spec.rerank_n, 1.0, least).drop("rank")
+        window = blocks.topk(of, reached, pool.withColumn("bonus", F.lit(0.0)), spec.rerank_n, 1.0, least).drop("rank", "scope")
         return ranked(rerank(window.join(artifacts.select("id", "kind", "summary", "content"), "id"), of, reranker, spec.rerank_n), "sort_key").filter(F.col("rank") <= k)
 
     if reranker is None or not (spec.rerank or spec.auto_rerank):
@@ -224,7 +228,7 @@ def _hybrid(queries, scopes, artifacts, spec, k, closure, rollups, edges, rerank
     their ranks, which are counted; what decides are both rankings' first ones, what is linked to them,
     and, with a gate, the best of what passes it."""
     reached = cut(S.reached(queries, scopes, closure, spec, rollups))
-    pool = S.current(S.of_tier(artifacts, spec), spec).withColumn("bonus", F.lit(0.0))
+    pool = cut(S.current(S.of_tier(artifacts, spec), spec).select("id", "scope", "published", "vec", F.lit(0.0).alias("bonus")))
     docs = S.current(S.of_tier(index.docs, spec), spec).filter("has_vec")
     positive = cut(lexical.scores(index.postings, docs, queries, reached))
     reranking = reranker is not None and (spec.rerank or spec.auto_rerank)

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import dot
 from tessera.operators.chains import walks
-from tessera.session import cut
 from tessera.spec import COARSE_LEAST, COARSE_MARGIN, QuerySpec
 
 
@@ -15,7 +14,6 @@ def closure(scopes: DataFrame) -> DataFrame:
     """ancestor, descendant, distance: all pairs on a path to the root, each scope itself at 0.
 
     The paths double each round; a walk ends at a root, a missing parent or a scope it has been at."""
-    scopes = cut(scopes.select("id", "parent"))
     links = scopes.join(scopes.select(F.col("id").alias("parent")), "parent").select("id", F.col("parent").alias("next"))
     return walks(scopes, links).select(F.col("id").alias("ancestor"), F.col("origin").alias("descendant"), F.col("step").alias("distance"))
 

@@ -45,7 +45,7 @@ class Data:
 
 
 def _hits(spec: QuerySpec, spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = Data(spark, sf_dir).retrieve(spec)
+    hits = Data(spark, sf_dir).retrieve(spec, columns=("scope",))
     return hits.select("query_id", "rank", "id", "scope_path", F.round("score", 6).alias("score"))
 
 
@@ -131,7 +131,7 @@ def _verdicts(d: Data, **more) -> tuple[DataFrame, DataFrame]:
 
 
 def confidence_verdict(spark, sf_dir):
-    found, _ = _verdicts(Data(spark, sf_dir), with_paths=False)
+    found, _ = _verdicts(Data(spark, sf_dir), columns=("scope",), with_paths=False)
     return found.select("query_id", "confidence", "weak_match", "ranked_by", F.round("top_score", 6).alias("top_score"), F.round("margin", 6).alias("margin"))
 
 
