@@ -216,7 +216,7 @@ UNION ALL SELECT 2, count(*) FILTER (k = 2 AND NOT blank OR k = 1 AND blank), co
     "dir_scopes": _with("SELECT p.id || '/' || d.source AS dir, s.id AS scope, 3 AS depth FROM (SELECT DISTINCT source FROM documents) d CROSS JOIN (SELECT id FROM fx_scopes WHERE parent = 'R') p LEFT JOIN fx_scopes s ON s.parent = p.id AND s.title = d.source"),
     "dir_rollup_text": "SELECT source AS dir, md5('directory ' || source || '; files: ' || string_agg(lpad(CAST(doc_id AS VARCHAR), 10, '0') || '.md', ', ' ORDER BY doc_id)) AS rollup_md5 FROM documents GROUP BY source",
     "content_dedupe": "SELECT sha256(text) AS hash, CAST(max(octet_length(encode(text))) AS BIGINT) AS n_bytes, count(*) AS copies FROM documents GROUP BY text",
-    "sealed_roundtrip": "SELECT doc_id, md5(text) AS text_md5 FROM documents",
+    "sealed_roundtrip": "SELECT doc_id, md5(text) AS text_md5, false AS plain_inside, false AS opens_elsewhere, false AS opens_tampered, 28 AS overhead FROM documents",
     "recent_traces": "SELECT lpad(CAST(event_id AS VARCHAR), 10, '0') AS query_id, CAST(user_id AS VARCHAR) AS scope, event_type FROM events ORDER BY 1 DESC LIMIT 50",
     "trace_counts": "SELECT date_trunc('day', ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL",
     "config_latest": "SELECT 'user.' || user_id AS key, max_by(event_type, event_id) AS value FROM events GROUP BY user_id",

@@ -262,8 +262,13 @@ def content_dedupe(spark, sf_dir):
 def sealed_roundtrip(spark, sf_dir):
     key, docs = F.lit(b"0123456789abcdef0123456789abcdef"), fixtures.read(spark, sf_dir, "documents")
     aad = F.col("doc_id").cast("string")
-    back = docs.select("doc_id", blobs.unseal(blobs.seal(F.col("text"), key, aad), key, aad).cast("string").alias("text"))
-    return back.select("doc_id", F.md5("text").alias("text_md5"))
+    sealed = docs.select("doc_id", "text", blobs.seal(F.col("text"), key, aad).alias("sealed"))
+    tampered = F.concat(F.substring("sealed", 1, 20), F.expr("unhex(hex(~cast(conv(hex(substring(sealed, 21, 1)), 16, 10) as int) & 255))"), F.expr("substring(sealed, 22)"))
+    opens = lambda what, other: F.try_aes_decrypt(what, key, F.lit("GCM"), F.lit("DEFAULT"), other).isNotNull()
+    return sealed.select(
+        "doc_id", F.md5(blobs.unseal(F.col("sealed"), key, aad).cast("string")).alias("text_md5"), (F.hex("sealed").contains(F.hex(F.col("text")))).alias("plain_inside"),
+        opens(F.col("sealed"), F.concat(aad, F.lit("x"))).alias("opens_elsewhere"), opens(tampered, aad).alias("opens_tampered"), (F.octet_length("sealed") - F.octet_length("text")).alias("overhead"),
+    )
 
 
 def mock_embed(spark, sf_dir):
