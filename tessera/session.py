@@ -3,8 +3,20 @@
 from __future__ import annotations
 
 import tempfile
+from uuid import uuid4
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder in the one of spark.checkpoint.dir, which driver and executors share; in one local
+    process without that setting, a temporary one."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        found = tempfile.mkdtemp(prefix="tessera-")
+    return f"{found.rstrip('/')}/{uuid4().hex}"
 
 
 def cut(df: DataFrame) -> DataFrame:

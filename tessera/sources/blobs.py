@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import base64
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,3 +26,15 @@ def seal(content: Column, key: Column, aad: Column) -> Column:
 
 def unseal(sealed: Column, key: Column, aad: Column) -> Column:
     return F.aes_decrypt(sealed, key, F.lit("GCM"), F.lit("DEFAULT"), aad)
+
+
+def read_key(text: str) -> bytes:
+    """A key of 32 bytes from its text: 64 hex digits, base64, or the bytes themselves."""
+    text = text.strip()
+    if re.fullmatch(r"[0-9A-Fa-f]{64}", text):
+        return bytes.fromhex(text)
+    if re.fullmatch(r"[A-Za-z0-9+/]{43}=", text):
+        return base64.b64decode(text)
+    if len(raw := text.encode()) == 32:
+        return raw
+    raise ValueError("a key has 32 bytes, in hex, in base64 or as they are")

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import os
 from bisect import bisect_right
+from functools import reduce
 from itertools import accumulate
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.session import cut
+
 MAX_CHARS, OVERLAP, MAX_FILE = 1500, 200, 512 << 10
 #: Fixed values, which results depend on: sizes above, directories that a walk leaves out, starts of units.
 SKIPPED = (".git", "node_modules", "vendor", "bin", "dist", "build", ".venv", "venv", "__pycache__", ".idea", ".vscode")
@@ -100,13 +103,63 @@ def chunk(files: DataFrame, max_chars: int = MAX_CHARS, overlap: int = OVERLAP,
     return found.select("path", "chunk", "piece.start_line", "piece.end_line", "piece.text")
 
 
-def read_directory(spark, root: str) -> DataFrame:
-    """path, text of the files under root that are small, text, and not in a skipped directory."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    skipped = "|".join(x.replace(".", r"\.") for x in SKIPPED)
-    ok = (F.col("length") <= MAX_FILE) & ~F.col("path").rlike(rf"/({skipped}|\.tessera[^/]*)/")
-    rows = files.filter(ok).filter(F.position(F.lit(b"\0"), F.substring("content", 1, 8192)) == 0)
-    return rows.select("path", F.col("content").cast("string").alias("text"))
+LISTED = "path string, length long, modified long"
+
+
+def list_directory(spark: SparkSession, root: str) -> DataFrame:
+    """path (relative to root), length, modified (ns) of the files below root, which all executors must see
+    under this path. Directories of the skip list aren't entered, links aren't followed, and no file is
+    opened. One round a level of the tree, for all of its directories at once."""
+
+    def children(batches):
+        for batch in batches:
+            rows = []
+            for dir in batch["dir"]:
+                with os.scandir(os.path.join(root, dir)) as entries:
+                    for entry in entries:
+                        path = f"{dir}/{entry.name}" if dir else entry.name
+                        if entry.is_dir(follow_symlinks=False):
+                            if entry.name not in SKIPPED and not entry.name.startswith(".tessera"):
+                                rows.append((path, True, 0, 0))
+                        elif entry.is_file(follow_symlinks=False):
+                            held = entry.stat(follow_symlinks=False)
+                            rows.append((path, False, held.st_size, held.st_mtime_ns))
+            yield pd.DataFrame(rows, columns=["path", "is_dir", "length", "modified"])
+
+    level, found = spark.createDataFrame([("",)], "dir string"), []
+    while not level.isEmpty():
+        rows = cut(level.repartition("dir").mapInPandas(children, "path string, is_dir boolean, length long, modified long"))
+        found.append(rows.filter("NOT is_dir").drop("is_dir"))
+        level = rows.filter("is_dir").select(F.col("path").alias("dir"))
+    return reduce(DataFrame.unionByName, found)
+
+
+def read_files(files: DataFrame, root: str) -> DataFrame:
+    """path, text of files (path, length) below root that are small and text; one that has gone since it
+    was listed gives no row, and what isn't UTF-8 is replaced."""
+
+    def contents(batches):
+        for batch in batches:
+            rows = []
+            for path in batch["path"]:
+                try:
+                    with open(os.path.join(root, path), "rb") as f:
+                        data = f.read(MAX_FILE + 1)
+                except FileNotFoundError:
+                    continue
+                if len(data) <= MAX_FILE and b"\0" not in data[:8192]:
+                    rows.append((path, data.decode("utf-8", "replace")))
+                if len(rows) == 64:
+                    yield pd.DataFrame(rows, columns=["path", "text"])
+                    rows = []
+            yield pd.DataFrame(rows, columns=["path", "text"])
+
+    return files.filter(F.col("length") <= MAX_FILE).select("path").repartition("path").mapInPandas(contents, "path string, text string")
+
+
+def read_directory(spark: SparkSession, root: str) -> DataFrame:
+    """path, text of the files below root that are small, text, and not in a skipped directory."""
+    return read_files(list_directory(spark, root), root)
 
 
 def reconcile(wanted: DataFrame, stored: DataFrame) -> DataFrame:
@@ -154,7 +207,10 @@ def contained(root: str, target: str) -> str:
 
 
 def directory_text(files: DataFrame) -> DataFrame:
-    """dir, rollup_text: the overview text of each directory."""
+    """dir, rollup_text: the overview text of each directory. Names are sorted and joined by ranges of
+    all names, so that no task sorts a large directory; its ranges are then put one after the other."""
     parts = files.select(F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("dir"), F.regexp_extract("path", r"([^/]*)$", 1).alias("name"))
-    names = F.array_join(F.array_sort(F.collect_list("name")), ", ")
-    return parts.groupBy("dir").agg(F.concat(F.lit("directory "), F.first("dir"), F.lit("; files: "), names).alias("rollup_text"))
+    ranged = parts.repartitionByRange("dir", "name").withColumn("range", F.spark_partition_id())
+    joined = ranged.groupBy("dir", "range").agg(F.array_join(F.array_sort(F.collect_list("name")), ", ").alias("names"))
+    runs = F.array_sort(F.collect_list(F.struct("range", "names")))
+    return joined.groupBy("dir").agg(runs.alias("runs")).select("dir", F.concat(F.lit("directory "), "dir", F.lit("; files: "), F.array_join("runs.names", ", ")).alias("rollup_text"))

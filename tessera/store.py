@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 from dataclasses import dataclass, field, replace
 from datetime import UTC, datetime
+from threading import Lock
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +14,9 @@ from pyspark.sql import functions as F
 from tessera.operators import graph, lexical, retrieval, writes
 from tessera.operators import scopes as S
 from tessera.operators.evaluation import conformal_floor
+from tessera.session import cut
 from tessera.sources import blobs, sync
+from tessera.sources.ingest import MAX_CHARS, OVERLAP, list_directory, read_files
 from tessera.spec import QuerySpec, resolve_floors
 
 SCOPES = "id string, parent string, role string, title string, version int, seed_from string, archived boolean, forked_from string, created_at timestamp, rollup_summary string, rollup_vec array<float>"
@@ -21,12 +25,19 @@ EDGES = "from_id string, to_id string, kind string, created_at timestamp"
 TRACES = "query_id string, scope string, text string, created_at timestamp"
 VISIBLE = "query_id string, id string, rank int"
 CONFIG = "key string, value string"
-_TABLES = {"scopes": SCOPES, "artifacts": ARTIFACTS, "edges": EDGES, "traces": TRACES, "visible": VISIBLE, "config": CONFIG}
+FILES = "root string, path string, length long, modified long, sig string, n long"
+_TABLES = {"scopes": SCOPES, "artifacts": ARTIFACTS, "edges": EDGES, "traces": TRACES, "visible": VISIBLE, "config": CONFIG, "files": FILES}
+
+
+_ids, _last = Lock(), [0, 0]
 
 
 def new_id() -> str:
-    """Ids sort by time."""
-    return f"{int(datetime.now(UTC).timestamp() * 1000):013d}-{uuid4().hex[:12]}"
+    """Ids sort by time, and those of one process in the order in which they were made."""
+    with _ids:
+        now = int(datetime.now(UTC).timestamp() * 1000)
+        _last[:] = [now, 0] if now > _last[0] else [_last[0] + _last[1] // 0xFFFF, _last[1] % 0xFFFF + 1]
+        return f"{_last[0]:013d}-{_last[1]:04x}{uuid4().hex[:8]}"
 
 
 @dataclass(frozen=True)
@@ -38,6 +49,7 @@ class MemoryStore:
     traces: DataFrame
     visible: DataFrame
     config: DataFrame
+    files: DataFrame
     embed: object = None
     reranker: object = None
     _closure: list = field(default_factory=list, compare=False)
@@ -148,11 +160,36 @@ class MemoryStore:
 
     def ingest(self, root: str, files: DataFrame, **sizes) -> tuple[dict, MemoryStore]:
         """Brings files (path, text) in below the scope root: what has changed, and the new store.
-        A directory's files come from read_directory() of its contained() path."""
+        A directory on disk is brought in by ingest_directory()."""
         label = self.get_scope(root)["title"] or ""
         out = sync.sync(files, root, self.scopes, self.artifacts, self.edges, new_id()[:14], label, self.embed, **sizes)
         return out.stats.first().asDict(), replace(self, scopes=out.scopes, artifacts=out.artifacts, edges=out.edges, _closure=[])
 
+    def ingest_directory(self, path: str, root: str | None = None, title: str = "", max_chars: int = MAX_CHARS, overlap: int = OVERLAP) -> tuple[str, dict, MemoryStore]:
+        """Brings the files of a directory in below root, or else below the scope that config remembers for
+        it, or a new one. Files whose size and time are those of the last run aren't opened."""
+        path = os.path.realpath(path)
+        remembered = self.get_config(f"ingest:{path}")
+        if root is None and remembered is not None and not self.scopes.filter(F.col("id") == remembered).isEmpty():
+            root = remembered
+        store = self
+        if root is None:
+            root, store = self.create_scope(None, "worktree", title or os.path.basename(path))
+        listed = cut(list_directory(self.spark, path))
+        below = store.closure().filter(F.col("ancestor") == root).select(F.col("descendant").alias("scope"))
+        chunks = sync.stored_chunks(store.artifacts, below)
+        seen = store.files.filter(F.col("root") == root).drop("root")
+        same = cut(sync.unread(listed, seen, chunks, max_chars, overlap))
+        read = read_files(listed.join(same, "path", "left_anti"), path)
+        label = store.get_scope(root)["title"] or ""
+        out = sync.sync(read, root, store.scopes, store.artifacts, store.edges, new_id()[:14], label, self.embed, max_chars, overlap, same.select("path", "sig", "n"))
+        now = listed.join(out.wanted, "path").withColumn("root", F.lit(root)).select(self.files.columns)
+        files = store.files.filter(F.col("root") != root).unionByName(now)
+        store = replace(store, scopes=out.scopes, artifacts=out.artifacts, edges=out.edges, files=files, _closure=[])
+        if remembered != root:
+            store = store.set_config(f"ingest:{path}", root)
+        return root, out.stats.first().asDict(), store
+
     def rollup_scope(self, scope: str, summary: str) -> MemoryStore:
         self._has(self.scopes, scope)
         here = F.col("id") == scope
