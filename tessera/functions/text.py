@@ -95,4 +95,8 @@ def bag_of_words_embedder(dims: int = 384):
     def embed(words: pd.Series, texts: pd.Series) -> pd.Series:
         return pd.Series(bag_of_words_vectors(words, texts, dims))
 
-    return lambda text: embed(tokens(text), text)
+    def column(text: Column) -> Column:
+        return embed(tokens(text), text)
+
+    column.model = f"mock-bow:{dims}"
+    return column

@@ -14,7 +14,7 @@ from __future__ import annotations
 from datetime import UTC, datetime
 from uuid import uuid4
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import writes
@@ -67,16 +67,21 @@ class StoreLog:
         """A new log; with a key its contents and summaries are sealed (titles, vectors and meta aren't)."""
         log = cls(spark, path, **options)
         log._record(0, 0, True, "", [])
-        if log.key is not None:
-            log._write(config=MemoryStore.empty(spark).lock(log.key).config)
+        plain = MemoryStore.empty(spark, embed=log.embed)
+        config = plain.remember_model() if log.key is None else plain.remember_model().lock(log.key)
+        if config is not plain:
+            log._write(config=config.config)
         return log
 
     @classmethod
     def open(cls, spark: SparkSession, path: str, **options) -> StoreLog:
-        """ValueError if the log is sealed with another key, or has none and one is given."""
+        """ValueError if the log is sealed with another key, or has none and one is given, or holds vectors of
+        another embedder."""
         log = cls(spark, path, **options)
         log.refresh()
-        MemoryStore.unlock(log.store(), log.key)
+        store = log.store()
+        store.unlock(log.key)
+        store.remember_model()
         return log
 
     def refresh(self) -> None:
@@ -88,9 +93,8 @@ class StoreLog:
         return self._commits[-1]["version"]
 
     def _record(self, *row) -> None:
-        rows = self.spark.createDataFrame([row], COMMITS).coalesce(1)
-        rows.write.mode("append").parquet(f"{self.path}/commits")
-        self._commits = sorted([*self._commits, rows.first()], key=lambda c: c["version"])
+        self.spark.createDataFrame([row], COMMITS).coalesce(1).write.mode("append").parquet(f"{self.path}/commits")
+        self._commits = sorted([*self._commits, Row("first", "version", "snapshot", "folder", "tables")(*row)], key=lambda c: c["version"])
 
     def parts(self, version: int | None = None) -> tuple[object, list]:
         """The commits that a version is read from: its snapshot, and segments that follow each other."""
@@ -226,10 +230,15 @@ class StoreLog:
             rows = rows.withColumn("summary", F.base64(self._sealed(F.col("summary"), F.col("id"))))
         # What is cut holds sealed bytes only.
         rows = cut(rows.select("id", "scope", "kind", "tier", "summary", "hash", "body", "vec", "derived_from", F.coalesce("supersedes", none).alias("supersedes"), F.coalesce("published", F.lit(False)).alias("_published"), "meta", "blank"))
-        if not rows.filter("blank").isEmpty():
+        scopes = rows.select(F.lit("scope").alias("what"), F.col("scope").alias("id")).join(self.table("scopes").select("id"), "id", "left_anti")
+        stored = self.table("artifacts").select("id").union(rows.select("id"))
+        targets = rows.select(F.lit("artifact").alias("what"), F.explode("supersedes").alias("id")).join(stored, "id", "left_anti")
+        wrong = rows.filter("blank").select(F.lit("summary").alias("what"), "id").unionByName(scopes).unionByName(targets).take(1)
+        if wrong and wrong[0]["what"] == "summary":
             raise ValueError("empty summary")
-        self._known("scopes", rows.select(F.col("scope").alias("id")))
-        puts, marks = writes.push(rows.drop("body", "blank"), self.table("artifacts").select("id").union(rows.select("id")))
+        if wrong:
+            raise LookupError(f"no {wrong[0]['what']} {wrong[0]['id']}")
+        puts, marks = writes.push(rows.drop("body", "blank"), None)
         puts = puts.withColumns({"published": F.col("_published"), "created_at": F.lit(datetime.now(UTC)), "_op": F.lit("put")}).drop("_published")
         # A row of this very batch that another one replaces is written as replaced.
         both = puts.join(marks, "id", "left")

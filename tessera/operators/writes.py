@@ -28,13 +28,12 @@ def trust(meta, label):
     return F.when(F.size(full) > 0, full)
 
 
-def push(requests: DataFrame, artifacts: DataFrame) -> tuple[DataFrame, DataFrame]:
+def push(requests: DataFrame, artifacts: DataFrame | None) -> tuple[DataFrame, DataFrame]:
     """Requests (id, scope, kind, tier, summary, derived_from, supersedes) as new rows with their
     lineage, and (id, superseded_by) of the artifacts they replace. A request that names a
-    missing artifact is refused before anything is written."""
+    missing artifact is refused before anything is written; without artifacts it isn't looked for."""
     pairs = requests.select("id", F.explode("supersedes").alias("target"))
-    missing = pairs.join(artifacts.select(F.col("id").alias("target")), "target", "left_anti")
-    if not missing.isEmpty():
+    if artifacts is not None and not pairs.join(artifacts.select(F.col("id").alias("target")), "target", "left_anti").isEmpty():
         raise LookupError("supersedes an artifact that doesn't exist")
     rows = requests.withColumns({"kind": F.coalesce("kind", F.lit("insight")), "tier": F.coalesce("tier", F.lit("workspace")), "derived_from": merge_lineage("derived_from", "supersedes"), "published": F.lit(False)}).drop("supersedes")
     marks = pairs.filter("id <> target").groupBy(F.col("target").alias("id")).agg(F.max("id").alias("superseded_by"))

@@ -217,6 +217,11 @@ UNION ALL SELECT 2, count(*) FILTER (k = 2 AND NOT blank OR k = 1 AND blank), co
     "dir_rollup_text": "SELECT source AS dir, md5('directory ' || source || '; files: ' || string_agg(lpad(CAST(doc_id AS VARCHAR), 10, '0') || '.md', ', ' ORDER BY doc_id)) AS rollup_md5 FROM documents GROUP BY source",
     "content_dedupe": "SELECT sha256(text) AS hash, CAST(max(octet_length(encode(text))) AS BIGINT) AS n_bytes, count(*) AS copies FROM documents GROUP BY text",
     "sealed_roundtrip": "SELECT doc_id, md5(text) AS text_md5, false AS plain_inside, false AS opens_elsewhere, false AS opens_tampered, 28 AS overhead FROM documents",
+    "log_versions": """WITH a AS (SELECT doc_id AS n, lpad(CAST(doc_id AS VARCHAR), 10, '0') AS id, 'R/' || lang || '/' || source AS scope, 'document ' || doc_id AS summary, md5(text) AS content_md5, lpad(CAST(doc_id - 1 AS VARCHAR), 10, '0') AS before FROM documents),
+b AS (SELECT a.*, s.id AS after FROM a LEFT JOIN a s ON s.n = a.n + 1 AND a.n % 2 = 0)
+SELECT 'old' AS version, id, scope, summary, content_md5, false AS published, CAST(NULL AS VARCHAR) AS superseded_by, '' AS derived_from, CAST(0 AS BIGINT) AS links FROM b WHERE n % 2 = 0
+UNION ALL SELECT 'new', id, scope, summary, content_md5, n % 5 = 0, after, CASE WHEN n % 2 = 1 THEN before ELSE '' END, CAST(CASE WHEN n % 2 = 1 AND (n - 1) % 7 <> 0 THEN 1 ELSE 0 END AS BIGINT) FROM b WHERE n % 7 <> 0""",
+    "log_blobs": "SELECT sha256(text) AS hash, CAST(any_value(octet_length(encode(text))) + 28 AS BIGINT) AS n_bytes, count(*) FILTER (doc_id % 7 <> 0) AS artifacts FROM documents WHERE text IS NOT NULL GROUP BY text",
     "recent_traces": "SELECT lpad(CAST(event_id AS VARCHAR), 10, '0') AS query_id, CAST(user_id AS VARCHAR) AS scope, event_type FROM events ORDER BY 1 DESC LIMIT 50",
     "trace_counts": "SELECT date_trunc('day', ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL",
     "config_latest": "SELECT 'user.' || user_id AS key, max_by(event_type, event_id) AS value FROM events GROUP BY user_id",

@@ -9,11 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.text import bag_of_words_embedder, contains_any, is_blank, rank_text, tokens, word_count
+from tessera.log import StoreLog
 from tessera.operators import blocks, evaluation, graph, lexical, retrieval, writes
 from tessera.operators import scopes as S
 from tessera.operators.nearest import nearest
 from tessera.sources import blobs, fixtures, ingest, sync
-from tessera.session import cut
+from tessera.session import cut, shared_folder
 from tessera.spec import Detail, Floors, QuerySpec
 from tessera.store import MemoryStore
 from tessera.streaming import traces
@@ -271,6 +272,41 @@ def sealed_roundtrip(spark, sf_dir):
     )
 
 
+def _log_of_documents(spark, sf_dir) -> tuple[StoreLog, int]:
+    """A sealed log: even documents, a snapshot, then odd ones that supersede those before them; some are
+    published, some deleted. And the version that held the even ones only."""
+    d = Data(spark, sf_dir)
+    n, id = F.col("doc_id"), fixtures.padded
+    rows = fixtures.read(spark, sf_dir, "documents").select("doc_id", id(n).alias("id"), F.concat_ws("/", F.lit("R"), "lang", "source").alias("scope"), F.concat(F.lit("document "), n).alias("summary"), F.col("text").alias("content"))
+    log = StoreLog.create(spark, f"{shared_folder(spark)}/log", key=b"0123456789abcdef0123456789abcdef", merge_every=4)
+    log.create_scopes(d.scopes.select("id", "parent", "role", "title"))
+    old = log.push(rows.filter(n % 2 == 0).drop("doc_id"))
+    log.compact()
+    log.push(rows.filter(n % 2 == 1).withColumn("supersedes", F.array(id(n - 1))).drop("doc_id"))
+    log.relate(rows.filter(n % 2 == 1).select(F.col("id").alias("from_id"), id(n - 1).alias("to_id"), F.lit("refines").alias("kind")))
+    log.publish(rows.filter(n % 5 == 0).select("id"))
+    log.delete(rows.filter(n % 7 == 0).select("id"))
+    return log, old
+
+
+def log_versions(spark, sf_dir):
+    """The log's artifacts with their contents as of its last version and as of an older one."""
+    log, old = _log_of_documents(spark, sf_dir)
+    out = []
+    for name, version in (("old", old), ("new", log.version)):
+        links = log.table("edges", version).groupBy(F.col("from_id").alias("id")).agg(F.count("*").alias("links"))
+        rows = log.store(version, contents=True).artifacts.join(links, "id", "left")
+        out.append(rows.select(F.lit(name).alias("version"), "id", "scope", "summary", F.md5("content").alias("content_md5"), "published", "superseded_by", F.array_join("derived_from", ",").alias("derived_from"), F.coalesce("links", F.lit(0).cast("long")).alias("links")))
+    return out[0].union(out[1])
+
+
+def log_blobs(spark, sf_dir):
+    """What the log's blob table holds: each distinct content once, sealed."""
+    log, _ = _log_of_documents(spark, sf_dir)
+    used = log.table("artifacts").groupBy("hash").agg(F.count("*").alias("artifacts"))
+    return log.table("blobs").join(used, "hash", "left").select("hash", F.octet_length("body").cast("long").alias("n_bytes"), F.coalesce("artifacts", F.lit(0).cast("long")).alias("artifacts"))
+
+
 def mock_embed(spark, sf_dir):
     rows = fixtures.read(spark, sf_dir, "benchmark").withColumn("v", bag_of_words_embedder(16)(F.col("text")))
     return rows.select("item_id", F.posexplode("v").alias("slot", "value")).select("item_id", "slot", F.round(F.col("value").cast("double"), 5).alias("value"))
@@ -427,6 +463,8 @@ QUERIES = {
     "dir_rollup_text": dir_rollup_text,
     "content_dedupe": content_dedupe,
     "sealed_roundtrip": sealed_roundtrip,
+    "log_versions": log_versions,
+    "log_blobs": log_blobs,
     "mock_embed": mock_embed,
     "recent_traces": recent_traces,
     "trace_counts": trace_counts,

@@ -61,15 +61,17 @@ class MemoryStore:
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, embed=None, reranker=None) -> MemoryStore:
-        """The snapshot that the last save finished."""
+        """The snapshot that the last save finished; ValueError if another embedder made its vectors."""
         last = spark.read.parquet(f"{path}/commits").agg(F.max("snapshot")).first()[0]
-        return cls(spark, *(spark.read.schema(schema).parquet(f"{path}/snapshot={last}/{name}") for name, schema in _TABLES.items()), embed=embed, reranker=reranker)
+        store = cls(spark, *(spark.read.schema(schema).parquet(f"{path}/snapshot={last}/{name}") for name, schema in _TABLES.items()), embed=embed, reranker=reranker)
+        store.remember_model()
+        return store
 
     def save(self, path: str) -> str:
         """All tables as a new snapshot; it counts once its commit row is written."""
-        snapshot = new_id()
+        snapshot, store = new_id(), self.remember_model()
         for name in _TABLES:
-            getattr(self, name).write.option("compression", "zstd").parquet(f"{path}/snapshot={snapshot}/{name}")
+            getattr(store, name).write.option("compression", "zstd").parquet(f"{path}/snapshot={snapshot}/{name}")
         self.spark.createDataFrame([(snapshot,)], "snapshot string").write.mode("append").parquet(f"{path}/commits")
         return snapshot
 
@@ -81,6 +83,15 @@ class MemoryStore:
         if table.filter(F.col("id") == id).isEmpty():
             raise LookupError(f"no {id}")
 
+    def remember_model(self) -> MemoryStore:
+        """The store with its embedder's name (its attribute model, if it has one) in config; ValueError if
+        config holds another one, since vectors of two models can't be compared."""
+        model = getattr(self.embed, "model", "")
+        held = self.get_config("emb_model") if model else None
+        if held is not None and held != model:
+            raise ValueError(f"a store of {held} can't be used with {model}")
+        return self.set_config("emb_model", model) if model and held is None else self
+
     def _guard(self, rows: DataFrame, column: str) -> None:
         """Refuses vectors of another length than the stored ones: they would all score 0."""
         size = lambda df, c: (r := df.filter(F.col(c).isNotNull()).select(F.size(c)).first()) and r[0]
@@ -250,9 +261,17 @@ class MemoryStore:
         """One row for each query: verdict by the model's floors (config overrides them) and hits."""
         return retrieval.respond(queries, self.query(queries, spec), resolve_floors(model, self.get_config))
 
-    def calibrate(self, model: str, tops: DataFrame, recall: float = 0.9) -> MemoryStore:
-        """Stores the floor that keeps this share of probes (top_score) as the model's."""
-        return self.set_config(f"conf.floor.{model}", repr(conformal_floor(tops, recall).first()["floor"]))
+    def calibrate(self, model: str, tops: DataFrame, recall: float = 0.9, reranked: bool = False) -> MemoryStore:
+        """Stores the floor that keeps this share of probes (top_score, or rerank_score if reranked) as the
+        model's floor of that score. ValueError if a probe wasn't reranked, or there is none."""
+        if reranked:
+            if not tops.filter("rerank_score IS NULL").isEmpty():
+                raise ValueError("a probe that wasn't reranked")
+            tops = tops.select(F.col("rerank_score").alias("top_score"))
+        floor = conformal_floor(tops, recall).first()
+        if not floor["probes"]:
+            raise ValueError("no probes")
+        return self.set_config(f"conf.{'rerank' if reranked else 'floor'}.{model}", repr(floor["floor"]))
 
     def lock(self, key: bytes) -> MemoryStore:
         """Marks an empty or unlocked store as sealed with this key."""

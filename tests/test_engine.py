@@ -185,13 +185,20 @@ def test_store_traces_guards_and_floors(spark, tmp_path):
     response = tuned.respond(asked, QuerySpec(), "m").first()
     assert response["confidence"] == "ok" and response["untrusted"] and response["hits"][0]["id"] == other
     assert '"confidence":"ok"' in retrieval.as_json(tuned.respond(asked, QuerySpec(), "m")).first()["json"]
+    reranked = spark.createDataFrame([(0.1, 0.6), (0.2, 0.8)], "top_score double, rerank_score double")
+    assert float(store.calibrate("m", reranked, 0.5, reranked=True).get_config("conf.rerank.m")) == pytest.approx(0.7)
+    for bad in (reranked.limit(0), reranked.withColumn("rerank_score", F.lit(None).cast("double"))):
+        with pytest.raises(ValueError):
+            store.calibrate("m", bad, reranked=True)
     locked = store.lock(b"k" * 32)
     locked.unlock(b"k" * 32), store.unlock(None)
     for s, key in ((locked, b"x" * 32), (locked, None), (store, b"k" * 32)):
         with pytest.raises(ValueError):
             s.unlock(key)
     again = MemoryStore.load(spark, str(tmp_path)) if traced.save(str(tmp_path)) else None
-    assert again.trace("q1")[1].count() == 2
+    assert again.trace("q1")[1].count() == 2 and again.get_config("emb_model") == "mock-bow:16"
+    with pytest.raises(ValueError, match="mock-bow"):
+        MemoryStore.load(spark, str(tmp_path), embed=X.bag_of_words_embedder(8))
 
 
 def test_paths_stay_inside(tmp_path):
