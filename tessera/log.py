@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import writes
-from tessera.session import cut
+from tessera.session import cut, plain_unions
 from tessera.sources import blobs
 from tessera.spec import Detail, QuerySpec
 from tessera.store import ARTIFACTS, CONFIG, EDGES, FILES, SCOPES, TRACES, VISIBLE, MemoryStore, new_id
@@ -61,6 +61,7 @@ class StoreLog:
     def __init__(self, spark: SparkSession, path: str, key: bytes | None = None, embed=None, reranker=None, merge_every: int = 32):
         self.spark, self.path, self.key, self.embed, self.reranker, self.merge_every = spark, path.rstrip("/"), key, embed, reranker, merge_every
         self._commits: list = []
+        plain_unions(spark)
 
     @classmethod
     def create(cls, spark: SparkSession, path: str, **options) -> StoreLog:
@@ -120,6 +121,8 @@ class StoreLog:
         rows, tail = self._scan(name, [base], False), self._scan(name, chain, True)
         if not any(name in c["tables"] for c in chain):
             return rows
+        if name == "blobs":  # written once for each hash and never changed
+            return rows.unionByName(tail.select(rows.columns))
         last = fold(tail, key, patched)
         if name not in base["tables"]:
             return last.filter("_op = 'put'").select(rows.columns)
@@ -152,7 +155,8 @@ class StoreLog:
         elif len(chain) > 1:
             folder = f"m{self.version:012d}-{uuid4().hex[:8]}"
             for name in names:
-                fold(self._scan(name, chain, True), *TABLES[name][1:]).write.option("compression", "zstd").parquet(f"{self.path}/{folder}/{name}")
+                rows = self._scan(name, chain, True)
+                (rows if name == "blobs" else fold(rows, *TABLES[name][1:])).write.option("compression", "zstd").parquet(f"{self.path}/{folder}/{name}")
             self._record(chain[0]["first"], self.version, False, folder, names)
 
     def compact(self) -> None:
@@ -218,7 +222,9 @@ class StoreLog:
         """Artifacts (scope, summary; id, kind, tier, content, derived_from, supersedes, published, meta,
         trust, vec where given). A batch that names an unknown scope or artifact, or has an empty
         summary, is refused whole. A null content has no blob; an equal content is stored once. Of
-        several artifacts that supersede one, the one with the greatest id does."""
+        several artifacts that supersede one, the one with the greatest id does. Requests with ids of their
+        own are read several times, so that their contents are kept nowhere else, and must be the same each
+        time; others get ids and are cut, sealed if the log is."""
         none = F.array().cast("array<string>")
         usual = {"id": F.concat(F.lit(new_id()[:14]), F.substring(F.replace(F.expr("uuid()"), F.lit("-"), F.lit("")), 1, 12)), "kind": F.lit(None).cast("string"), "tier": F.lit(None).cast("string"), "content": F.lit(None).cast("string"), "derived_from": none, "supersedes": none, "published": F.lit(False), "meta": F.lit(None).cast("map<string,string>"), "trust": F.lit("")}
         rows = requests.withColumns({c: v for c, v in usual.items() if c not in requests.columns})
@@ -228,8 +234,9 @@ class StoreLog:
         rows = rows.withColumn("body", self._sealed(F.col("content"), F.col("hash")))
         if self.key is not None:
             rows = rows.withColumn("summary", F.base64(self._sealed(F.col("summary"), F.col("id"))))
-        # What is cut holds sealed bytes only.
-        rows = cut(rows.select("id", "scope", "kind", "tier", "summary", "hash", "body", "vec", "derived_from", F.coalesce("supersedes", none).alias("supersedes"), F.coalesce("published", F.lit(False)).alias("_published"), "meta", "blank"))
+        rows = rows.select("id", "scope", "kind", "tier", "summary", "hash", "body", "vec", "derived_from", F.coalesce("supersedes", none).alias("supersedes"), F.coalesce("published", F.lit(False)).alias("_published"), "meta", "blank")
+        if "id" not in requests.columns:
+            rows = cut(rows)
         scopes = rows.select(F.lit("scope").alias("what"), F.col("scope").alias("id")).join(self.table("scopes").select("id"), "id", "left_anti")
         stored = self.table("artifacts").select("id").union(rows.select("id"))
         targets = rows.select(F.lit("artifact").alias("what"), F.explode("supersedes").alias("id")).join(stored, "id", "left_anti")

@@ -278,7 +278,7 @@ def _log_of_documents(spark, sf_dir) -> tuple[StoreLog, int]:
     d = Data(spark, sf_dir)
     n, id = F.col("doc_id"), fixtures.padded
     rows = fixtures.read(spark, sf_dir, "documents").select("doc_id", id(n).alias("id"), F.concat_ws("/", F.lit("R"), "lang", "source").alias("scope"), F.concat(F.lit("document "), n).alias("summary"), F.col("text").alias("content"))
-    log = StoreLog.create(spark, f"{shared_folder(spark)}/log", key=b"0123456789abcdef0123456789abcdef", merge_every=4)
+    log = StoreLog.create(spark, f"{shared_folder(spark)}/log", key=b"0123456789abcdef0123456789abcdef")
     log.create_scopes(d.scopes.select("id", "parent", "role", "title"))
     old = log.push(rows.filter(n % 2 == 0).drop("doc_id"))
     log.compact()

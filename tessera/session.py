@@ -19,6 +19,12 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{found.rstrip('/')}/{uuid4().hex}"
 
 
+def plain_unions(spark: SparkSession) -> None:
+    """Spark 4.1 takes a union of two frames with the same partitioning for partitioned so too, and fails if
+    adaptive plans have given them different numbers of partitions ("Can't zip RDDs"). This turns that off."""
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df checkpointed in the folder of spark.checkpoint.dir; in one local process without that
     setting, in a new temporary folder."""
