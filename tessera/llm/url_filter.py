@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from tessera.llm.common import slices, table, text_bytes
 
-RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
+RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
 BUCKETS = 1 << 15
 
 #: What the labelled table is made of: words of unwanted hosts, words of wanted ones, and wanted hosts

@@ -312,6 +312,14 @@ def test_url_rules_and_model(spark):
     assert got[7][2] == "example.net/de/8" and got[8][2] == "net/de/"
 
 
+def test_url_rules_say_what_the_contract_says(spark):
+    assert url_filter.RULES == [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
+    urls = ["http://x.com/en/1", "http://a.example.com/en/71", "http://casino-poker.net/de/1", "http://example.net/de/81", "http://garden.org/es/2"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = url_filter.filter_urls(pages, url_filter.RULES, url_filter.labelled_urls()).orderBy("page_id").collect()
+    assert [r["verdict"] for r in got] == ["block", "allow", "allow", "block", "block"]
+
+
 def test_url_model_on_held_out_and_unseen_hosts():
     rows = url_filter.labelled_urls()
     held, rest = [x for k, x in enumerate(rows) if k % 5 == 0], [x for k, x in enumerate(rows) if k % 5]
