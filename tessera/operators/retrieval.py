@@ -298,6 +298,15 @@ def traces(found: DataFrame, hits: DataFrame) -> DataFrame:
     return found.select("query_id", "id").join(hits.select("query_id", "id", "rank"), ["query_id", "id"], "left")
 
 
+def trace_totals(reached: DataFrame, pool: DataFrame, hits: DataFrame) -> DataFrame:
+    """query_id, visible, hits, first: of each query's traces() how many there are, how many were returned, and
+    the best. What a query sees is counted by scope and state; no trace is a row."""
+    size = pool.groupBy("scope", "published").agg(F.count("*").alias("n"))
+    seen = reached.join(size, "scope").filter(F.col("any_state") | F.col("published")).groupBy("query_id").agg(F.sum("n").alias("visible"))
+    best = hits.groupBy("query_id").agg(F.count("*").alias("hits"), F.min_by("id", "rank").alias("first"))
+    return seen.join(best, "query_id", "left").select("query_id", "visible", F.coalesce("hits", F.lit(0).cast("long")).alias("hits"), "first")
+
+
 def with_untrusted(decisions: DataFrame, hits: DataFrame) -> DataFrame:
     """decisions with untrusted: whether a hit's meta says that it comes from ingested text."""
     flags = hits.groupBy("query_id").agg(F.bool_or(F.coalesce(F.col("meta")["trust"] == INGESTED, F.lit(False))).alias("untrusted"))

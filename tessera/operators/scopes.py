@@ -9,6 +9,9 @@ from tessera.functions.text import dot
 from tessera.operators.chains import walks
 from tessera.spec import COARSE_LEAST, COARSE_MARGIN, QuerySpec
 
+#: Lists that the queries of a scope are cut into; tasks for each core that candidates are dealt to.
+LISTS, DEALT = 64, 8
+
 
 def closure(scopes: DataFrame) -> DataFrame:
     """ancestor, descendant, distance: all pairs on a path to the root, each scope itself at 0.
@@ -82,9 +85,13 @@ def of_tier(artifacts: DataFrame, spec: QuerySpec) -> DataFrame:
 
 
 def candidates(queries: DataFrame, scopes: DataFrame, artifacts: DataFrame, closure: DataFrame, spec: QuerySpec, rollups: DataFrame | None = None) -> DataFrame:
-    """query_id and the artifacts in its candidate set, before currency and kind are looked at."""
-    found = artifacts.join(reached(queries, scopes, closure, spec, rollups), "scope").filter(F.col("any_state") | F.col("published")).drop("any_state")
-    return of_tier(found, spec)
+    """query_id and the artifacts in its candidate set, before currency and kind are looked at. There are few
+    scopes, so artifacts don't meet queries by scope in a shuffle: they are dealt by id, and each scope's
+    queries come as lists to where its artifacts are."""
+    asked = reached(queries, scopes, closure, spec, rollups).groupBy("scope", "any_state", F.pmod(F.xxhash64("query_id"), F.lit(LISTS)).alias("part")).agg(F.collect_list("query_id").alias("asked")).drop("part")
+    dealt = of_tier(artifacts, spec).repartition(DEALT * artifacts.sparkSession.sparkContext.defaultParallelism, "id")
+    found = dealt.join(F.broadcast(asked), "scope").filter(F.col("any_state") | F.col("published"))
+    return found.select(F.explode("asked").alias("query_id"), *artifacts.columns)
 
 
 def current(found: DataFrame, spec: QuerySpec) -> DataFrame:
