@@ -8,12 +8,15 @@ from functools import reduce
 from itertools import accumulate
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.session import cut
 
 MAX_CHARS, OVERLAP, MAX_FILE = 1500, 200, 512 << 10
+#: Characters of texts whose chunks a task holds before it passes them on.
+HELD_CHARS = 1 << 20
 #: Fixed values, which results depend on: sizes above, directories that a walk leaves out, starts of units.
 SKIPPED = (".git", "node_modules", "vendor", "bin", "dist", "build", ".venv", "venv", "__pycache__", ".idea", ".vscode")
 #: How a line at column 0 begins a unit, by language, and what above it belongs to the unit.
@@ -95,12 +98,26 @@ def semantic_chunks(text: str, language: str, max_chars: int = MAX_CHARS, overla
 def chunk(files: DataFrame, max_chars: int = MAX_CHARS, overlap: int = OVERLAP, semantic: bool = True) -> DataFrame:
     """files (path, text, language) as path, chunk, start_line, end_line, text."""
 
-    @F.pandas_udf("array<struct<text:string,start_line:int,end_line:int>>")
-    def pieces(texts: pd.Series, languages: pd.Series) -> pd.Series:
-        return pd.Series([semantic_chunks(t, x, max_chars, overlap) if semantic else window_chunks(t.split("\n"), max_chars, overlap) for t, x in zip(texts.fillna(""), languages, strict=True)])
+    def passed_on(rows):
+        columns = list(zip(*rows, strict=True))
+        return pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string()), strict=True)], names=["path", "chunk", "start_line", "end_line", "text"])
 
-    found = files.select("path", F.posexplode(pieces("text", "language")).alias("chunk", "piece"))
-    return found.select("path", "chunk", "piece.start_line", "piece.end_line", "piece.text")
+    def run(batches):
+        """A text at a time; chunks are passed on when they hold HELD_CHARS."""
+        out, held = [], 0
+        for batch in batches:
+            for row in (batch.slice(k, 1).to_pylist()[0] for k in range(batch.num_rows)):
+                text = row["text"] or ""
+                found = semantic_chunks(text, row["language"], max_chars, overlap) if semantic else window_chunks(text.split("\n"), max_chars, overlap)
+                out += ((row["path"], k, start, end, piece) for k, (piece, start, end) in enumerate(found))
+                held += len(text)
+                if out and held >= HELD_CHARS:
+                    yield passed_on(out)
+                    out, held = [], 0
+        if out:
+            yield passed_on(out)
+
+    return files.select("path", "text", "language").mapInArrow(run, "path string, chunk int, start_line int, end_line int, text string")
 
 
 LISTED = "path string, length long, modified long"

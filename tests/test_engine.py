@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -147,6 +148,19 @@ def test_seeds_and_lines_are_trimmed_of_any_white_space(spark):
     assert store.get_scope(new)["forked_from"] == scope
 
 
+def test_chunks_are_passed_on_in_small_batches(spark, monkeypatch):
+    from tessera.sources import ingest
+
+    monkeypatch.setattr(ingest, "HELD_CHARS", 1000)
+    handed = []
+    monkeypatch.setattr(type(spark.range(1)), "mapInArrow", lambda self, run, schema: handed.append(run) or self)
+    files = spark.createDataFrame([("a", "x", "markdown")], "path string, text string, language string")
+    ingest.chunk(files, 300, 0, semantic=False)
+    batch = pa.record_batch([pa.array([f"f{k}" for k in range(50)]), pa.array(["line of text\n" * 30] * 49 + [None]), pa.array(["markdown"] * 50)], names=["path", "text", "language"])
+    sizes = [b.num_rows for b in handed[0](iter([batch]))]
+    assert len(sizes) >= 15 and max(sizes) <= 9
+
+
 def test_nearest_against_brute_force(spark):
     from tessera.operators.nearest import nearest
 
