@@ -230,12 +230,12 @@ def _hybrid(queries, scopes, artifacts, spec, k, closure, rollups, edges, rerank
     reached = cut(S.reached(queries, scopes, closure, spec, rollups))
     pool = cut(S.current(S.of_tier(artifacts, spec), spec).select("id", "scope", "published", "vec", F.lit(0.0).alias("bonus")))
     docs = S.current(S.of_tier(index.docs, spec), spec).filter("has_vec")
-    positive = cut(lexical.scores(index.postings, docs, queries, reached))
+    asked = lexical.ask(index.postings, docs, queries, reached)
     reranking = reranker is not None and (spec.rerank or spec.auto_rerank)
     n = max(k, GRAPH_SEEDS if spec.graph_boost > 0 else 0, spec.rerank_n if reranking else 0)
     m = contenders(n)
     near = cut(blocks.topk(queries, reached, pool, m).select("query_id", "id", "score"))
-    wanted = near.select("query_id", "id").union(lexical.topk(positive, docs, reached, m).select("query_id", "id")).distinct()
+    wanted = near.select("query_id", "id").union(lexical.best(asked, m).select("query_id", "id")).distinct()
     linked = spec.graph_boost > 0 and edges is not None
     if linked:
         links = edges.select("from_id", "to_id", "kind").distinct()
@@ -244,7 +244,7 @@ def _hybrid(queries, scopes, artifacts, spec, k, closure, rollups, edges, rerank
         beside = both.join(seeds, "seed").select("query_id", "id").distinct().join(docs.select("id", "scope", "published"), "id").join(reached, ["query_id", "scope"]).filter(F.col("any_state") | F.col("published"))
         wanted = wanted.union(beside.select("query_id", "id")).distinct()
     by_cosine = cut(blocks.ranks(queries, reached, pool, wanted, per_query=2 * m))
-    by_words = lexical.ranks(positive, by_cosine.select("query_id", "id", "id_rank"), 2 * m)
+    by_words = lexical.ranks(asked, by_cosine.select("query_id", "id", "id_rank"), 2 * m)
     scored = by_cosine.select("query_id", "id", "score").join(fuse([by_cosine.select("query_id", "id", "rank"), by_words]), ["query_id", "id"])
     scored = cut(scored.withColumn("sort_key", F.col("fused")))
     # The gate keeps a beginning of the ranking by cosine, so contenders stay contenders.

@@ -229,3 +229,38 @@ def test_related_in_the_order_of_a_search(spark, direction):
     for start in ids[:6]:
         mine = [r for r in got if r["start"] == start]
         assert [(r["id"], r["distance"]) for r in mine] == search(start, 3) and [r["place"] for r in mine] == list(range(1, len(mine) + 1))
+
+
+def test_equal_documents_stand_by_id_in_words(spark):
+    """What a task counts of documents with the same words, whose sums must not follow the order of their terms."""
+    rng = np.random.default_rng(21)
+    words = [f"w{j}" for j in range(24)]
+    artifacts = [(f"a{j:04d}", "s", True, "insight", "worktree", "", " ".join(rng.permutation(words[: 12 + 4 * (j % 3)])), None, [1.0]) for j in range(240)]
+    artifacts += [(f"b{j:04d}", "s", True, "insight", "worktree", "", " ".join(rng.choice(words, 3)), None, [1.0]) for j in range(400)]
+    artifacts = spark.createDataFrame(artifacts, "id string, scope string, published boolean, kind string, tier string, content string, summary string, superseded_by string, vec array<double>")
+    queries = spark.createDataFrame([("q", " ".join(words)), ("none", "nowhere")], "query_id string, text string")
+    reached = spark.createDataFrame([("q", "s", True), ("none", "s", True)], "query_id string, scope string, any_state boolean")
+    index = lexical.build(artifacts)
+    asked = lexical.ask(index.postings, index.docs, queries, reached)
+    best = [r["id"] for r in lexical.best(asked, 640).filter("query_id = 'q'").orderBy("rank").collect()]
+    assert len(best) == 640
+    for k in range(3):
+        assert [x for x in best if x < "b" and int(x[1:]) % 3 == k] == [f"a{j:04d}" for j in range(k, 240, 3)]
+    ids = sorted(r["id"] for r in artifacts.select("id").collect())
+    wanted = spark.createDataFrame([(q, x, k + 1) for q in ("q", "none") for k, x in enumerate(ids) if k % 5 == 0], "query_id string, id string, id_rank long")
+    got = {(r["query_id"], r["id"]): r["rank"] for r in lexical.ranks(asked, wanted, 200).collect()}
+    assert {x: k for (q, x), k in got.items() if q == "q"} == {x: best.index(x) + 1 for x in ids[::5]}
+    assert {x: k for (q, x), k in got.items() if q == "none"} == {x: ids.index(x) + 1 for x in ids[::5]}
+
+
+def test_a_task_counts_without_a_row_for_a_pair_by_words(monkeypatch):
+    monkeypatch.setattr(lexical, "DOCS", 70)
+    words = pa.list_(pa.struct([("term", pa.string()), ("f", pa.int64())]))
+    rows = [{"scope": "st"[j % 2], "id": f"a{j:03d}", "published": True, "dl": 4, "words": [{"term": t, "f": 1} for t in ("one", "two", "x")[: 1 + j % 3]]} for j in range(300)]
+    batch = pa.Table.from_pylist(rows, pa.schema([("scope", pa.string()), ("id", pa.string()), ("published", pa.bool_()), ("dl", pa.int32()), ("words", words)])).to_batches()[0]
+    sees = (np.array([0]), np.zeros(0, np.int64))
+    asked = SimpleNamespace(value=({"two": (np.array([0]), np.array([2.0]))}, np.array([4.0]), {"s": sees, "t": sees}))
+    key = 2.0 * 1 * 2.2 / (1 + 1.2)
+    wanted = SimpleNamespace(value=(np.array(["a004", "a299"]), {0: (np.array([0, 1]), np.array([key]), np.array([0, 0]))}))
+    found = pa.Table.from_batches(lexical._before(asked, wanted)(iter([batch]))).to_pylist()
+    assert [(r["id"], r["before"], r["ids_before"], r["total"]) for r in found] == [("a004", 2, 2, 200), ("a299", 199, 199, 200)]
