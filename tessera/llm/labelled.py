@@ -8,17 +8,6 @@ from pyspark.sql import functions as F
 from tessera.llm.common import held_out
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int) -> list[tuple[int, str, int]]:
-    """doc_id, text and label of at most per_class distinct rows of each label, which the hash of
-    doc_id chooses among all labelled rows outside the held-out fifth. Rows with nulls are left out."""
-    ids = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).dropna().filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("label").alias("label"))
-    of_class = lambda k: ids.filter(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
-    chosen = of_class(0).union(of_class(1))
-    # At most two classes of per_class rows: that is the bound of what is broadcast and collected.
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").dropna().collect()
-    return sorted({(r["doc_id"], r["text"], r["label"]) for r in rows})
-
-
 def sampled_documents(docs: DataFrame, labels: DataFrame, label: str, per_class: int) -> tuple[DataFrame, dict[int, int]]:
     """text and label of the documents of at most per_class doc_ids of each label, which the hash of
     doc_id chooses among all labelled ones outside the held-out fifth, each different text once; and
