@@ -22,8 +22,13 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def rank_text(kind: Column, content: Column, summary: Column) -> Column:
-    """What lexical ranking and reranking read: a document's content, else the summary."""
-    return F.substring(F.when((kind == "document") & (F.length(content) > 0), content).otherwise(summary), 1, RANK_TEXT_CHARS)
+    """What lexical ranking reads: a document's whole content, else the summary."""
+    return F.when((kind == "document") & (F.length(content) > 0), content).otherwise(summary)
+
+
+def rank_text_start(kind: Column, content: Column, summary: Column) -> Column:
+    """What reranking and bm25_stats read: the beginning of rank_text()."""
+    return F.substring(rank_text(kind, content, summary), 1, RANK_TEXT_CHARS)
 
 
 def contains_any(text: Column, terms: Column) -> Column:

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import dot, rank_text, tokens
+from tessera.functions.text import dot, rank_text_start, tokens
 from tessera.operators import blocks, lexical
 from tessera.operators import scopes as S
 from tessera.operators.blocks import first
@@ -161,7 +161,7 @@ def rerank(scored: DataFrame, queries: DataFrame, reranker: Reranker, n: int, co
     window = ranked(scored, "sort_key").filter(F.col("rank") <= n).drop("rank").join(queries.select("query_id", F.col("text").alias("_asked")), "query_id")
     if "content" not in window.columns:
         window = window.join(contents, "id")
-    logit = F.pandas_udf(reranker, "double")(F.col("_asked"), rank_text(F.col("kind"), F.col("content"), F.col("summary")))
+    logit = F.pandas_udf(reranker, "double")(F.col("_asked"), rank_text_start(F.col("kind"), F.col("content"), F.col("summary")))
     out = window.withColumn("sort_key", logit).drop("_asked")
     return out.withColumn("rerank_score", 1 / (1 + F.exp(-F.col("sort_key"))))
 

@@ -49,7 +49,7 @@ def _scored(source: str) -> str:
 
 
 _LEX = r"""
-txt AS (SELECT query_id, id, list_filter(regexp_split_to_array(lower(substr(CASE WHEN kind = 'document' AND length(content) > 0 THEN content ELSE summary END, 1, 2000)), '[^\p{L}\p{Nd}]+'), lambda x: x <> '') AS w FROM sc),
+txt AS (SELECT query_id, id, list_filter(regexp_split_to_array(lower(CASE WHEN kind = 'document' AND length(content) > 0 THEN content ELSE summary END), '[^\p{L}\p{Nd}]+'), lambda x: x <> '') AS w FROM sc),
 tf AS (SELECT query_id, id, term, count(*) AS f FROM (SELECT query_id, id, unnest(w) AS term FROM txt) GROUP BY ALL),
 dfr AS (SELECT query_id, term, count(*) AS df FROM tf GROUP BY ALL),
 siz AS (SELECT query_id, count(*) AS n, avg(len(w)) AS av FROM txt GROUP BY query_id),
