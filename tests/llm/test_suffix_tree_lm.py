@@ -115,3 +115,39 @@ def test_no_training_texts_and_empty_tables(spark):
 def test_held_out_texts_score_above_the_base(spark):
     rows = M.op13_suffix_tree_lm(spark, "/root/testdata/sf0.01").filter("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b"), F.count("*").alias("n")).first()
     assert rows["n"] > 100 and rows["s"] > 0.9 * rows["b"]
+
+
+def scores_of_plain(spark, texts, plain):
+    df = spark.createDataFrame(texts, "doc_id long, text string").withColumn("held_out", M.held_out(F.col("doc_id")))
+    got = sorted((str(r["doc_id"]), r["n_known"], round(r["base_score"], 6), r["score"]) for r in M.score(df, M.fit(df)).collect())
+    want = sorted((str(k), sum(plain.words[x] > 0 for x in spelled(t)), round(plain.base(t), 6), plain.score(t)) for k, t in texts)
+    assert [r[:2] for r in got] == [r[:2] for r in want]
+    assert np.allclose([r[2:] for r in got], [r[2:] for r in want], atol=2e-3)
+
+
+@pytest.fixture
+def whole(texts, monkeypatch):
+    """Texts, and their plain tree with all runs, those that are met once too."""
+    texts = [(k, t) for k, t in texts if k != 9005]
+    with monkeypatch.context() as m:
+        m.setattr(M, "LEAST", 1)
+        return texts, Plain([t for k, t in texts if not held(k)], 0)
+
+
+def test_the_rarest_runs_count(spark, whole):
+    scores_of_plain(spark, *whole)
+
+
+@pytest.mark.parametrize("share", [2.0**-22, 2.0**-9])
+def test_runs_and_words_that_are_not_broadcast(spark, whole, monkeypatch, share):
+    monkeypatch.setattr(M, "RUNS", 64)
+    monkeypatch.setattr(M, "COMMON", share)
+    scores_of_plain(spark, *whole)
+
+
+def test_a_large_corpus_keeps_its_rare_runs(spark):
+    """14 million places, so that a share of 2 ** -22 of them is more than the two of a run."""
+    docs = [(0, "qzxvy " * 2), *((k, "common words " * 3000) for k in range(1, 370))]
+    docs = spark.createDataFrame(docs, "doc_id long, text string").withColumn("held_out", F.lit(False))
+    tree = M.fit(docs).tree
+    assert tree.log10(np.array([int.from_bytes(b" qzxvy", "big")], np.uint64))[0] > math.log10(0.5)
