@@ -38,3 +38,11 @@ def cut(df: DataFrame) -> DataFrame:
             found = tempfile.mkdtemp(prefix="tessera-")
         context.setCheckpointDir(found)
     return df.checkpoint()
+
+
+def packed(df: DataFrame) -> DataFrame:
+    """df written as a compressed table in the shared folder and read back, for rows of words that a checkpoint
+    would write uncompressed."""
+    path = shared_folder(df.sparkSession)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
